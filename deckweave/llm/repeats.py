@@ -13,7 +13,7 @@ table gives no rows; a row delivered again sets the same bit again.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .lookalike import look_form
@@ -23,16 +23,18 @@ ONE_IN = 5  # a repeated line stands in at least one of so many modules of its s
 
 
 def line_key(look: str) -> Column:
-    """Letter case, spacing and the value and length of runs of digits put aside; null if no letter is left."""
-    x = F.regexp_replace(F.lower(F.upper(look)), "[0-9]+", "0")
-    x = F.regexp_replace(x, "\\s+", "")
-    return F.when(x.rlike("\\p{L}"), x)
+    """Letter case, spacing and the value and length of runs of digits put aside."""
+    x = F.replace(F.lower(look), F.lit("ß"), F.lit("ss"))
+    x = F.when(F.col(look).rlike("[0-9]"), F.regexp_replace(x, "[0-9]+", "0")).otherwise(x)
+    x = F.replace(x, F.lit(" "))
+    x = F.when(F.col(look).rlike("[\\n\\r\\x0B\\f]"), F.regexp_replace(x, "\\s+", "")).otherwise(x)
+    return x
 
 
 def keyed_lines(lines: DataFrame) -> DataFrame:
     """(line_id, source, module_key, k1, k2, variant): the line as two hashes of its key, 128 bits in all, and a hash of its spelling."""
     own = lines.where("p IS NOT NULL AND source IS NOT NULL").select("line_id", "source", "module_key", "p", look_form("p").alias("look"))
-    own = own.withColumn("key", line_key("look")).where("key IS NOT NULL")
+    own = own.where(F.col("look").rlike("\\p{L}")).withColumn("key", line_key("look"))
     return own.select("line_id", "source", "module_key", F.xxhash64("key").alias("k1"), F.xxhash64(F.lit("second"), "key").alias("k2"), F.xxhash64("p").alias("variant"))
 
 
@@ -47,8 +49,14 @@ def variant_bitmaps(keyed: DataFrame) -> DataFrame:
 
 
 def line_bitmaps(variants: DataFrame) -> DataFrame:
-    """(source, k1, k2, word_no, word): the variants' bitmaps united."""
-    return variants.groupBy("source", "k1", "k2", "word_no").agg(F.bit_or("word").alias("word"))
+    """(source, k1, k2, word_no, word, in_modules): the variants' bitmaps united, with the number of bits of the whole bitmap.
+
+    One exchange by the line serves the union and the count: what it moves has
+    been combined before, so a hot line brings as many rows as its bitmap has words.
+    """
+    line = ["source", "k1", "k2"]
+    united = variants.repartition(*line).groupBy(*line, "word_no").agg(F.bit_or("word").alias("word"))
+    return united.withColumn("in_modules", F.sum(F.bit_count("word")).over(Window.partitionBy(*line)))
 
 
 def source_sizes(lines: DataFrame) -> DataFrame:
@@ -60,11 +68,8 @@ def source_sizes(lines: DataFrame) -> DataFrame:
 
 def repeated_bitmaps(lines: DataFrame, min_modules: int = MIN_MODULES, one_in: int = ONE_IN) -> DataFrame:
     """(source, k1, k2, word_no, word, in_modules, modules) of the lines over both thresholds."""
-    bitmaps = line_bitmaps(variant_bitmaps(keyed_lines(lines)))
-    counts = bitmaps.groupBy("source", "k1", "k2").agg(F.sum(F.bit_count("word")).alias("in_modules"))
-    counts = counts.where(F.col("in_modules") >= min_modules)
-    over = counts.join(source_sizes(lines), "source").where(F.col("in_modules") * one_in >= F.col("modules"))
-    return bitmaps.join(over, ["source", "k1", "k2"])
+    bitmaps = line_bitmaps(variant_bitmaps(keyed_lines(lines))).where(F.col("in_modules") >= min_modules)
+    return bitmaps.join(source_sizes(lines), "source").where(F.col("in_modules") * one_in >= F.col("modules"))
 
 
 def repeated_lines(lines: DataFrame, min_modules: int = MIN_MODULES, one_in: int = ONE_IN) -> DataFrame:
