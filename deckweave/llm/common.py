@@ -2,15 +2,51 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
+from typing import Any
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+class Shared:
+    """An object broadcast with its classes, opened once in each place it is used; its size must be bounded."""
+
+    def __init__(self, spark: SparkSession, value: Any):
+        self._held = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+        self._value: Any = None
+
+    def __getstate__(self) -> dict:
+        return {"_held": self._held, "_value": None}
+
+    @property
+    def value(self) -> Any:
+        if self._value is None:
+            self._value = pickle.loads(self._held.value)
+        return self._value
+
+
+def least_by_hash(df: DataFrame, columns: list[str], most: int, spare: int = 50) -> list:
+    """At most ``most`` distinct rows of some columns, those of the least hashes: a bounded sample to fit a model on.
+
+    Which rows come into question is decided by their content's hash before
+    anything moves, with ``spare`` times as many as are needed, so that many
+    copies of some texts don't starve the sample and only a sliver is shuffled.
+    """
+    own = df.select(*columns)
+    share = most * spare / max(own.count(), 1)
+    mixed = F.xxhash64(*columns)
+    if share < 1:
+        own = own.where(F.pmod(mixed, F.lit(1 << 30)) < int(share * (1 << 30)))
+    return own.distinct().orderBy(mixed, *columns).limit(most).collect()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written once to the checkpoint folder the cluster names, so that two readers share one computation.
 

@@ -35,6 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Shared
 from .langid import LANGS, language_code
 from .lookalike import fold_look
 
@@ -42,11 +43,11 @@ BARE = (1, 2, 3, 4)
 KINDS = (0, 1, 2, 3, 4, 5, 6, 8, 10)
 BITS = 22
 BLOCKS = 64
-DISCOUNT = 3
+DISCOUNT = 1
 SMOOTH = 3.0
 CHUNK = 400_000  # characters worked on at once
 #: How many complete texts there are to one that is cut, before anything is known of it.
-COMPLETE_ODDS = 6.0
+COMPLETE_ODDS = 5.0
 GROUPS = (*LANGS, "other")
 
 _PAD = "\n" * (max(KINDS) + 1)
@@ -262,7 +263,7 @@ def fit_endings(documents: DataFrame, text: str = "text", lang: str = "lang") ->
 
 def score_endings(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", keep: Sequence[str] = ()) -> DataFrame:
     """(doc_id, keep..., log_odds, threshold, cut) for every document with a text that isn't blank."""
-    model = documents.sparkSession.sparkContext.broadcast(fit_endings(documents, text, lang))
+    model = Shared(documents.sparkSession, fit_endings(documents, text, lang))
     own = documents.select(doc_id, text, lang, *keep)
     fields = {f.name: f.dataType.simpleString() for f in own.schema.fields}
     schema = ", ".join(f"`{c}` {fields[c]}" for c in (doc_id, *keep)) + ", log_odds double, threshold double, cut boolean"

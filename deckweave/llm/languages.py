@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import Shared, cut, least_by_hash
 from .langid import LANGS, MAX_TRAIN, NAMES, LanguageFilters, letters, pick
 
 #: A sentence has at least so many words of two letters or more.
@@ -37,7 +37,7 @@ def known_texts(segments: DataFrame) -> tuple[list[str], list[str]]:
 def fit_filters(segments: DataFrame, texts: DataFrame, text: str) -> LanguageFilters:
     """Filters from labelled segments, fitted again with the ``MAX_TRAIN`` texts of the least hashes."""
     known = known_texts(segments)
-    sample = texts.select(F.col(text).alias("t")).where("length(trim(t)) > 0").distinct().orderBy(F.xxhash64("t"), "t").limit(MAX_TRAIN).collect()
+    sample = least_by_hash(texts.where(f"length(trim({text})) > 0").select(F.col(text).alias("t")), ["t"], MAX_TRAIN)
     return LanguageFilters.fit(*known).refit(known, [r["t"] for r in sample])
 
 
@@ -52,7 +52,7 @@ def line_languages(lines: DataFrame, filters: LanguageFilters, keys: list[str],
     """(keys..., lang, confidence, size, sentence) of every line with words."""
     fields = {f.name: f.dataType.simpleString() for f in lines.schema.fields}
     shape = ", ".join(f"`{k}` {fields[k]}" for k in keys) + ", lang string, confidence double, size bigint, sentence boolean"
-    held = lines.sparkSession.sparkContext.broadcast(filters)
+    held = Shared(lines.sparkSession, filters)
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -26,17 +26,18 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .langid import LANGS, NAMES, LanguageFilters, pick
+from .common import Shared, least_by_hash
+from .langid import LANGS, LanguageFilters, pick
 from .lookalike import fold_look
 
 DEFECTS = ("empty", "copy", "refusal", "language", "truncated")
 MAX_TRAIN = 3000
 DIMS = 1 << 15
 SEED = 7
-#: The sample holds defective pairs too: either half is judged by a fit on the other, and pairs over this probability are no negatives of the next fits.
-DOUBTS = (0.1, 0.15)
+#: The sample holds defective pairs too: either half is judged by a fit on the other, and a pair over this probability of a defect is no negative for it in the next fits.
+DOUBTS = (0.3, 0.2)
 #: The weight of a sampled pair as a negative beside a pair made defective.
-UNLABELLED = 0.25
+UNLABELLED = 1.0
 #: The share of held-out defective pairs a threshold must let through.
 RECALL = 0.985
 
@@ -53,6 +54,14 @@ ASKED = {
     "espagnol": "es", "spanisch": "es", "spanyol": "es", "espanyol": "es", "french": "fr", "francés": "fr", "français": "fr", "französisch": "fr", "prancis": "fr", "pranses": "fr",
     "german": "de", "alemán": "de", "allemand": "de", "deutsch": "de", "jerman": "de", "aleman": "de", "indonesian": "id", "indonesio": "id", "indonésien": "id", "indonesisch": "id", "indonesia": "id",
 }
+# Words, and pairs of them, of which a refusal has at least one.
+CUES = frozenset(
+    "sorry apologies apologise apologize unfortunately afraid regret cannot unable decline declining rather won allowed permitted limits guidelines discuss refuse permission policy scope comment my me request question prompt assist assistant service topic "
+    "siento lamentablemente disculpa disculpe perdón puedo declinar rechazar responder contestar ayudar permiso pregunta solicitud désolé regrette malheureusement excusez refuser répondre impossible aider je demande "
+    "leid leider entschuldigung bedauerlicherweise ablehnen beantworten antworten helfen darf ich mir anfrage maaf sayangnya tolak menolak menjawab membantu diizinkan saya permintaan "
+    "paumanhin pasensya ikinalulungkot tanggihan masasagot makatutulong matutulungan pinapayagang sagot ko ako hiling".split()
+)
+CUE_PAIRS = ("can not", "can t", "i am", "i m", "i have", "i must", "i can", "i d", "i won", "i will", "i do", "i would", "i may", "i prefer")
 # Phrases that made-up refusals are put together from.
 _OPENERS = {
     "en": ["Sorry,", "I'm sorry, but", "Unfortunately,", "Apologies,", "As an assistant,", "Thank you for the question, but", "I appreciate your interest; however,", "I regret that", "I'm afraid", "Thanks for asking, but", "Apologies -", "As an automated tutor,", "I appreciate the question; however,", ""],
@@ -61,7 +70,7 @@ _OPENERS = {
 }
 _CORES = {
     "en": ["I cannot answer this question.", "I can't help with that.", "I am not able to respond to this request.", "I am unable to provide an explanation.", "I must decline to answer.", "I won't be able to complete this for you.", "this is outside what I am allowed to discuss.",
-           "no answer can be given here.", "I cannot answer questions about this topic.", "that subject is off limits for this service.", "I have no way of responding to this prompt.", "answering would go against my guidelines.", "it isn't something I may assist with.", "I do not have permission to discuss it.", "I can't provide that.", "I am not able to help with this request.", "this request falls outside what I may discuss.", "no answer can be given by this service to such a prompt.", "that topic is off limits for this assistant.", "I can't provide that explanation.", "I must decline to respond here."],
+           "no answer can be given here.", "I cannot answer questions about this topic.", "that subject is off limits for this service.", "I have no way of responding to this prompt.", "answering would go against my guidelines.", "it isn't something I may assist with.", "I do not have permission to discuss it.", "I can't provide that.", "I am not able to help with this request.", "this request falls outside what I may discuss.", "no answer can be given by this service to such a prompt.", "that topic is off limits for this assistant.", "I can't provide that explanation.", "I must decline to respond here.", "I'd rather not comment on it.", "I prefer not to answer.", "I will not answer that.", "I can't assist with this.", "I'm unable to comment.", "this is not something I can talk about.", "I have been told not to answer such questions.", "I would prefer not to say.", "no comment can be made on this."],
     "es": ["no puedo responder a esta pregunta.", "no puedo ayudar con eso.", "debo rechazar esta solicitud.", "debo declinar la petición.", "debo declinar esta solicitud.", "no estoy en condiciones de ayudar.", "no me es posible contestar.", "no tengo permiso para hablar de este tema."],
     "fr": ["je ne peux pas répondre à cette question.", "je ne peux pas vous aider.", "je dois refuser la demande.", "il m'est impossible de répondre.", "je ne suis pas en mesure de vous aider.", "je n'ai pas le droit d'en parler."],
     "de": ["ich kann diese Frage nicht beantworten.", "dabei kann ich nicht helfen.", "diese Anfrage muss ich ablehnen.", "ich darf darauf nicht antworten.", "eine Antwort ist mir nicht möglich.", "dazu kann ich nichts sagen."],
@@ -79,6 +88,8 @@ _CLOSE = re.compile(r"[.!?。][\"'’”»)\]]*$")
 _LIST = re.compile(r"^\s*(?:\d+[.)]|[-*•]|\(?[a-z]\)|[a-z][.)])\s*\S", re.IGNORECASE | re.MULTILINE)
 _LABELS = {"q", "question", "prompt", "h", "pregunta", "frage", "tanong", "pertanyaan", "soal", "a", "answer", "task", "item"}
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
+#: The most a threshold may be; low where the exact check that follows decides by itself whether the defect is there.
+MOST = (0.02, 0.05, 0.25, 0.1, 0.1)
 NUMERIC = 22
 #: Answers of at most so many words also have their character 5-grams; a refusal is short.
 SHORT = 40
@@ -152,38 +163,38 @@ class PairClassifier:
 
     def probabilities(self, x: np.ndarray, places: list[np.ndarray]) -> np.ndarray:
         z = x @ self.dense
-        size = [len(p) for p in places]
-        flat = np.concatenate(places) if places else np.zeros(0, np.int64)
+        size = np.array([len(p) for p in places])
+        flat = np.concatenate(places) if len(places) else np.zeros(0, np.int64)
         of = np.repeat(np.arange(len(places)), size)
+        value = np.repeat(1 / np.sqrt(np.maximum(size, 1)), size)
         for k in range(len(DEFECTS)):
-            z[:, k] += np.bincount(of, weights=self.sparse[flat, k], minlength=len(places))
+            z[:, k] += np.bincount(of, weights=self.sparse[flat, k] * value, minlength=len(places))
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
-    def fit(self, x: np.ndarray, places: list[np.ndarray], y: np.ndarray, weight: np.ndarray, epochs: int = 6, rate: float = 0.3, batch: int = 128) -> None:
-        """Logistic regression by AdaGrad, in an order fixed by the seed."""
+    def fit(self, x: np.ndarray, places: list[np.ndarray], y: np.ndarray, weight: np.ndarray, epochs: int = 10, rate: float = 40.0, batch: int = 64) -> None:
+        """Logistic regression by plain gradient steps in an order fixed by the seed.
+
+        A row's n-grams have the norm 1, so a single row moves its own score
+        little and what many rows share decides; the sample's hidden defective
+        pairs are not learnt by heart.
+        """
         rng = np.random.default_rng(SEED)
-        gd, gs = np.full_like(self.dense, 1e-3), np.full_like(self.sparse, 1e-2)
-        for _ in range(epochs):
+        for epoch in range(epochs):
+            step = rate / (1 + 0.5 * epoch)
             for rows in np.array_split(rng.permutation(len(x)), max(len(x) // batch, 1)):
                 own = [places[r] for r in rows]
-                error = (self.probabilities(x[rows], own) - y[rows]) * weight[rows, None]
-                grad = x[rows].T @ error / len(rows)
-                gd += grad**2
-                self.dense -= rate * grad / np.sqrt(gd)
-                flat = np.concatenate(own)
-                of = np.repeat(np.arange(len(rows)), [len(p) for p in own])
-                cells, at = np.unique(flat, return_inverse=True)
-                step = np.zeros((len(cells), len(DEFECTS)))
-                np.add.at(step, at, error[of] / len(rows))
-                gs[cells] += step**2
-                self.sparse[cells] -= rate * step / np.sqrt(gs[cells])
+                error = (self.probabilities(x[rows], own) - y[rows]) * weight[rows] / len(rows)
+                self.dense -= step * (x[rows].T @ error)
+                size = np.array([len(p) for p in own])
+                of, value = np.repeat(np.arange(len(rows)), size), np.repeat(1 / np.sqrt(np.maximum(size, 1)), size)
+                np.subtract.at(self.sparse, np.concatenate(own), (step * error[of] * value[:, None]).astype(np.float32))
 
     def calibrate(self, x: np.ndarray, places: list[np.ndarray], y: np.ndarray) -> None:
         p = self.probabilities(x, places)
         for k in range(len(DEFECTS)):
             own = np.sort(p[y[:, k] > 0, k])
             if len(own):
-                self.thresholds[k] = float(np.clip(own[int((1 - RECALL) * len(own))], 0.05, 0.4))
+                self.thresholds[k] = float(np.clip(own[int((1 - RECALL) * len(own))], 0.02, MOST[k]))
 
     def label(self, hs: Sequence[str | None], ps: Sequence[str | None], statuses: Sequence[str | None]) -> list[str | None]:
         """The first defect of each pair, or None."""
@@ -216,7 +227,8 @@ def _holds(defect: str, i: int, facts: dict[str, list], status: str | None) -> b
         return differ and n >= 3 and sure >= 0.6
     if defect == "truncated":
         return not facts["end"][i] and not facts["list"][i] and (len(own) >= 4 or len(own) >= 2 and facts["upper"][i])
-    return len(own) >= 3
+    line = f" {' '.join(own)} "
+    return len(own) >= 3 and not facts["list"][i] and (not CUES.isdisjoint(own) or any(f" {c} " in line for c in CUE_PAIRS))
 
 
 def _echo(h: str, rng: random.Random) -> str:
@@ -227,7 +239,7 @@ def _refusal(rng: random.Random, topic: str) -> str:
     lang = rng.choice(["en", "en", *LANGS])
     opener, core, closer = rng.choice(_OPENERS[lang]), rng.choice(_CORES[lang]), rng.choice(_CLOSERS[lang])
     if lang == "en" and rng.random() < 0.2:
-        core = core.rstrip(".") + f" about {topic}."
+        core = rng.choice([core.rstrip(".") + f" about {topic}.", f"I'd rather not comment on {topic}.", f"I cannot discuss {topic}.", f"I am unable to say anything about {topic}.", f"I can not answer questions on {topic}."])
     text = " ".join(t for t in (opener, core, closer) if t)
     text = text[:1].upper() + text[1:]
     return text.upper() if rng.random() < 0.08 else text.lower() if rng.random() < 0.08 else text
@@ -265,11 +277,11 @@ def synthetic(pairs: Sequence[tuple[str | None, str | None]], langs: np.ndarray,
 def train_pairs(pairs: DataFrame, labelled: DataFrame) -> PairClassifier:
     """The classifier of a table (h, p); ``labelled`` has texts with a known language (p, source_lang, and translated in Tagalog).
 
-    The sample is the ``MAX_TRAIN`` pairs of the least hashes, a top-k that never gathers more.
+    The sample is the ``MAX_TRAIN`` pairs of the least hashes.
     """
     rows = labelled.select("p", "translated", "source_lang").where("p IS NOT NULL").orderBy("p", "translated").limit(MAX_TRAIN).collect()
     known = [(r["p"], r["source_lang"]) for r in rows if r["source_lang"] in LANGS] + [(r["translated"], "tl") for r in rows if r["translated"]]
-    sample = pairs.select("h", "p").distinct().orderBy(F.xxhash64("h", "p"), "h", "p").limit(MAX_TRAIN).collect()
+    sample = least_by_hash(pairs, ["h", "p"], MAX_TRAIN)
     return train_sample([(r["h"], r["p"]) for r in sample], known)
 
 
@@ -291,19 +303,20 @@ def train_sample(sample: Sequence[tuple[str | None, str | None]], known: Sequenc
     held, raw_held = (np.array([rng.random() < 0.2 for _ in rows], dtype=bool) for rows in (made, sample))
     new = np.flatnonzero(~held)
 
-    def fitted(old: np.ndarray) -> PairClassifier:
+    def fitted(old: np.ndarray, doubtful: np.ndarray) -> PairClassifier:
         model = PairClassifier(filters)
-        model.fit(np.vstack([x[new], raw[old]]), [places[i] for i in new] + [raw_places[i] for i in old], np.vstack([y[new], np.zeros((len(old), len(DEFECTS)))]), np.repeat([1.0, UNLABELLED], [len(new), len(old)]))
+        weight = np.vstack([np.ones((len(new), len(DEFECTS))), UNLABELLED * ~doubtful[old]])
+        model.fit(np.vstack([x[new], raw[old]]), [places[i] for i in new] + [raw_places[i] for i in old], np.vstack([y[new], np.zeros((len(old), len(DEFECTS)))]), weight)
         return model
 
-    clean, half = np.ones(len(sample), bool), np.arange(len(sample)) % 2
+    doubtful, half = np.zeros((len(sample), len(DEFECTS)), bool), np.arange(len(sample)) % 2
     for doubt in DOUBTS:
-        probability = np.zeros(len(sample))
+        probability = np.zeros(doubtful.shape)
         for side in (0, 1):
-            judge, judged = fitted(np.flatnonzero(clean & (half == side))), np.flatnonzero(half != side)
-            probability[judged] = judge.probabilities(raw[judged], [raw_places[i] for i in judged]).max(axis=1)
-        clean = probability < doubt
-    model = fitted(np.flatnonzero(clean & ~raw_held))
+            judge, judged = fitted(np.flatnonzero(half == side), doubtful), np.flatnonzero(half != side)
+            probability[judged] = judge.probabilities(raw[judged], [raw_places[i] for i in judged])
+        doubtful = probability >= doubt
+    model = fitted(np.flatnonzero(~raw_held), doubtful)
     own = np.flatnonzero(held)
     model.calibrate(x[own], [places[i] for i in own], y[own])
     return model
@@ -311,7 +324,7 @@ def train_sample(sample: Sequence[tuple[str | None, str | None]], known: Sequenc
 
 def defective_pairs(pairs: DataFrame, labelled: DataFrame, pair_id: str = "pair_id") -> DataFrame:
     """(pair_id, defect) of every defective pair of a table (pair_id, h, p, status)."""
-    model = pairs.sparkSession.sparkContext.broadcast(train_pairs(pairs, labelled))
+    model = Shared(pairs.sparkSession, train_pairs(pairs, labelled))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import base64
 import unicodedata
-from functools import lru_cache
+from collections.abc import Iterator
 from pathlib import Path
 
 import pandas as pd
@@ -115,11 +115,6 @@ class TreeEncoder:
         return self.encoding.decode_bytes(ids).decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=2)
-def _encoder(ranks: bytes, leaf: int) -> TreeEncoder:
-    return TreeEncoder(ranks, leaf=leaf)
-
-
 def read_ranks(vocabulary: str = "byte_bpe_50k", folder: str = FOLDER) -> bytes:
     return Path(folder, f"{vocabulary}.tiktoken").read_bytes()
 
@@ -129,8 +124,9 @@ def token_ids(df: DataFrame, text: str, vocabulary: str = "byte_bpe_50k", folder
     held = df.sparkSession.sparkContext.broadcast(read_ranks(vocabulary, folder))
 
     @F.pandas_udf("array<int>")
-    def encode(texts: pd.Series) -> pd.Series:
-        encoder = _encoder(held.value, leaf)
-        return pd.Series([encoder.encode(t) for t in texts], dtype=object)
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        encoder = TreeEncoder(held.value, leaf=leaf)
+        for texts in batches:
+            yield pd.Series([encoder.encode(t) for t in texts], dtype=object)
 
     return encode(F.col(text))
