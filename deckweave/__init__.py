@@ -1,3 +1,10 @@
 """deckweave: document analytics on Spark DataFrames."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Functions that run on executors travel whole, so that these need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
