@@ -17,7 +17,7 @@ only as far as more than ``DISCOUNT`` of them end the same way.  Lines with a
 label are judged by lines with that label alone.  An exact check follows: a text
 whose last mark closes a sentence is never cut.
 
-The counts live in three hashed tables of a fixed size.  A task adds up its
+The counts live in three hashed tables of a fixed size, each count in two places.  A task adds up its
 texts' counts and hands them on in blocks; blocks are summed as they stream by,
 so no group of any size is held.
 
@@ -41,8 +41,9 @@ from .lookalike import fold_look
 
 BARE = (1, 2, 3, 4)
 KINDS = (0, 1, 2, 3, 4, 5, 6, 8, 10)
-BITS = 22
-BLOCKS = 64
+#: Bits of a table's places; each has two rows with different hashes, of which the lesser count is taken.
+END_BITS, ON_BITS = 20, 22
+BLOCK = 1 << 17
 DISCOUNT = 1
 SMOOTH = 3.0
 CHUNK = 400_000  # characters worked on at once
@@ -98,11 +99,10 @@ def _kinds(joined: str, chars: np.ndarray) -> np.ndarray:
 
 
 def contexts(joined: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(orders x characters) slots of the context that ends with each character, the characters, and the kind of their line (from 16 on: led by a label)."""
+    """(orders x characters) hashes of the context that ends with each character, the characters, and the kind of their line (from 16 on: led by a label)."""
     chars = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     wide, kind = chars.astype(np.uint64), _kinds(joined, chars)
-    shift = np.uint64(64 - BITS)
-    out = np.zeros((len(BARE) + len(KINDS), len(chars)), np.int64)
+    out = np.zeros((len(BARE) + len(KINDS), len(chars)), np.uint64)
     rolling = np.zeros(len(chars), np.uint64)
     powers = np.cumprod(np.full(max(KINDS) + 1, _M1))
     for n in range(max(KINDS) + 1):
@@ -110,18 +110,24 @@ def contexts(joined: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             rolling[n - 1 :] += wide[: len(wide) - n + 1] * powers[n - 1]
         if n in BARE:
             h = (rolling + np.uint64(n)) * _M2
-            out[BARE.index(n)] = (h ^ (h >> np.uint64(31))) * _M1 >> shift
+            out[BARE.index(n)] = (h ^ (h >> np.uint64(31))) * _M1
         if n in KINDS:
             h = (rolling + np.uint64(n + 100) + (kind + np.uint64(1)) * _M2) * _M2
-            out[len(BARE) + KINDS.index(n)] = (h ^ (h >> np.uint64(31))) * _M1 >> shift
+            out[len(BARE) + KINDS.index(n)] = (h ^ (h >> np.uint64(31))) * _M1
     return out, chars, kind
 
 
+def places(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two places of each hash in a table."""
+    shift = np.uint64(64 - bits)
+    return (hashes >> shift).astype(np.int64), ((hashes ^ (hashes >> np.uint64(29))) * _M2 >> shift).astype(np.int64)
+
+
 class Counts:
     """Counts of places by context: ends of lines and sentences, ends of texts, and places where the text goes on."""
 
     def __init__(self) -> None:
-        self.tables = np.zeros((3, 1 << BITS), np.int32)
+        self.tables = [np.zeros((2, 1 << bits), np.int32) for bits in (END_BITS, END_BITS, ON_BITS)]
         self.totals = np.zeros((len(GROUPS) + 1, 2), np.int64)
 
     def add(self, texts: Sequence[str], groups: Sequence[int], finals: bool = False) -> None:
@@ -139,7 +145,7 @@ class Counts:
 
     def _add(self, texts: list[str], groups: list[int], finals: bool) -> None:
         joined = _PAD + _PAD.join(texts) + "\n"
-        slots, chars, kind = contexts(joined)
+        hashes, chars, kind = contexts(joined)
         wrapped = (kind == 2) | (kind == 3)  # a long line ends where it was wrapped, unless a mark closes it
         lengths = np.array([len(t) for t in texts])
         ends = len(_PAD) + np.cumsum(lengths + len(_PAD)) - len(_PAD) - 1
@@ -158,7 +164,8 @@ class Counts:
         for k, where in ((1, inside & final),) if finals else ((0, inside & boundary & ~final), (2, inside & ~boundary & ~final)):
             here = np.flatnonzero(where)
             if len(here):
-                self.tables[k] += np.bincount(slots[:, here].ravel(), minlength=1 << BITS).astype(np.int32)
+                for row, at in enumerate(places(hashes[:, here].ravel(), ON_BITS if k == 2 else END_BITS)):
+                    self.tables[k][row] += np.bincount(at, minlength=self.tables[k].shape[1]).astype(np.int32)
         if finals:
             self.totals[len(GROUPS), 0] += len(texts)
             return
@@ -169,35 +176,38 @@ class Counts:
 class EndModel:
     """Log-odds of an end, from merged counts."""
 
-    def __init__(self, tables: np.ndarray, totals: np.ndarray):
-        self.ends = tables[0].astype(np.float32) + np.maximum(tables[1].astype(np.float32) - DISCOUNT, 0)
-        self.on = tables[2].astype(np.float32)
-        self.finals, self.texts = tables[1].astype(np.float32), float(totals[len(GROUPS), 0])
+    def __init__(self, tables: Sequence[np.ndarray], totals: np.ndarray):
+        self.tables, self.texts = tables, float(totals[len(GROUPS), 0])
         totals = totals[: len(GROUPS)]
         self.places = float(totals.sum())
         rate = (totals[:, 0] + 1) / (totals.sum(axis=1) + 100)
         self.base = float((totals[:, 0].sum() + 1) / (self.places + 100))
         self.thresholds = np.log(rate / (1 - rate)) - np.log(COMPLETE_ODDS)
 
+    def counts(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ends that count, continuations, and ends of texts of some contexts."""
+        inner, finals, on = (np.minimum(*(t[row][at] for row, at in enumerate(places(hashes, bits)))).astype(float) for t, bits in zip(self.tables, (END_BITS, END_BITS, ON_BITS)))
+        return inner + np.maximum(finals - DISCOUNT, 0), on, finals
+
     def log_odds(self, lines: Sequence[str]) -> np.ndarray:
         out = np.zeros(len(lines))
         for at in range(0, len(lines), 2000):
             part = lines[at : at + 2000]
             joined = _PAD + _PAD.join(part) + "\n"
-            slots, _, kind = contexts(joined)
+            hashes, _, kind = contexts(joined)
             labelled = kind >= 16
             lengths = np.array([len(t) for t in part])
             last = len(_PAD) + np.cumsum(lengths + len(_PAD)) - len(_PAD) - 1
             p = np.full(len(part), self.base)
-            for k, row in enumerate(slots):
-                e, m = self.ends[row[last]], self.on[row[last]]
+            for k, row in enumerate(hashes):
+                e, m, _ = self.counts(row[last])
                 new = (e + SMOOTH * p) / (e + m + SMOOTH)
                 # the bare contexts have no say over a line with a label, nor has the mere kind over one without
                 p = np.where(labelled[last] if k < len(BARE) else ~labelled[last] & (k == len(BARE)), p, new)
             p = np.clip(p, 1e-9, 1 - 1e-9)
             # a label that leads many last lines and few others leads closing lines
-            own = slots[len(BARE)][last]
-            closing = ((self.finals[own] + 1) / (self.texts + 1)) / ((self.ends[own] + self.on[own] + 1) / (self.places + 1))
+            e, m, finals = self.counts(hashes[len(BARE)][last])
+            closing = ((finals + 1) / (self.texts + 1)) / ((e + m + 1) / (self.places + 1))
             out[at : at + len(part)] = np.log(p / (1 - p)) + np.where(labelled[last], np.log(np.maximum(closing, 1)), 0)
         return out
 
@@ -227,37 +237,39 @@ def _count_batches(batches: Iterator[pd.DataFrame], finals: bool) -> Iterator[pd
             counts.add([clean(t).rstrip() for t in pdf.iloc[:, 0]], [group_of(x) for x in pdf.iloc[:, 1]])
         any_text = any_text or bool(len(pdf))
     if any_text:
-        width = (1 << BITS) // BLOCKS
-        for b in range(BLOCKS):
-            yield pd.DataFrame({"block": [b], "counts": [counts.tables[:, b * width : (b + 1) * width].tobytes()]})
-        yield pd.DataFrame({"block": [BLOCKS], "counts": [counts.totals.tobytes()]})
+        flat = np.concatenate([t.ravel() for t in counts.tables])
+        for b in range(len(flat) // BLOCK):
+            yield pd.DataFrame({"block": [b], "counts": [flat[b * BLOCK : (b + 1) * BLOCK].tobytes()]})
+        yield pd.DataFrame({"block": [-1], "counts": [counts.totals.tobytes()]})
 
 
 def _sum_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     sums: dict[int, np.ndarray] = {}
     for pdf in batches:
         for b, raw in zip(pdf["block"], pdf["counts"]):
-            part = np.frombuffer(raw, np.int64 if b == BLOCKS else np.int32)
+            part = np.frombuffer(raw, np.int64 if b < 0 else np.int32)
             sums[b] = sums[b] + part if b in sums else part.astype(np.int64)
     for b, s in sums.items():
-        yield pd.DataFrame({"block": [b], "counts": [(s if b == BLOCKS else np.minimum(s, 2**31 - 1).astype(np.int32)).tobytes()]})
+        yield pd.DataFrame({"block": [b], "counts": [(s if b < 0 else np.minimum(s, 2**31 - 1).astype(np.int32)).tobytes()]})
 
 
 def fit_endings(documents: DataFrame, text: str = "text", lang: str = "lang") -> EndModel:
-    """The model over all texts of a column; its size is fixed (3 x 2^BITS counts)."""
+    """The model over all texts of a column; its size is fixed (some 50 MB)."""
     own = documents.where(F.length(F.trim(text)) > 0).select(text, lang)
     shape = "block int, counts binary"
     last = own.select(F.substring_index(F.regexp_replace(text, "\\s+$", ""), "\n", -2).alias("t"))
     tails = last.mapInPandas(_tails, "tail string").distinct()
     parts = own.mapInPandas(lambda b: _count_batches(b, False), shape).unionByName(tails.mapInPandas(lambda b: _count_batches(b, True), shape))
     merged = parts.repartition(8, "block").mapInPandas(_sum_blocks, "block int, counts binary")
-    tables, totals = np.zeros((3, 1 << BITS), np.int32), np.zeros((len(GROUPS) + 1, 2), np.int64)
-    width = (1 << BITS) // BLOCKS
+    empty = Counts()
+    flat, totals = np.concatenate([t.ravel() for t in empty.tables]), empty.totals
     for row in merged.toLocalIterator():
-        if row["block"] == BLOCKS:
-            totals = np.frombuffer(bytes(row["counts"]), np.int64).reshape(len(GROUPS) + 1, 2).copy()
+        if row["block"] < 0:
+            totals = np.frombuffer(bytes(row["counts"]), np.int64).reshape(totals.shape).copy()
         else:
-            tables[:, row["block"] * width : (row["block"] + 1) * width] = np.frombuffer(bytes(row["counts"]), np.int32).reshape(3, width)
+            flat[row["block"] * BLOCK : (row["block"] + 1) * BLOCK] = np.frombuffer(bytes(row["counts"]), np.int32)
+    cuts = np.cumsum([t.size for t in empty.tables])[:-1]
+    tables = [part.reshape(t.shape) for part, t in zip(np.split(flat, cuts), empty.tables)]
     return EndModel(tables, totals)
 
 
