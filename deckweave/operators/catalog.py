@@ -32,12 +32,13 @@ def current_term(columns: DataFrame, plan: list[str]) -> DataFrame:
 
 
 def chosen(rows: DataFrame, picks: str, order: list[str]) -> DataFrame:
-    """Rows picked by 1-based ordinals such as "3, 1, x, 3"; what is no ordinal of a row is ignored, and if none is left all rows are taken."""
+    """Rows picked by 1-based ordinals such as "3, 1, x, 3"; what is no ordinal of a row is ignored, and if none is left all rows are taken, without ordinals."""
     spark = rows.sparkSession
     numbers = spark.range(1).select(F.explode(F.split(F.lit(picks), ",")).alias("t")).select(F.expr("try_cast(trim(t) AS INT)").alias("ordinal")).where("ordinal IS NOT NULL").distinct()
-    own = rows.withColumn("ordinal", F.row_number().over(Window.orderBy(*order)))
+    most = max([int(t) for t in picks.split(",") if t.strip().isdigit()], default=0)
+    own = rows.orderBy(*order).limit(most).withColumn("ordinal", F.row_number().over(Window.orderBy(*order)))  # a top-k, never the whole table in one task
     hit = own.join(F.broadcast(numbers), "ordinal")  # at most as many rows as the literal has commas
-    return hit if not hit.isEmpty() else own
+    return hit if not hit.isEmpty() else rows.withColumn("ordinal", F.lit(None).cast("int"))
 
 
 def file_base(ordinal: Column, title: Column) -> Column:

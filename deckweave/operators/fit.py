@@ -35,7 +35,7 @@ def room(df: DataFrame, floor: str = "next_top") -> DataFrame:
 def one_line_size(text: Column, size: Column, width: Column, height: Column) -> Column:
     """The font size at which a text fits on one line, in steps, null if none from the least size up does."""
     unit = F.length(text) * UNIT
-    fit = F.floor(F.least(size, (width + SLACK) / unit) / STEP) * STEP
+    fit = F.floor(F.least(size, F.try_divide(width + SLACK, unit)) / STEP) * STEP
     return F.when((unit > 0) & (fit >= LEAST_SIZE) & (fit * LINE_RATIO <= height + SLACK), fit)
 
 

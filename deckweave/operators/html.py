@@ -65,6 +65,10 @@ class _Tree(HTMLParser):
 
     EMPTY = {"br", "img", "input", "meta", "link", "hr", "area", "base", "col", "embed", "source", "track", "wbr"}  # noqa: RUF012
 
+    # Open elements that a start tag closes, and elements it doesn't look beyond.
+    CLOSES = {"li": {"li"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"td", "th", "tr"}, "tbody": {"td", "th", "tr", "tbody", "thead"}, "button": {"button"}, "option": {"option"}}  # noqa: RUF012
+    BOUNDS = {"ul", "ol", "table", "body", "html"}  # noqa: RUF012
+
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
         self.nodes: list[dict] = []
@@ -73,6 +77,13 @@ class _Tree(HTMLParser):
         self.close()
 
     def handle_starttag(self, tag, attrs):
+        ends = self.CLOSES.get(tag, set())
+        for k in range(len(self.stack) - 1, -1, -1):
+            name = self.nodes[self.stack[k]]["tag"]
+            if not ends or name in self.BOUNDS:
+                break
+            if name in ends:
+                del self.stack[k:]
         self.nodes.append({"tag": tag, "attrs": {k: v or "" for k, v in attrs}, "above": tuple(self.stack), "text": []})
         if tag not in self.EMPTY:
             self.stack.append(len(self.nodes) - 1)

@@ -79,17 +79,28 @@ def y_buckets(items: DataFrame) -> DataFrame:
     return own.select(*PAGE, F.col("z.seq").alias("seq"), F.col("z.bucket").alias("bucket"), F.expr("b[z.bucket - 1]").alias("bucket_y"))
 
 
-def joined_text(items: DataFrame, line: list[str]) -> DataFrame:
-    """(line..., text): a line's items from left to right, a space put where a gap is wider than ``SPACE_GAP`` of the font and none is there."""
+def _spaced(items: DataFrame, line: list[str]) -> DataFrame:
+    """Adds piece: the item's text, after a space where a gap is wider than ``SPACE_GAP`` of the font and none is there."""
     w = Window.partitionBy(*line).orderBy("x", "seq")
     before = {c: F.lag(c).over(w) for c in ("text", "x", "width", "font_size")}
     own = items.withColumns({f"p_{c}": v for c, v in before.items()})
     reach = F.col("p_x") + F.coalesce(F.col("p_width"), F.length("p_text") * F.col("p_font_size") * 0.5)
     spaced = F.col("p_text").rlike(f"{T.SPACE}\\z") | F.col("text").rlike(f"^{T.SPACE}")
     gap = ~spaced & (F.col("x") - reach > F.col("p_font_size") * SPACE_GAP)
-    own = own.withColumn("piece", F.when(F.coalesce(gap, F.lit(False)), F.concat(F.lit(" "), F.col("text"))).otherwise(F.col("text")))
-    all_ = F.sort_array(F.collect_list(F.struct("x", "seq", "piece")))
-    return own.groupBy(*line).agg(all_.alias("all")).select(*line, T.collapse(F.array_join(F.expr("transform(all, p -> p.piece)"), "")).alias("text"))
+    return own.withColumn("piece", F.when(F.coalesce(gap, F.lit(False)), F.concat(F.lit(" "), F.col("text"))).otherwise(F.col("text")))
+
+
+def _line_text() -> Column:
+    return T.collapse(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("x", "seq", "piece"))), lambda p: p["piece"]), ""))
+
+
+def _line_size() -> list[Column]:
+    return [F.greatest(F.max("font_size"), F.lit(0.0)).alias("font_size"), F.bool_or(F.coalesce(F.col("font_name").rlike(T.BOLD), F.lit(False))).alias("bold")]
+
+
+def joined_text(items: DataFrame, line: list[str]) -> DataFrame:
+    """(line..., text): a line's items from left to right, spaces put where gaps ask for them."""
+    return _spaced(items, line).groupBy(*line).agg(_line_text().alias("text"))
 
 
 def line_boxes(items: DataFrame, line: list[str]) -> DataFrame:
@@ -103,7 +114,12 @@ def line_boxes(items: DataFrame, line: list[str]) -> DataFrame:
 
 def line_sizes(items: DataFrame, line: list[str]) -> DataFrame:
     """(line..., font_size, bold): the largest size, not under 0, and whether any item is bold."""
-    return items.groupBy(*line).agg(F.greatest(F.max("font_size"), F.lit(0.0)).alias("font_size"), F.bool_or(F.coalesce(F.col("font_name").rlike(T.BOLD), F.lit(False))).alias("bold"))
+    return items.groupBy(*line).agg(*_line_size())
+
+
+def lines_of(items: DataFrame, line: list[str]) -> DataFrame:
+    """(line..., text, font_size, bold) in one pass over the items: one exchange by the line serves the gaps and the sums."""
+    return _spaced(items, line).groupBy(*line).agg(_line_text().alias("text"), *_line_size())
 
 
 def baselines(lines: DataFrame) -> DataFrame:
@@ -162,9 +178,9 @@ def extract(items: DataFrame, held: DataFrame) -> DataFrame:
     own = usable_items(items).withColumn("font_size", F.abs("font_size"))
     own = assign_containers(own, held).join(y_buckets(own), [*PAGE, "seq"])
     own = own.withColumn("container", F.coalesce("container_id", F.lit(-1)))
-    line = [*PAGE, "bucket", "bucket_y", "container"]
-    lines = joined_text(own, line).join(line_sizes(own, line), line)
-    lines = lines.join(baselines(lines), "doc").where("text <> ''")
+    lines = lines_of(own, [*PAGE, "bucket", "bucket_y", "container"])
+    positive = F.when(F.col("font_size") > 0, F.col("font_size"))
+    lines = lines.withColumn("baseline", F.coalesce(F.median(positive).over(Window.partitionBy("doc")), F.lit(0.0))).where("text <> ''")
     lines = lines.withColumn("type", heading_rule(F.col("font_size"), F.col("bold"), F.col("text"), F.col("baseline")))
     order = Window.partitionBy(*PAGE).orderBy(F.desc(F.round("bucket_y", 3)), "container", "bucket")
     return lines.select(*PAGE, F.row_number().over(order).alias("line_no"), "type", "text", F.nullif("container", F.lit(-1)).alias("container_id"))

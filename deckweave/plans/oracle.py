@@ -232,8 +232,8 @@ WITH o AS (SELECT module_key, title, row_number() OVER (PARTITION BY course ORDE
 SELECT module_key, concat(CASE WHEN nth < 10 THEN concat('0', nth) ELSE CAST(nth AS VARCHAR) END, '-', {safe('title', 120, 'untitled')}) AS file_base FROM o""",
     "pick_courses": """
 WITH c AS (SELECT course_code, row_number() OVER (ORDER BY course_code) AS ordinal FROM (SELECT DISTINCT course_code FROM course_nodes WHERE course_code IS NOT NULL)),
-hit AS (SELECT * FROM c WHERE ordinal IN (1, 3, 99999999))
-SELECT * FROM hit UNION ALL SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM hit)""",
+hit AS (SELECT * FROM c WHERE ordinal IN (1, 3, 999))
+SELECT * FROM hit UNION ALL SELECT course_code, NULL FROM c WHERE NOT EXISTS (SELECT 1 FROM hit)""",
     "priority_asset_pick": f"""
 WITH r AS (SELECT course, asset_url, row_number() OVER (PARTITION BY course ORDER BY asset_url IS NULL OR asset_url = '', CASE {kind('asset_url')} WHEN 'pdf' THEN 0 WHEN 'unknown' THEN 2 ELSE 1 END, ordinal, module_key) AS nth FROM {REC})
 SELECT course, coalesce(asset_url, '') AS asset_url FROM r WHERE nth = 1""",

@@ -12,6 +12,7 @@ from deckweave.functions import urls as U
 from deckweave.operators import align, audit, catalog, fit, html, layout, translate
 from deckweave.plans import bindings as B
 from deckweave.plans import pipeline
+from deckweave.session import cut
 from deckweave.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -312,7 +313,7 @@ def module_file_base(spark, d):
 @query
 def pick_courses(spark, d):
     own = B.of(spark, d, B.NODES).select("course_code").where("course_code IS NOT NULL").distinct()
-    return catalog.chosen(own, "3, 1, x, 3, 99999999", ["course_code"]).select("course_code", long("ordinal"))
+    return catalog.chosen(own, "3, 1, x, 3, 999", ["course_code"]).select("course_code", long("ordinal"))
 
 
 @query
@@ -492,7 +493,7 @@ def pipeline_end_to_end(spark, d):
     """Items to audited, translated pages through the named stages (no SQL: it is the other queries in a row)."""
     def extract(tables, options):
         raw = layout.extract(tables["items"], layout.containers(tables["boxes"], 900.0 * 900.0))
-        return {"lines": layout.reflow(layout.without_noise(raw), ["doc", "page"], ["line_no"])}
+        return {"lines": cut(layout.reflow(layout.without_noise(raw), ["doc", "page"], ["line_no"]))}  # read twice below
 
     def translated(tables, options):
         run = translate.backend(options.backend) if options.backend == "identity" else translate.backend("dictionary", entries=tables["dictionary"])
