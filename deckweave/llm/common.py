@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import pickle
-import tempfile
 from typing import Any
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from deckweave.session import cut as cut
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -47,13 +48,7 @@ def least_by_hash(df: DataFrame, columns: list[str], most: int, spare: int = 50)
     return own.distinct().orderBy(mixed, *columns).limit(most).collect()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written once to the checkpoint folder the cluster names, so that two readers share one computation.
-
-    Only where no folder is set, as in tests on one machine, one is made.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="deckweave"))
-    return df.checkpoint()
+def spread(df: DataFrame) -> DataFrame:
+    """A scan that Python works on, in at least as many partitions as there are cores; larger inputs have them anyway and don't move."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shared
+from .common import Shared, spread
 from .langid import LANGS, language_code
 from .lookalike import fold_look
 
@@ -255,7 +255,7 @@ def _sum_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def fit_endings(documents: DataFrame, text: str = "text", lang: str = "lang") -> EndModel:
     """The model over all texts of a column; its size is fixed (some 50 MB)."""
-    own = documents.where(F.length(F.trim(text)) > 0).select(text, lang)
+    own = spread(documents.where(F.length(F.trim(text)) > 0).select(text, lang))
     shape = "block int, counts binary"
     last = own.select(F.substring_index(F.regexp_replace(text, "\\s+$", ""), "\n", -2).alias("t"))
     tails = last.mapInPandas(_tails, "tail string").distinct()
@@ -293,4 +293,4 @@ def score_endings(documents: DataFrame, doc_id: str = "doc_id", text: str = "tex
             out["cut"] = out["log_odds"] < out["threshold"]
             yield out.astype({"log_odds": "float64", "threshold": "float64", "cut": "bool"})
 
-    return own.where(F.length(F.trim(text)) > 0).mapInPandas(score, schema)
+    return spread(own.where(F.length(F.trim(text)) > 0)).mapInPandas(score, schema)

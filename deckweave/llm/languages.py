@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shared, cut, least_by_hash
+from .common import Shared, cut, least_by_hash, spread
 from .langid import LANGS, MAX_TRAIN, NAMES, LanguageFilters, letters, pick
 
 #: A sentence has at least so many words of two letters or more.
@@ -66,7 +66,7 @@ def line_languages(lines: DataFrame, filters: LanguageFilters, keys: list[str],
             out["sentence"] = [sum(len(w) > 1 for w in t.split()) >= SENTENCE_WORDS for t in own]
             yield out[out["lang"].notna()]
 
-    return lines.select(*keys, text).where(f"length(trim({text})) > 0").mapInPandas(read, shape)
+    return spread(lines.select(*keys, text).where(f"length(trim({text})) > 0")).mapInPandas(read, shape)
 
 
 def document_languages(read: DataFrame, doc: str = "tdoc_id") -> DataFrame:

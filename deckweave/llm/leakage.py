@@ -28,6 +28,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from .common import spread
 from .lookalike import fold_look
 
 PIECE = 4
@@ -227,8 +228,8 @@ def leaked_items(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id",
     rows = [(r[0], r[1]) for r in items.select(item_id, item_text).where(f"{item_id} IS NOT NULL").orderBy(item_id).toLocalIterator()]
     own = own_words(rows)
     ids = list(own)
-    schema = f"doc_id bigint, item_id bigint, held double"
-    source = documents.select(doc_id, text).where(f"{doc_id} IS NOT NULL AND {text} IS NOT NULL")
+    schema = "doc_id bigint, item_id bigint, held double"
+    source = spread(documents.select(doc_id, text).where(f"{doc_id} IS NOT NULL AND {text} IS NOT NULL"))
     out = None
     for at in range(0, max(len(ids), 1), BLOCK):
         block = {i: own[i] for i in ids[at : at + BLOCK]}

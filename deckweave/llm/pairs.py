@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shared, least_by_hash
+from .common import Shared, least_by_hash, spread
 from .langid import LANGS, LanguageFilters, pick
 from .lookalike import fold_look
 
@@ -331,4 +331,4 @@ def defective_pairs(pairs: DataFrame, labelled: DataFrame, pair_id: str = "pair_
             out = pd.DataFrame({"pair_id": pdf.iloc[:, 0], "defect": model.value.label(*(pdf[c].tolist() for c in ("h", "p", "status")))})
             yield out[out["defect"].notna()].astype({"pair_id": "int64"})
 
-    return pairs.select(pair_id, "h", "p", "status").where(F.col(pair_id).isNotNull()).mapInPandas(score, "pair_id bigint, defect string")
+    return spread(pairs.select(pair_id, "h", "p", "status").where(F.col(pair_id).isNotNull())).mapInPandas(score, "pair_id bigint, defect string")
