@@ -41,9 +41,8 @@ class Options:
 
 
 def truthy(value: str | None, default: bool = False) -> bool:
-    """A setting's yes or no; anything else is the default."""
-    x = (value or "").strip().lower()
-    return True if x in ("1", "true", "yes", "on") else False if x in ("0", "false", "no", "off") else default
+    """A setting's yes or no: true is yes, nothing is the default, all else is no."""
+    return default if not value else value.lower() == "true"
 
 
 def run_stages(stages: list[Stage], tables: Tables, options: Options, stop_after: str | None = None) -> tuple[Tables, list[str]]:

@@ -243,4 +243,4 @@ def test_pipeline():
         pipeline.run_stages(stages, {}, pipeline.Options(), "x")
     o = pipeline.Options.parse(["--render", "--target-lang=es"])
     assert (o.render, o.translate, o.all_courses, o.target_lang) == (True, True, True, "es")
-    assert [pipeline.truthy(x, True) for x in ("yes", "0", "?", None)] == [True, False, True, True]
+    assert [pipeline.truthy(x, True) for x in ("TRUE", "0", "yes", "", None)] == [True, False, False, True, True]

@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from deckweave.plans import oracle, registry
+from deckweave.plans import more, oracle, registry
 from deckweave.sources import sinks, tables
 from deckweave.sources.positioned import PositionedText
 from deckweave.streaming import arrivals
@@ -31,6 +31,7 @@ def rows(found):
     return sorted(repr(tuple(plain(v) for v in r)) for r in found)
 
 
+SQL = oracle.oracle_sql() | more.SQL
 KINDS = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN"}
 
 
@@ -40,10 +41,10 @@ def test_query(spark, other, name):
     df = registry.queries()[name](spark, DATA)
     columns = sorted(df.columns)
     got = df.select(*(f"`{c}`" for c in columns)).collect()
-    if name not in oracle.oracle_sql():
+    if name not in SQL:
         assert got
         return
-    result = other.execute(oracle.oracle_sql()[name])
+    result = other.execute(SQL[name])
     names = [d[0] for d in result.description]
     types = {d[0]: str(d[1]) for d in result.description}
     at = [names.index(c) for c in columns]
