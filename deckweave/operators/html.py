@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import _parse_datatype_string
 
 from deckweave.functions import text as T
 
@@ -157,14 +159,17 @@ _ROW = "array<struct<title:string,module_id:string,course_id:string,module_data_
 
 
 def _parsed(pages: DataFrame, html: str, parse, shape: str) -> DataFrame:
-    """Adds the column ``parsed``; markup goes to the parser in Arrow batches.  Null markup parses to an empty list."""
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema.fields)
+    """Adds the column ``parsed``; markup goes to the parser in Arrow batches, the other columns pass by untouched.  Null markup parses to an empty list."""
+    names = pages.columns
+    at, kind = names.index(html), to_arrow_type(_parse_datatype_string(shape))
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pdf.assign(parsed=[parse(x) if x else [] for x in pdf[html]])
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [parse(x) if x else [] for x in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], names=[*names, "parsed"])
 
-    return pages.mapInPandas(work, f"{fields}, parsed {shape}")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema.fields)
+    return pages.mapInArrow(work, f"{fields}, parsed {shape}")
 
 
 def extract_cards(pages: DataFrame, html: str = "html") -> DataFrame:
