@@ -20,6 +20,8 @@ import unicodedata
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from deckweave.session import cut
+
 # Letters of other scripts drawn like a Latin letter.
 LETTERS_FROM = (
     "АВЕЅІЈКМНОРСТХУҮӀԌԚԜ" "аеорсухѕіјһԁԛԝѵӏ" "ЁЇёї" "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ" "ονϲϳ" "օɑɡ"
@@ -136,7 +138,7 @@ def look_matches(reference: DataFrame, ref_key: str, ref_value: str, rows: DataF
     odd = ref.where("value <> look").select(F.col("look").alias("value"), F.lit(True).alias("odd")).distinct()
     lines = rows.select(F.col(key).alias("key_b"), F.col(value).alias("value"))
     lines = lines.join(odd, "value", "left").where(~is_plain("value") | F.col("odd"))
-    lines = with_look(lines.select("key_b", "value"), "value")
+    lines = cut(with_look(lines.select("key_b", "value"), "value"))  # the few rows in question, read three times below
     members = canonical_members(ref.select("value", "look").unionByName(lines.select("value", "look")))
     a = ref.join(members, "value").select("canonical", "key_a", F.col("value").alias("a"))
     b = lines.join(members, "value").select("canonical", "key_b", F.col("value").alias("b"))
