@@ -22,7 +22,8 @@ texts' counts and hands them on in blocks; blocks are summed as they stream by,
 so no group of any size is held.
 
 Defined results: null, empty and blank texts are never cut; a repeated text has
-the same result under each id; a null source is a source of its own in the report.
+the same result under each id; a null source is a source of its own in the report;
+rows without an id are left out.
 """
 
 from __future__ import annotations
@@ -276,7 +277,7 @@ def fit_endings(documents: DataFrame, text: str = "text", lang: str = "lang") ->
 def score_endings(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", keep: Sequence[str] = ()) -> DataFrame:
     """(doc_id, keep..., log_odds, threshold, cut) for every document with a text that isn't blank."""
     model = Shared(documents.sparkSession, fit_endings(documents, text, lang))
-    own = documents.select(doc_id, text, lang, *keep)
+    own = documents.select(doc_id, text, lang, *keep).where(F.col(doc_id).isNotNull())
     fields = {f.name: f.dataType.simpleString() for f in own.schema.fields}
     schema = ", ".join(f"`{c}` {fields[c]}" for c in (doc_id, *keep)) + ", log_odds double, threshold double, cut boolean"
 

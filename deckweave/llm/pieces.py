@@ -110,9 +110,9 @@ def split_items(items: DataFrame, keys: Sequence[str], text: str, limit: int = L
     if range_chars < 2 * (limit + overlap + SIDE):
         raise ValueError("a range must be longer than two pieces")
     fields = {f.name: f.dataType.simpleString() for f in items.schema.fields}
-    own_keys, keys = [f"key_{i}" for i in range(len(keys))], list(keys)  # the callers' names may clash with ours
-    shape = ", ".join(f"`{k}` {fields[n]}" for k, n in zip(own_keys, keys)) + ", range_no int, in_range int, start bigint, end bigint, piece string"
-    own = items.select(*(F.col(n).alias(k) for k, n in zip(own_keys, keys)), F.col(text).alias("text"), F.length(text).cast("bigint").alias("size")).where("size > 0")
+    own_keys, keys = [f"key_{i}" for i in range(len(keys))], list(keys)  # the callers' names may clash with ours, and text keeps keys exact
+    shape = ", ".join(f"`{k}` string" for k in own_keys) + ", range_no int, in_range int, start bigint, end bigint, piece string"
+    own = items.select(*(F.col(n).cast("string").alias(k) for k, n in zip(own_keys, keys)), F.col(text).alias("text"), F.length(text).cast("bigint").alias("size")).where("size > 0")
     names, keys = keys, own_keys
     small = own.where(F.col("size") <= limit).select(*keys, F.lit(1).alias("piece_no"), F.lit(0).cast("bigint").alias("start"), F.col("size").alias("end"), F.col("text").alias("piece"))
     left = overlap + 2 * SIDE
@@ -134,15 +134,16 @@ def split_items(items: DataFrame, keys: Sequence[str], text: str, limit: int = L
     many = ranged.where("ranges > 1").select(*keys, "range_no", "ranges", "base", "chunk").mapInPandas(work, shape)
     one = one.select(*keys, F.col("in_range").alias("piece_no"), "start", "end", "piece")
     out = small.unionByName(one).unionByName(_numbered(many, keys))
-    return out.select(*(F.col(k).alias(n) for k, n in zip(keys, names)), "piece_no", "start", "end", "piece")
+    return out.select(*(F.col(k).cast(fields[n]).alias(n) for k, n in zip(keys, names)), "piece_no", "start", "end", "piece")
 
 
 def _numbered(pieces: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Numbers through the whole item, from prefix sums of the ranges' counts."""
     counts = pieces.groupBy(*keys, "range_no").agg(F.count("*").cast("int").alias("in_it"))
     over = Window.partitionBy(*keys).orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
-    before = counts.select(*keys, "range_no", F.coalesce(F.sum("in_it").over(over), F.lit(0)).cast("int").alias("before"))
-    return pieces.join(before, [*keys, "range_no"]).select(*keys, (F.col("before") + F.col("in_range")).alias("piece_no"), "start", "end", "piece")
+    before = counts.select(*(F.col(k).alias(f"b_{k}") for k in (*keys, "range_no")), F.coalesce(F.sum("in_it").over(over), F.lit(0)).cast("int").alias("before"))
+    same = [F.col(k).eqNullSafe(F.col(f"b_{k}")) for k in (*keys, "range_no")]
+    return pieces.join(before, same).select(*keys, (F.col("before") + F.col("in_range")).alias("piece_no"), "start", "end", "piece")
 
 
 def split_files(spark: SparkSession, path: str, limit: int = LIMIT, overlap: int = OVERLAP, range_bytes: int = 1 << 24) -> DataFrame:

@@ -139,3 +139,18 @@ def test_defective_pairs_on_held_out_kinds(spark):
     assert {b[0]: got.get(b[0]) for b in bad} == {b[0]: b[4] for b in bad}
     assert sum(k < 1000 for k in got) <= 5
     assert pairs.defective_pairs(df.where("false"), segments(spark)).count() == 0
+
+
+def test_long_texts_null_ids_and_clashing_names(spark):
+    big = 2**60 + 1
+    long = " ".join(SENTENCES["fr"] * 6000)
+    rows = [(big, 1, long, None, "x", 1), (big, 2, SENTENCES["fr"][0], None, "x", 1), (None, 1, SENTENCES["fr"][0], None, "x", 1), (3, None, SENTENCES["es"][0], "es", "x", 1)]
+    df = spark.createDataFrame(rows, "tdoc_id bigint, line_no int, p string, target_lang string, lang string, size int")
+    assert {tuple(r)[:3] for r in languages.wrong_languages(df, segments(spark)).collect()} == {(big, 0, "fr")}
+    rows = [(i, "The river moves through the valley. " * 3 + "Done.", None, "s", 1, True) for i in range(50)] + [(big, "word and " * 40_000 + "wor", "en", "s", 1, True), (None, "text.", "en", "s", 1, True)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, log_odds int, cut boolean")
+    got = {r["doc_id"]: r["cut"] for r in endings.score_endings(df).collect()}
+    assert set(got) == {*range(50), big} and not got[0]
+    rows = [(big, "How does the motor change?", SENTENCES["en"][0] * 3000, None, "x"), (None, "How?", None, None, "x"), (5, None, None, None, "x")]
+    df = spark.createDataFrame(rows, "pair_id bigint, h string, p string, status string, defect string")
+    assert {tuple(r) for r in pairs.defective_pairs(df, segments(spark)).collect()} == {(5, "empty")}

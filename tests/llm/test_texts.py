@@ -105,7 +105,7 @@ def test_cuts_prefer_lines_then_sentences_then_words():
 def test_split_items_over_many_ranges(spark):
     rng = random.Random(3)
     long = "".join(rng.choice(UNITS) for _ in range(3000))
-    rows = [(1, long), (2, "short"), (3, ""), (4, None), (5, "नी" * 2000), (6, "z" * 5000)]
+    rows = [(2**60 + 1, long), (2, "short"), (3, ""), (4, None), (5, "नी" * 2000), (6, "z" * 5000), (None, "word " * 900)]
     df = spark.createDataFrame([(k, v, 7, 8) for k, v in rows], "start bigint, text string, size int, ranges int")
     got = pieces.split_items(df, ["start"], "text", 120, 30, 1024).toDF("key", "piece_no", "start", "end", "piece").orderBy("key", "piece_no").collect()
     for key, text in rows:
