@@ -6,8 +6,9 @@ sentence in another one.
 
 Defined results: null and blank lines and lines without words have no language;
 a document without any has none and is no case; on a tie the language listed
-first in ``LANGS`` wins; a line delivered again counts once in the result; labels
-in any notation of a language are equal, and words for "unknown" are no label.
+first in ``LANGS`` wins; a line delivered again counts once; labels
+in any notation of a language are equal, and words for "unknown" are no label;
+rows without their keys are left out.
 """
 
 from __future__ import annotations
@@ -66,12 +67,14 @@ def line_languages(lines: DataFrame, filters: LanguageFilters, keys: list[str],
             out["sentence"] = [sum(len(w) > 1 for w in t.split()) >= SENTENCE_WORDS for t in own]
             yield out[out["lang"].notna()]
 
-    return spread(lines.select(*keys, text).where(f"length(trim({text})) > 0")).mapInPandas(read, shape)
+    named = lines.select(*keys, text).dropna(subset=keys).where(f"length(trim({text})) > 0")
+    return spread(named).mapInPandas(read, shape)
 
 
 def document_languages(read: DataFrame, doc: str = "tdoc_id") -> DataFrame:
     """(doc, main, confidence) from line languages: confidence is the main language's share of the text times its lines' mean confidence."""
-    by = read.groupBy(doc, "lang").agg(F.sum("size").alias("size"), F.avg("confidence").alias("sure"))
+    once = read.groupBy(doc, "line_no", "lang").agg(F.max("size").alias("size"), F.max("confidence").alias("confidence"))
+    by = once.groupBy(doc, "lang").agg(F.sum("size").alias("size"), F.avg("confidence").alias("sure"))
     rank = F.struct(F.col("size"), -F.array_position(F.lit(list(LANGS)), F.col("lang")), F.col("sure"))
     best = by.groupBy(doc).agg(F.max_by("lang", rank).alias("main"), F.max(rank)["size"].alias("most"), F.max(rank)["sure"].alias("sure"), F.sum("size").alias("all"))
     return best.select(doc, "main", (F.col("most") / F.col("all") * F.col("sure")).alias("confidence"))
