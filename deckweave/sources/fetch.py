@@ -21,6 +21,8 @@ from deckweave.functions import urls as U
 from deckweave.operators.reports import TRANSIENT
 
 SHAPE = "url string, status int, final_url string, body binary, error string, signed_out boolean"
+#: Connections that were lost or took too long; one that is refused isn't tried again.
+LOST = (ConnectionResetError, ConnectionAbortedError, BrokenPipeError, TimeoutError)
 # Marks of a page that asks for a sign-in.
 SIGN_IN_BODY = "(?i)login\\.microsoftonline\\.com|name=\"loginfmt\"|\"urlMsaLogout\""
 
@@ -39,7 +41,8 @@ def read_url(url: str, headers: dict[str, str], seconds: float, attempts: int, p
             again = error.code in U.TRY_AGAIN
         except (OSError, ValueError) as error:
             out |= {"status": None, "error": str(error) or type(error).__name__}
-            again = isinstance(error, (ConnectionError, TimeoutError)) or bool(re.search(TRANSIENT, str(error)))
+            cause = getattr(error, "reason", error)
+            again = isinstance(cause, LOST) or bool(re.search(TRANSIENT, str(error)))
         if not again or attempt == attempts:
             return out
         pause(attempt)

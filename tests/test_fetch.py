@@ -46,7 +46,12 @@ def test_dependent_fetch(spark, server):
     assert [r["url"] for r in fetch.missing(asked, pages.where("NOT failed")).collect()] == [f"{server}/none"]
 
 
-def test_pauses():
-    waits = []
-    out = fetch.read_url("http://127.0.0.1:9/", {}, 2, 3, waits.append)
-    assert out["error"] and waits == [1, 2]
+def test_pauses(monkeypatch):
+    waits, calls = [], []
+
+    def lost(*args, **kwargs):
+        calls.append(1)
+        raise ConnectionResetError("reset")
+
+    monkeypatch.setattr("urllib.request.urlopen", lost)
+    assert fetch.read_url("http://x.example/", {}, 2, 3, waits.append)["error"] == "reset" and waits == [1, 2] and len(calls) == 3
