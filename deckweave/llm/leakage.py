@@ -7,9 +7,11 @@ hits of one item that lie on the same diagonals are verified by Myers'
 bit-parallel distance, on words.
 
 The guarantee.  A leaked half of n own words lies in at most two passages.  Cut
-into pieces of ``PIECE`` words it holds at least n / (2 PIECE) - 3 whole pieces;
-with fewer than that minus ``LEAST_HITS`` words replaced or dropped, at least
-``LEAST_HITS`` of them stand unchanged, so no such document is passed over.
+into pieces of ``PIECE`` words it holds at least n / (2 PIECE) - 3 whole pieces.
+Its error budget is one word replaced or dropped in ``ERROR_EVERY``; an error
+spoils one piece, so n / (2 PIECE) - 3 - n / (2 ERROR_EVERY) of them stand
+unchanged, and documents with fewer hits of the item in two bands of diagonals
+are passed over (as are those with fewer than ``LEAST_HITS``).
 
 The items are the query set: they are walked in blocks of ``BLOCK`` against all
 documents, so what a task holds is bounded however many there are.
@@ -20,6 +22,7 @@ words of its own never leaks; repeated documents each count under their id.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
@@ -33,6 +36,7 @@ from .lookalike import fold_look
 
 PIECE = 4
 LEAST_HITS = 3
+ERROR_EVERY = 12
 BAND = 10  # diagonals that hits of one passage may spread over
 HALF = 0.5
 ERRORS = 0.25  # share of a passage's words that may be replaced or dropped
@@ -120,6 +124,7 @@ class ItemIndex:
         self.ids = [i for i, w in items.items() if len(w) >= PIECE]
         self.vocabulary = {w: k for k, w in enumerate(sorted({w for i in self.ids for w in items[i]}), 1)}
         self.items = [[self.vocabulary[w] for w in items[i]] for i in self.ids]
+        self.least = np.array([max(LEAST_HITS, math.floor(len(x) / (2 * PIECE) - 3 - len(x) / (2 * ERROR_EVERY))) for x in self.items], dtype=np.int64)
         hashes, entries = [], []
         for k, seq in enumerate(self.items):
             for start in range(0, len(seq) - PIECE + 1, PIECE):
@@ -153,12 +158,34 @@ class ItemIndex:
         doc, item, start = of[at], self.entries[entry, 0], self.entries[entry, 1]
         where = at - first[doc]
         pair = doc * len(self.ids) + item
+        near = np.isin(pair, self._close(pair, where - start, start, self.least))
+        pair, where, start = pair[near], where[near], start[near]
+        if not len(pair):
+            return
         order = np.lexsort((where - start, pair))
         pair, where, start = pair[order], where[order], start[order]
         edges = np.flatnonzero(np.diff(pair)) + 1
         for a, b in zip(np.concatenate([[0], edges]), np.concatenate([edges, [len(pair)]])):
-            if b - a >= LEAST_HITS and len(np.unique(start[a:b])) >= LEAST_HITS:
-                yield int(pair[a] // len(self.ids)), int(pair[a] % len(self.ids)), list(zip(start[a:b].tolist(), where[a:b].tolist()))
+            yield int(pair[a] // len(self.ids)), int(pair[a] % len(self.ids)), list(zip(start[a:b].tolist(), where[a:b].tolist()))
+
+    @staticmethod
+    def _close(pair: np.ndarray, diagonal: np.ndarray, piece: np.ndarray, least: np.ndarray) -> np.ndarray:
+        """Pairs whose best two bands may hold enough pieces: a band lies in two neighbouring stripes of diagonals, so their sums bound it from above."""
+        stripe = diagonal // (BAND + 1)
+        stripe = stripe - stripe.min() + 1
+        wide, deep = int(stripe.max()) + 2, int(piece.max()) + 1
+        cells = np.unique((pair * wide + stripe) * deep + piece) // deep
+        cell, count = np.unique(cells, return_counts=True)
+        of, at = cell // wide, cell % wide
+        follows = np.zeros(len(count), np.int64)
+        follows[:-1] = np.where((of[1:] == of[:-1]) & (at[1:] == at[:-1] + 1), count[1:], 0)
+        both = count + follows
+        order = np.lexsort((-both, of))
+        of, both = of[order], both[order]
+        first = np.concatenate([[True], of[1:] != of[:-1]]) if len(of) else np.zeros(0, bool)
+        second = np.zeros(len(of), np.int64)
+        second[:-1] = np.where(of[1:] == of[:-1], both[1:], 0)
+        return of[first & (both + second >= least[of % len(least)])]
 
     def held(self, item: list[int], doc: list[int], hits: list[tuple[int, int]]) -> int:
         """Own words that stand in the best two passages of the document, in the item's order."""
