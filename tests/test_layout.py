@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from deckweave.operators import align, audit, catalog, fit, layout, translate
+from deckweave.operators import align, audit, catalog, fit, layout, reports, translate
 from deckweave.plans import pipeline
 
 ITEM = "doc int, page int, seq bigint, text string, x double, y double, font_size double, font_name string, width double"
@@ -244,3 +244,17 @@ def test_pipeline():
     o = pipeline.Options.parse(["--render", "--target-lang=es"])
     assert (o.render, o.translate, o.all_courses, o.target_lang) == (True, True, True, "es")
     assert [pipeline.truthy(x, True) for x in ("TRUE", "0", "yes", "", None)] == [True, False, False, True, True]
+
+
+def test_reports(spark):
+    df = items(spark, [("b", 0.0, 1.0, 1.0, None, None), (" c ", 0.0, 1.0, 1.0, None, None)])
+    assert reports.page_texts(df, ["doc", "page"]).first()["text"] == "b c"
+    one = spark.createDataFrame([("http://h/v1//", 503, "x"), ("http://h", None, "socket hang up"), (None, 404, None)], "base string, status int, message string")
+    got = one.select(reports.endpoint(F.col("base")), reports.retryable(F.col("status"), F.col("message"))).collect()
+    assert [tuple(r) for r in got] == [("http://h/v1/chat/completions", True), ("http://h/chat/completions", True), (None, False)]
+    assert spark.range(1).select(reports.prompt(F.lit('{"pages":[]}'), "Tagalog")).first()[0].endswith('{"pages":[]}')
+    pages = spark.createDataFrame([(1, 2, "b", ""), (1, 1, "a", "A"), (1, 10, None, None)], "doc int, page int, source_text string, translated_text string")
+    out = reports.module_json(pages, "doc").first()
+    assert out["page_count"] == 3 and out["json"] == '{"PAGE 1":{"original":"a","translated":"A"},"PAGE 2":{"original":"b","translated":"b"},"PAGE 10":{"original":"","translated":""}}'
+    ratio = reports.length_ratio(spark.createDataFrame([(1, "ab", "abc"), (2, "", "x")], "doc int, source_text string, translated_text string"), "doc")
+    assert {r["doc"]: r["ratio"] for r in ratio.collect()} == {1: 1.5, 2: None}
