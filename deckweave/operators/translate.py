@@ -44,13 +44,17 @@ def _identity() -> Backend:
 @register("dictionary")
 def _dictionary(entries: DataFrame | None = None, source: str = "p", target: str = "translated") -> Backend:
     """Looks texts up in a table; the join is broadcast only if Spark finds the table small."""
+    table = None
+    if entries is not None:
+        own = entries.select(T.collapse(F.col(source)).alias("text"), F.col(target).alias("translated"))
+        table = own.groupBy("text").agg(F.min("translated").alias("translated"))
 
     def run(texts: DataFrame) -> DataFrame:
-        if entries is None:
+        if table is None:
             return texts.select("text", F.lit(None).cast("string").alias("translated"))
-        own = entries.select(T.collapse(F.col(source)).alias("text"), F.col(target).alias("translated"))
-        return texts.join(own.groupBy("text").agg(F.min("translated").alias("translated")), "text", "left")
+        return texts.join(table, "text", "left")
 
+    run.table = table
     return run
 
 
@@ -87,10 +91,15 @@ def again(call: Callable, attempts: int, wait: Callable[[float], None] | None =
 
 
 def translate_column(df: DataFrame, text: str, run: Backend, out: str = "translated") -> DataFrame:
-    """Adds ``out``: each distinct text (white space collapsed) goes to the backend once and is joined back; texts without one stay as they are."""
+    """Adds ``out``: each distinct text (white space collapsed) goes to the backend once and is joined back; texts without one stay as they are.
+
+    A backend that is a table anyway is joined as it is, without the detour over the distinct texts.
+    """
     own = df.withColumn("_text", T.collapse(F.col(text)))
-    distinct = own.where("_text <> ''").select(F.col("_text").alias("text")).distinct()
-    found = run(distinct).where("translated IS NOT NULL").select(F.col("text").alias("_text"), F.col("translated").alias("_new"))
+    found = getattr(run, "table", None)
+    if found is None:
+        found = run(own.where("_text <> ''").select(F.col("_text").alias("text")).distinct())
+    found = found.where("translated IS NOT NULL").select(F.col("text").alias("_text"), F.col("translated").alias("_new"))
     return own.join(found, "_text", "left").withColumn(out, F.coalesce("_new", "_text")).drop("_text", "_new")
 
 
