@@ -80,11 +80,23 @@ def document_languages(read: DataFrame, doc: str = "tdoc_id") -> DataFrame:
     return best.select(doc, "main", (F.col("most") / F.col("all") * F.col("sure")).alias("confidence"))
 
 
+def _deviating(read: DataFrame, main: DataFrame) -> DataFrame:
+    """(tdoc_id, line_no, lang, confidence) of the sentences in another language than their document's."""
+    own = read.join(main.select("tdoc_id", "main"), "tdoc_id").where("sentence AND lang <> main")
+    return own.groupBy("tdoc_id", "line_no", "lang").agg(F.max("confidence").alias("confidence"))
+
+
+def all_languages(lines: DataFrame, segments: DataFrame) -> DataFrame:
+    """(tdoc_id, line_no, lang, confidence): every document (line_no 0) and every deviating line."""
+    read = cut(line_languages(lines, fit_filters(segments, lines, "p"), ["tdoc_id", "line_no"], "p"))
+    main = document_languages(read)
+    return main.select("tdoc_id", F.lit(0).alias("line_no"), F.col("main").alias("lang"), "confidence").unionByName(_deviating(read, main))
+
+
 def wrong_languages(lines: DataFrame, segments: DataFrame) -> DataFrame:
     """(tdoc_id, line_no, lang, confidence): documents (line_no 0) whose label is missing or wrong, and deviating lines."""
     read = cut(line_languages(lines, fit_filters(segments, lines, "p"), ["tdoc_id", "line_no"], "p"))
     main = document_languages(read)
     labels = lines.groupBy("tdoc_id").agg(F.max(label_language("target_lang")).alias("label"))
     documents = main.join(labels, "tdoc_id").where("label IS NULL OR label <> main").select("tdoc_id", F.lit(0).alias("line_no"), F.col("main").alias("lang"), "confidence")
-    deviating = read.join(main.select("tdoc_id", "main"), "tdoc_id").where("sentence AND lang <> main").groupBy("tdoc_id", "line_no", "lang").agg(F.max("confidence").alias("confidence"))
-    return documents.unionByName(deviating.select("tdoc_id", "line_no", "lang", "confidence"))
+    return documents.unionByName(_deviating(read, main))

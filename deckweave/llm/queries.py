@@ -59,6 +59,12 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages.wrong_languages(table(spark, sf_dir, "translated_lines"), table(spark, sf_dir, "segment_dictionary")).select("tdoc_id", "line_no", "lang")
 
 
+def p5_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language and a confidence of every document and of every deviating line."""
+    own = languages.all_languages(table(spark, sf_dir, "translated_lines"), table(spark, sf_dir, "segment_dictionary"))
+    return own.select("tdoc_id", "line_no", "lang", F.round("confidence", 4).alias("confidence"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document."""
     documents = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -70,6 +76,12 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
 
 
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many documents leak each item, and the largest share of it that one holds."""
+    own = leakage.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return own.groupBy("item_id").agg(F.count("*").alias("documents"), F.round(F.max("held"), 4).alias("most_held"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that stop before they are over."""
     return endings.score_endings(table(spark, sf_dir, "documents")).where("cut").select("doc_id")
@@ -83,7 +95,7 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p2_found, p2_clean, p3_found, p3_canonical, p4_found, p4_pieces, p5_found, p6_ids, p7_found, p8_found, p8_report)
+    for f in (p1_found, p2_found, p2_clean, p3_found, p3_canonical, p4_found, p4_pieces, p5_found, p5_languages, p6_ids, p7_found, p7_report, p8_found, p8_report)
 }
 
 

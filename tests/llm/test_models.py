@@ -47,6 +47,9 @@ def test_wrong_languages(spark):
     got = {(r["tdoc_id"], r["line_no"], r["lang"]) for r in languages.wrong_languages(df, segments(spark)).collect()}
     assert got == {(3, 0, "de"), (4, 0, "id"), (6, 0, "en"), (1, 7, "de")}
     assert languages.wrong_languages(df.where("false"), segments(spark)).count() == 0
+    every = {(r["tdoc_id"], r["line_no"]): (r["lang"], r["confidence"]) for r in languages.all_languages(df, segments(spark)).collect()}
+    assert {k: v[0] for k, v in every.items()} == {(1, 0): "es", (2, 0): "fr", (3, 0): "de", (4, 0): "id", (5, 0): "tl", (6, 0): "en", (1, 7): "de"}
+    assert all(0 < v[1] <= 1 for v in every.values())
 
 
 def distance(p, t):
