@@ -85,6 +85,6 @@ WITH s AS (SELECT doc, page, string_agg(text, chr(10) ORDER BY pos) AS a FROM {S
 SELECT s.doc, count(*) AS page_count, count(CASE WHEN coalesce(nullif(b, ''), a) = a THEN 1 END) AS untranslated FROM s LEFT JOIN t ON s.doc = t.doc AND s.page = t.page GROUP BY s.doc""",
     "retryable_failures": f"""SELECT module_key, coalesce(TRY_CAST(nullif(regexp_extract(error, 'HTTP ([0-9]+)', 1), '') AS INT) IN (429, 500, 502, 503, 504), FALSE) OR regexp_matches(error, {q(reports.TRANSIENT)}) AS again
 FROM {d('{records}')} WHERE error IS NOT NULL""",
-    "sign_in_pages": f"SELECT module_key, coalesce(regexp_matches(CASE WHEN module_key % 9 = 0 THEN concat(asset_url, '/login') ELSE asset_url END, {q(U.SIGN_IN)}), FALSE) AS sign_in FROM {d('{records}')}",
+    "sign_in_pages": f"SELECT module_key, coalesce(regexp_matches(CASE WHEN module_key % 9 = 0 THEN asset_url || '/login' ELSE asset_url END, {q(U.SIGN_IN)}), FALSE) AS sign_in FROM {d('{records}')}",
     "box_filter": f"SELECT doc, page, seq, round(width * height, 6) AS area FROM {d(B.BOXES)} WHERE width >= 5 AND height >= 5 AND width * height <= 90000.0 * 0.85",
 }
