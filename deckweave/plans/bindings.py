@@ -39,6 +39,19 @@ SELECT t.module_key AS doc, t.page, CAST(row_number() OVER (PARTITION BY t.modul
   CASE WHEN h IS NOT NULL THEN 'h' WHEN p IS NOT NULL THEN 'p' END AS key
 FROM {translated_lines} t JOIN (SELECT module_key, min(tdoc_id) AS tdoc_id FROM {translated_lines} GROUP BY module_key) f ON t.module_key = f.module_key AND t.tdoc_id = f.tdoc_id"""
 
+#: Each translated document with its module's source lines: doc is "module_key:tdoc_id", and a module without a translation has an empty tdoc_id.
+EVERY_SOURCE = """
+SELECT concat(coalesce(CAST(s.module_key AS VARCHAR(20)), ''), ':', coalesce(CAST(f.tdoc_id AS VARCHAR(20)), '')) AS doc, s.page, s.pos, s.h, s.p, s.c, s.text, s.key
+FROM (SELECT module_key, page, CAST(row_number() OVER (PARTITION BY module_key, page ORDER BY line_no, line_id) AS BIGINT) AS pos, h, p, c, coalesce(h, p, '') AS text,
+  CASE WHEN h IS NOT NULL THEN 'h' WHEN p IS NOT NULL THEN 'p' END AS key FROM {page_lines}) s
+LEFT JOIN (SELECT DISTINCT module_key, tdoc_id FROM {translated_lines}) f ON s.module_key = f.module_key"""
+
+EVERY_TRANSLATED = """
+SELECT concat(CAST(module_key AS VARCHAR(20)), ':', coalesce(CAST(tdoc_id AS VARCHAR(20)), '')) AS doc, page,
+  CAST(row_number() OVER (PARTITION BY module_key, tdoc_id, page ORDER BY line_no, tline_id) AS BIGINT) AS pos, h, p, c, coalesce(h, p, '') AS text,
+  CASE WHEN h IS NOT NULL THEN 'h' WHEN p IS NOT NULL THEN 'p' END AS key
+FROM {translated_lines} WHERE module_key IS NOT NULL"""
+
 RECORDS = """
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY module_key ORDER BY updated_at DESC, ordinal) AS newest FROM {module_records}) r WHERE newest = 1"""
 

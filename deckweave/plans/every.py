@@ -1,0 +1,46 @@
+"""The queries of source and translation over every translated document, not only each module's first, with their SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from deckweave.plans import bindings as B
+from deckweave.plans import more, registry
+from deckweave.plans.oracle import SRC, TRN, d, oracle_sql
+
+NAMES = ("overlay_page_join", "line_zip_join", "page_drift", "check_report", "shape_validation", "cache_validation", "drift_list", "length_ratio", "module_json")
+KEYS = {"module_key": 1, "tdoc_id": 2}
+
+
+def keyed(df):
+    """(module_key, tdoc_id, ...) in place of doc."""
+    part = {k: F.nullif(F.split_part("doc", F.lit(":"), F.lit(i)), F.lit("")).cast("bigint").alias(k) for k, i in KEYS.items()}
+    return df.select(*part.values(), *(c for c in df.columns if c != "doc"))
+
+
+def every(name: str) -> None:
+    own = getattr(more if name in more.SQL else registry, name)
+
+    def run(spark, folder):
+        number = {"number": "CAST(split_part(doc, ':', 1) AS BIGINT)"} if name == "cache_validation" else {}
+        return keyed(own(spark, folder, B.EVERY_SOURCE, B.EVERY_TRANSLATED, **number))
+
+    run.__name__ = f"{name}_every"
+    registry.query(run)
+
+
+for _name in NAMES:
+    every(_name)
+
+
+def keyed_sql(sql: str) -> str:
+    part = ", ".join(f"CAST(nullif(split_part(doc, ':', {i}), '') AS BIGINT) AS {k}" for k, i in KEYS.items())
+    return f"SELECT {part}, * EXCLUDE (doc) FROM ({sql})"
+
+
+def _every_sql(name: str) -> str:
+    sql = (oracle_sql() | more.SQL)[name].replace(SRC, d(B.EVERY_SOURCE)).replace(TRN, d(B.EVERY_TRANSLATED))
+    return keyed_sql(sql.replace("doc %", "CAST(split_part(doc, ':', 1) AS BIGINT) %"))
+
+
+SQL: dict[str, str] = {f"{n}_every": _every_sql(n) for n in NAMES}

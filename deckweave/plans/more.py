@@ -28,23 +28,23 @@ def union_boxes(spark, folder):
 
 
 @query
-def drift_list(spark, folder):
-    drift = align.page_drift(B.of(spark, folder, B.SOURCE), B.of(spark, folder, B.TRANSLATED), "doc", "page")
+def drift_list(spark, folder, source=B.SOURCE, translated=B.TRANSLATED):
+    drift = align.page_drift(B.of(spark, folder, source), B.of(spark, folder, translated), "doc", "page")
     text = F.transform("drift", lambda x: F.concat_ws(":", x["page"], x["source_lines"], x["translated_lines"]))
     return reports.drift_list(drift, "doc").select("doc", F.array_join(text, ";").alias("drift"))
 
 
 @query
-def length_ratio(spark, folder):
-    pairs = align.zip_lines(B.of(spark, folder, B.SOURCE), B.of(spark, folder, B.TRANSLATED), ["doc", "page"])
+def length_ratio(spark, folder, source=B.SOURCE, translated=B.TRANSLATED):
+    pairs = align.zip_lines(B.of(spark, folder, source), B.of(spark, folder, translated), ["doc", "page"])
     return reports.length_ratio(pairs, "doc")
 
 
 @query
-def module_json(spark, folder):
+def module_json(spark, folder, source=B.SOURCE, translated=B.TRANSLATED):
     """Bytes apart, the JSON itself differs between engines, so its keys are counted."""
     texts = lambda b, name: B.of(spark, folder, b).groupBy("doc", "page").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "\n").alias(name))
-    own = reports.module_json(texts(B.SOURCE, "source_text").join(texts(B.TRANSLATED, "translated_text"), ["doc", "page"], "left"), "doc")
+    own = reports.module_json(texts(source, "source_text").join(texts(translated, "translated_text"), ["doc", "page"], "left"), "doc")
     same = F.size(F.filter(F.map_values(F.from_json("json", "map<string,struct<original:string,translated:string>>")), lambda x: x["original"] == x["translated"]))
     return own.select("doc", "page_count", same.cast("bigint").alias("untranslated"))
 

@@ -372,43 +372,43 @@ def translation_fallback_join(spark, d):
 
 
 @query
-def overlay_page_join(spark, d):
-    return align.overlay_pages(B.of(spark, d, B.SOURCE), B.of(spark, d, B.TRANSLATED), "doc", "page")
+def overlay_page_join(spark, d, source=B.SOURCE, translated=B.TRANSLATED):
+    return align.overlay_pages(B.of(spark, d, source), B.of(spark, d, translated), "doc", "page")
 
 
 @query
-def line_zip_join(spark, d):
-    return align.zip_lines(B.of(spark, d, B.SOURCE), B.of(spark, d, B.TRANSLATED), ["doc", "page"])
+def line_zip_join(spark, d, source=B.SOURCE, translated=B.TRANSLATED):
+    return align.zip_lines(B.of(spark, d, source), B.of(spark, d, translated), ["doc", "page"])
 
 
 @query
-def page_drift(spark, d):
-    return align.page_drift(B.of(spark, d, B.SOURCE), B.of(spark, d, B.TRANSLATED), "doc", "page")
+def page_drift(spark, d, source=B.SOURCE, translated=B.TRANSLATED):
+    return align.page_drift(B.of(spark, d, source), B.of(spark, d, translated), "doc", "page")
 
 
 @query
-def check_report(spark, d):
-    return align.check_report(B.of(spark, d, B.SOURCE), B.of(spark, d, B.TRANSLATED), "doc", "page")
+def check_report(spark, d, source=B.SOURCE, translated=B.TRANSLATED):
+    return align.check_report(B.of(spark, d, source), B.of(spark, d, translated), "doc", "page")
 
 
 @query
-def shape_validation(spark, d):
+def shape_validation(spark, d, source=B.SOURCE, translated=B.TRANSLATED):
     def placed(df):
         place = F.dense_rank().over(Window.partitionBy("doc").orderBy("page"))
         return df.withColumn("page_pos", place).select("doc", "page_pos", "pos", "key")
 
-    return align.same_shape(placed(B.of(spark, d, B.SOURCE)), placed(B.of(spark, d, B.TRANSLATED)), "doc")
+    return align.same_shape(placed(B.of(spark, d, source)), placed(B.of(spark, d, translated)), "doc")
 
 
 @query
-def cache_validation(spark, d):
-    source, cached = B.of(spark, d, B.SOURCE), B.of(spark, d, B.TRANSLATED)
+def cache_validation(spark, d, source=B.SOURCE, translated=B.TRANSLATED, number="doc"):
+    source, cached, number = B.of(spark, d, source), B.of(spark, d, translated), F.expr(number)
     a = source.groupBy("doc").agg(F.countDistinct("page").alias("source_pages"))
     b = cached.groupBy("doc").agg(F.countDistinct("page").alias("cached_pages"))
     first = align.page_drift(source, cached, "doc", "page").groupBy("doc").agg(F.min("page").alias("first_drift"))
     own = a.join(b, "doc").join(first, "doc", "left")
-    schema = F.when(F.col("doc") % 7 == 0, "compact-v1").when(F.col("doc") % 11 != 0, "compact-v2")
-    facts = {"source_readable": F.col("doc") % 13 != 0, "cached_readable": F.col("doc") % 17 != 0, "source_schema": F.lit("compact-v2"), "cached_schema": schema}
+    schema = F.when(number % 7 == 0, "compact-v1").when(number % 11 != 0, "compact-v2")
+    facts = {"source_readable": number % 13 != 0, "cached_readable": number % 17 != 0, "source_schema": F.lit("compact-v2"), "cached_schema": schema}
     reason = translate.cache_reason(facts | {c: F.col(c) for c in ("source_pages", "cached_pages", "first_drift")})
     return own.select("doc", F.coalesce(reason, F.lit("valid")).alias("reason"))
 
