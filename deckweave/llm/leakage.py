@@ -6,12 +6,14 @@ in a document is found by one look-up of hashed word windows for a whole batch;
 hits of one item that lie on the same diagonals are verified by Myers'
 bit-parallel distance, on words.
 
-The guarantee.  A leaked half of n own words lies in at most two passages.  Cut
-into pieces of ``PIECE`` words it holds at least n / (2 PIECE) - 3 whole pieces.
-Its error budget is one word replaced or dropped in ``ERROR_EVERY``; an error
-spoils one piece, so n / (2 PIECE) - 3 - n / (2 ERROR_EVERY) of them stand
-unchanged, and documents with fewer hits of the item in two bands of diagonals
-are passed over (as are those with fewer than ``LEAST_HITS``).
+The guarantee.  A leaked half of n own words lies in at most two passages that
+hold H >= n / 2 words, T with their errors, of which T - H <= ERRORS T.  Cut into
+pieces of P words two passages of T words hold at least (T - 4 (P - 1)) / P whole
+pieces, and an error spoils one piece; at the most errors, T = H / (1 - ERRORS),
+pieces of two words leave n / 6 - 2 unchanged and pieces of one word n / 2.  Items
+of fewer than ``SHORT`` words are cut into words, others into pairs of words;
+documents with fewer hits of the item in two bands of diagonals, as wide as the
+errors may shift a passage, are passed over and no others.
 
 The items are the query set: they are walked in blocks of ``BLOCK`` against all
 documents, so what a task holds is bounded however many there are.
@@ -34,13 +36,13 @@ from pyspark.sql import DataFrame
 from .common import spread
 from .lookalike import fold_look
 
-PIECE = 4
-LEAST_HITS = 3
-ERROR_EVERY = 12
-BAND = 10  # diagonals that hits of one passage may spread over
+PIECE = 2
+SHORT = 24  # items of fewer own words are cut into single words
+GAP = 12  # words of an item or a document between two hits of one passage
 HALF = 0.5
 ERRORS = 0.25  # share of a passage's words that may be replaced or dropped
 BLOCK = 5000
+HITS = 2_000_000  # looked at together
 
 _MARKUP = re.compile(r"</?[a-zA-Z][^<>\n]{0,200}>|&[a-z]{2,6};")
 _WORD = re.compile(r"[^\W_]+")
@@ -117,27 +119,94 @@ def _extend(item: list[int], doc: list[int], i: int, j: int, step: int) -> tuple
     return good, bad
 
 
+def in_order(masks: dict[int, int], n: int, doc: list[int]) -> int:
+    """Most words of an item of n words (its places by word) that stand in the document in the item's order: bit-parallel, a bound on what passages can hold."""
+    v = full = (1 << n) - 1
+    for m in filter(None, map(masks.get, doc)):
+        u = v & m
+        v = ((v + u) | (v - u)) & full
+    return n - v.bit_count()
+
+
+def least_hits(n: int, piece: int) -> int:
+    """Pieces of an item of n words that stand unchanged, at least, in a document that holds half of it."""
+    held = HALF * n
+    return max(1, math.ceil(held / (1 - ERRORS) / piece - 4 * (piece - 1) / piece - held * ERRORS / (1 - ERRORS) - 1e-9))
+
+
+def _chains(item: list[int], doc: list[int], hits: list[tuple[int, int]], piece: int) -> list[list[tuple[int, int, int]]]:
+    """Chains of (item word, document word, errors since the hit before), the best first; each hit is in one chain."""
+    score, back, errors = [], [], []
+    low = 0
+    for k, (i, j) in enumerate(hits):
+        best, at, made = piece, -1, 0
+        while hits[low][1] < j - piece - GAP:
+            low += 1
+        for m in range(k - 1, low - 1, -1):
+            gi, gj = i - hits[m][0] - piece, j - hits[m][1] - piece
+            if not 0 <= gi <= GAP or gj < 0:
+                continue
+            e = same = 0
+            if gi or gj:
+                short = min(gi, gj)
+                if gi == gj:
+                    same = sum(item[i - x] == doc[j - x] for x in range(1, gi + 1))
+                else:
+                    while same < short and item[i - 1 - same] == doc[j - 1 - same]:
+                        same += 1
+                    lead = 0
+                    while same + lead < short and item[i - gi + lead] == doc[j - gj + lead]:
+                        lead += 1
+                    same += lead
+                e = max(gi, gj) - same
+            now = score[m] + piece + same - e
+            if now > best:
+                best, at, made = now, m, e
+            if not (gi or gj):
+                break
+        score.append(best)
+        back.append(at)
+        errors.append(made)
+    used = [False] * len(hits)
+    out = []
+    for k in sorted(range(len(hits)), key=lambda x: -score[x]):
+        chain = []
+        while k >= 0 and not used[k]:
+            used[k] = True
+            chain.append((*hits[k], errors[k]))
+            k = back[k]
+        if chain:
+            out.append(chain[::-1])
+    return out
+
+
 class ItemIndex:
     """Items of one block, ready to be looked up."""
 
     def __init__(self, items: dict[int, list[str]]):
-        self.ids = [i for i, w in items.items() if len(w) >= PIECE]
+        self.ids = [i for i, w in items.items() if w]
         self.vocabulary = {w: k for k, w in enumerate(sorted({w for i in self.ids for w in items[i]}), 1)}
         self.items = [[self.vocabulary[w] for w in items[i]] for i in self.ids]
-        self.least = np.array([max(LEAST_HITS, math.floor(len(x) / (2 * PIECE) - 3 - len(x) / (2 * ERROR_EVERY))) for x in self.items], dtype=np.int64)
-        hashes, entries = [], []
-        for k, seq in enumerate(self.items):
-            for start in range(0, len(seq) - PIECE + 1, PIECE):
-                hashes.append(self._hash(np.array(seq[start : start + PIECE], dtype=np.uint64))[0])
-                entries.append((k, start))
-        order = np.argsort(np.array(hashes, dtype=np.uint64), kind="stable")
-        self.hashes = np.array(hashes, dtype=np.uint64)[order]
-        self.entries = np.array(entries, dtype=np.int64).reshape(-1, 2)[order]
+        self.piece = [1 if len(x) < SHORT else PIECE for x in self.items]
+        self.least = np.array([least_hits(len(x), p) for x, p in zip(self.items, self.piece)], dtype=np.int64)
+        self.band = np.array([math.ceil(HALF * len(x) * ERRORS / (1 - ERRORS)) + 1 for x in self.items], dtype=np.int64)
+        self.masks: list[dict[int, int]] = []
+        for seq in self.items:
+            masks: dict[int, int] = defaultdict(int)
+            for at, w in enumerate(seq):
+                masks[w] |= 1 << at
+            self.masks.append(dict(masks))
+        self.tables = []
+        for size in sorted(set(self.piece)):
+            starts = [(k, at) for k, seq in enumerate(self.items) if self.piece[k] == size for at in range(0, len(seq) - size + 1, size)]
+            hashes = np.array([self._hash(np.array(self.items[k][at : at + size], dtype=np.uint64), size)[0] for k, at in starts], dtype=np.uint64)
+            order = np.argsort(hashes, kind="stable")
+            self.tables.append((size, hashes[order], np.array(starts, dtype=np.int64).reshape(-1, 2)[order]))
 
     @staticmethod
-    def _hash(ids: np.ndarray) -> np.ndarray:
-        h = np.zeros(max(len(ids) - PIECE + 1, 0), np.uint64)
-        for n in range(PIECE):
+    def _hash(ids: np.ndarray, size: int) -> np.ndarray:
+        h = np.zeros(max(len(ids) - size + 1, 0), np.uint64)
+        for n in range(size):
             h = h * _MULT + ids[n : n + len(h)] + np.uint64(1)
         return h ^ (h >> np.uint64(31))
 
@@ -147,35 +216,53 @@ class ItemIndex:
         flat = np.fromiter((w for d in docs for w in d), np.uint64, sum(sizes))
         of = np.repeat(np.arange(len(docs)), sizes)
         first = np.concatenate([[0], np.cumsum(sizes)[:-1]]) if sizes else np.zeros(0, int)
-        h = self._hash(flat)
-        lo, hi = np.searchsorted(self.hashes, h, "left"), np.searchsorted(self.hashes, h, "right")
-        pos = np.flatnonzero((hi > lo) & (of[: len(h)] == of[PIECE - 1 :] if len(h) else False))
-        if not len(pos):
-            return
+        for size, hashes, entries in self.tables:
+            h = self._hash(flat, size)
+            lo, hi = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
+            found = np.flatnonzero((hi > lo) & (of[: len(h)] == of[size - 1 :] if len(h) else False))
+            # a few documents at a time, so that what is held at once stays small
+            upto = np.cumsum(hi[found] - lo[found])
+            at = 0
+            while at < len(found):
+                end = int(np.searchsorted(upto, (upto[at - 1] if at else 0) + HITS, "right"))
+                end = int(np.searchsorted(of[found], of[found[min(end, len(found) - 1)]], "left")) if end < len(found) else end
+                if end <= at:
+                    end = int(np.searchsorted(of[found], of[found[at]], "right"))
+                yield from self._near(found[at:end], lo, hi, of, first, entries)
+                at = end
+
+    def _near(self, pos: np.ndarray, lo: np.ndarray, hi: np.ndarray, of: np.ndarray, first: np.ndarray, entries: np.ndarray) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
         many = hi[pos] - lo[pos]
         at = np.repeat(pos, many)
-        entry = np.concatenate([np.arange(a, b) for a, b in zip(lo[pos], hi[pos])])
-        doc, item, start = of[at], self.entries[entry, 0], self.entries[entry, 1]
+        entry = np.arange(len(at)) + np.repeat(lo[pos] - np.cumsum(many) + many, many)
+        doc, item, start = of[at], entries[entry, 0], entries[entry, 1]
         where = at - first[doc]
         pair = doc * len(self.ids) + item
-        near = np.isin(pair, self._close(pair, where - start, start, self.least))
+        # a pair has no more pieces than hits: most go before anything is sorted
+        base = int(pair.min())
+        enough = np.bincount(pair - base)[pair - base] >= self.least[item]
+        pair, where, start, item = pair[enough], where[enough], start[enough], item[enough]
+        if not len(pair):
+            return
+        near = np.isin(pair, self._close(pair, where - start, start, item))
         pair, where, start = pair[near], where[near], start[near]
         if not len(pair):
             return
-        order = np.lexsort((where - start, pair))
+        order = np.lexsort((start, where, pair))
         pair, where, start = pair[order], where[order], start[order]
         edges = np.flatnonzero(np.diff(pair)) + 1
         for a, b in zip(np.concatenate([[0], edges]), np.concatenate([edges, [len(pair)]])):
             yield int(pair[a] // len(self.ids)), int(pair[a] % len(self.ids)), list(zip(start[a:b].tolist(), where[a:b].tolist()))
 
-    @staticmethod
-    def _close(pair: np.ndarray, diagonal: np.ndarray, piece: np.ndarray, least: np.ndarray) -> np.ndarray:
+    def _close(self, pair: np.ndarray, diagonal: np.ndarray, piece: np.ndarray, item: np.ndarray) -> np.ndarray:
         """Pairs whose best two bands may hold enough pieces: a band lies in two neighbouring stripes of diagonals, so their sums bound it from above."""
-        stripe = diagonal // (BAND + 1)
+        stripe = diagonal // (self.band[item] + 1)
         stripe = stripe - stripe.min() + 1
         wide, deep = int(stripe.max()) + 2, int(piece.max()) + 1
-        cells = np.unique((pair * wide + stripe) * deep + piece) // deep
-        cell, count = np.unique(cells, return_counts=True)
+        cells = np.sort((pair * wide + stripe) * deep + piece)
+        cells = cells[np.concatenate([[True], cells[1:] != cells[:-1]])] // deep
+        at = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]]))
+        cell, count = cells[at], np.diff(np.append(at, len(cells)))
         of, at = cell // wide, cell % wide
         follows = np.zeros(len(count), np.int64)
         follows[:-1] = np.where((of[1:] == of[:-1]) & (at[1:] == at[:-1] + 1), count[1:], 0)
@@ -185,36 +272,11 @@ class ItemIndex:
         first = np.concatenate([[True], of[1:] != of[:-1]]) if len(of) else np.zeros(0, bool)
         second = np.zeros(len(of), np.int64)
         second[:-1] = np.where(of[1:] == of[:-1], both[1:], 0)
-        return of[first & (both + second >= least[of % len(least)])]
-
-    def held(self, item: list[int], doc: list[int], hits: list[tuple[int, int]]) -> int:
-        """Own words that stand in the best two passages of the document, in the item's order."""
-        bands: list[list[tuple[int, int]]] = []
-        for hit in sorted(hits, key=lambda x: x[1] - x[0]):
-            if bands and (hit[1] - hit[0]) - (bands[-1][0][1] - bands[-1][0][0]) <= BAND:
-                bands[-1].append(hit)
-            else:
-                bands.append([hit])
-        if sum(sorted((len({s for s, _ in b}) for b in bands), reverse=True)[:2]) < LEAST_HITS:
-            return 0
-        passages = []
-        for band in bands:
-            band.sort()
-            chain = [band[0]]
-            for hit in band[1:]:
-                if hit[0] > chain[-1][0] and hit[1] >= chain[-1][1] + PIECE - 1:
-                    chain.append(hit)
-            run = [chain[0]]
-            for hit in [*chain[1:], (10**9, 10**9)]:
-                gap = hit[0] - run[-1][0] - PIECE
-                if gap <= 3 * PIECE:
-                    between = item[run[-1][0] : hit[0] + PIECE]
-                    near = doc[max(run[-1][1] - 1, 0) : hit[1] + PIECE + 1]
-                    if myers(between, near)[0] <= max(1, ERRORS * len(between)):
-                        run.append(hit)
-                        continue
-                passages.append(self._passage(item, doc, run))
-                run = [hit]
+        return of[first & (both + second >= self.least[of % len(self.ids)])]
+
+    def held(self, item: list[int], doc: list[int], hits: list[tuple[int, int]], piece: int) -> int:
+        """Own words that stand in the best two passages of the document, in the item's order.  Hits are sorted by document word."""
+        passages = [p for chain in _chains(item, doc, hits, piece) for p in self._passages(item, doc, chain, piece)]
         passages.sort(key=lambda x: -x[2])
         best = passages[0][2] if passages else 0
         for x in range(min(len(passages), 6)):
@@ -224,24 +286,30 @@ class ItemIndex:
                     best = max(best, a[2] + b[2])
         return best
 
-    def _passage(self, item: list[int], doc: list[int], run: list[tuple[int, int]]) -> tuple[int, int, int, int]:
-        """(first item word, one after the last, words held, first document word) of a verified run of hits, followed outwards."""
-        (i0, j0), (i1, j1) = run[0], run[-1]
-        span = item[i0 : i1 + PIECE]
-        lost = myers(span, doc[max(j0 - 1, 0) : j1 + PIECE + 1])[0]
+    def _passages(self, item: list[int], doc: list[int], chain: list[tuple[int, int, int]], piece: int) -> list[tuple[int, int, int, int]]:
+        """(first item word, one after the last, words held, first document word) of a chain of hits, followed outwards; one with too many errors is split at its worst gap."""
+        (i0, j0, _), (i1, j1, _) = chain[0], chain[-1]
+        span = item[i0 : i1 + piece]
+        lost = myers(span, doc[max(j0 - 1, 0) : j1 + piece + 1])[0] if any(e for _, _, e in chain[1:]) else 0
         before, e0 = _extend(item, doc, i0 - 1, j0 - 1, -1)
-        after, e1 = _extend(item, doc, i1 + PIECE, j1 + PIECE, 1)
+        after, e1 = _extend(item, doc, i1 + piece, j1 + piece, 1)
         held = len(span) - lost + before + after
         total = len(span) + before + e0 + after + e1
-        if held < (1 - ERRORS) * total:
-            return (i0, i0, 0, j0)
-        return (i0 - before - e0, i1 + PIECE + after + e1, held, j0)
+        if held >= (1 - ERRORS) * total:
+            return [(i0 - before - e0, i1 + piece + after + e1, held, j0)]
+        if len(chain) == 1:
+            return []
+        cut = max(range(1, len(chain)), key=lambda k: chain[k][2])
+        return self._passages(item, doc, chain[:cut], piece) + self._passages(item, doc, chain[cut:], piece)
 
     def leaks(self, texts: list[str | None]) -> Iterator[tuple[int, int, float]]:
         """(text's place, item id, share of the item's own words held)."""
         docs = [[self.vocabulary.get(w, 0) for w in words(t)] for t in texts]
         for d, k, hits in self.candidates(docs):
-            share = self.held(self.items[k], docs[d], hits) / len(self.items[k])
+            # the two passages may overlap by two words of the item
+            if in_order(self.masks[k], len(self.items[k]), docs[d]) + 2 < HALF * len(self.items[k]):
+                continue
+            share = self.held(self.items[k], docs[d], hits, self.piece[k]) / len(self.items[k])
             if share >= HALF:
                 yield d, self.ids[k], share
 

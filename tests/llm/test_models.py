@@ -90,6 +90,21 @@ def test_leaks(spark):
     assert leakage.leaked_items(d, t.where("false")).count() == leakage.leaked_items(d.where("false"), t).count() == 0
 
 
+def test_leaks_with_errors_up_to_the_verifiers_share():
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(4000)]
+    for n in (20, 56, 88, 120):
+        items = {i: [rng.choice(vocabulary) for _ in range(n)] for i in range(40)}
+        texts = []
+        for words in items.values():
+            passage = words[: n * 3 // 4]
+            for at in range(3, len(passage) - 2, 5):  # a fifth replaced, 60 % of the item held
+                passage[at] = rng.choice(vocabulary)
+            texts.append(" ".join(rng.choices(vocabulary, k=70) + passage + rng.choices(vocabulary, k=70)))
+        found = {(d, i) for d, i, _ in leakage.ItemIndex(items).leaks(texts)}
+        assert found == {(i, i) for i in items}, n
+
+
 @pytest.fixture(scope="module")
 def corpus():
     rng = random.Random(6)
