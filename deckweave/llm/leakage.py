@@ -26,8 +26,10 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -180,6 +182,33 @@ def _chains(item: list[int], doc: list[int], hits: list[tuple[int, int]], piece:
     return out
 
 
+def best_two(passages: list[tuple[int, int, int, int]]) -> int:
+    """Most words held by one passage or by two in the item's and the document's order (two words of the item may be in both)."""
+    best = max((p[2] for p in passages), default=0)
+    if len(passages) < 2:
+        return best
+    passages = sorted(passages)
+    places = sorted({p[3] for p in passages})
+    running = [0] * (len(places) + 1)  # a tree of maxima over document places
+    ended: list[tuple[int, int, int]] = []
+    upto = 0
+    for start, _, held, place in passages:
+        while passages[upto][0] < start:
+            heappush(ended, (passages[upto][1], passages[upto][2], passages[upto][3]))
+            upto += 1
+        while ended and ended[0][0] <= start + 2:
+            _, other, at = heappop(ended)
+            k = bisect_right(places, at)
+            while k <= len(places):
+                running[k] = max(running[k], other)
+                k += k & -k
+        k = bisect_right(places, place)
+        while k:
+            best = max(best, held + running[k])
+            k -= k & -k
+    return best
+
+
 class ItemIndex:
     """Items of one block, ready to be looked up."""
 
@@ -277,14 +306,7 @@ class ItemIndex:
     def held(self, item: list[int], doc: list[int], hits: list[tuple[int, int]], piece: int) -> int:
         """Own words that stand in the best two passages of the document, in the item's order.  Hits are sorted by document word."""
         passages = [p for chain in _chains(item, doc, hits, piece) for p in self._passages(item, doc, chain, piece)]
-        passages.sort(key=lambda x: -x[2])
-        best = passages[0][2] if passages else 0
-        for x in range(min(len(passages), 6)):
-            for y in range(x + 1, min(len(passages), 6)):
-                a, b = sorted((passages[x], passages[y]))
-                if a[1] <= b[0] + 2 and a[3] <= b[3]:
-                    best = max(best, a[2] + b[2])
-        return best
+        return best_two(passages)
 
     def _passages(self, item: list[int], doc: list[int], chain: list[tuple[int, int, int]], piece: int) -> list[tuple[int, int, int, int]]:
         """(first item word, one after the last, words held, first document word) of a chain of hits, followed outwards; one with too many errors is split at its worst gap."""

@@ -105,6 +105,21 @@ def test_leaks_with_errors_up_to_the_verifiers_share():
         assert found == {(i, i) for i in items}, n
 
 
+def test_best_two_of_all_passages():
+    rng = random.Random(8)
+    for _ in range(300):
+        passages = []
+        for _ in range(rng.randint(0, 14)):
+            start, size = rng.randint(0, 40), rng.randint(1, 12)
+            passages.append((start, start + size, rng.randint(1, size), rng.randint(0, 60)))
+        pairs = [a[2] + b[2] for a in passages for b in passages if a[0] < b[0] and a[1] <= b[0] + 2 and a[3] <= b[3]]
+        assert leakage.best_two(passages) == max([p[2] for p in passages] + pairs, default=0)
+    words = [f"w{i}" for i in range(100)]
+    other = [f"x{i}" for i in range(40)]
+    text = " ".join(sum(([*words[:40], *other] for _ in range(7)), []) + words[60:75])
+    assert [(d, i) for d, i, _ in leakage.ItemIndex({1: words}).leaks([text])] == [(0, 1)]
+
+
 @pytest.fixture(scope="module")
 def corpus():
     rng = random.Random(6)
