@@ -112,6 +112,15 @@ def canonical_members(values: DataFrame, value: str = "value", look: str = "look
     )
 
 
+def canonical_values(rows: DataFrame, value: str, others: DataFrame | None = None) -> DataFrame:
+    """Adds canonical to every row: its class's member among the rows' and the others' values, or its own value if it has no class."""
+    values = rows.select(F.col(value).alias("value"))
+    if others is not None:
+        values = values.unionByName(others.select("value"))
+    members = canonical_members(with_look(values.distinct(), "value")).withColumnRenamed("value", "_value")
+    return rows.join(members, F.col(value) == F.col("_value"), "left").drop("_value").withColumn("canonical", F.coalesce("canonical", value))
+
+
 def look_pairs(rows: DataFrame, key: str, value: str) -> DataFrame:
     """(key_a, key_b), key_a < key_b, of rows whose values look the same but aren't the same string.
 

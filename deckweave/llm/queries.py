@@ -39,9 +39,15 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The canonical form of each description."""
-    own = lookalike.with_look(table(spark, sf_dir, "course_nodes").select("node_id", F.col("description").alias("value")), "value")
-    return own.join(lookalike.canonical_members(own), "value").select("node_id", "canonical")
+    """The canonical form of each description; a null or blank one keeps its own value."""
+    nodes = table(spark, sf_dir, "course_nodes").select("node_id", F.col("description").alias("value"))
+    return lookalike.canonical_values(nodes, "value").select("node_id", "canonical")
+
+
+def p3_canonical_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The canonical form of each text p of page_lines, among the lines' and the dictionary's texts; a text without a class keeps its own value."""
+    lines = table(spark, sf_dir, "page_lines").select("line_id", F.col("p").alias("value"))
+    return lookalike.canonical_values(lines, "value", table(spark, sf_dir, "segment_dictionary").select(F.col("p").alias("value"))).select("line_id", "canonical")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,7 +101,7 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p2_found, p2_clean, p3_found, p3_canonical, p4_found, p4_pieces, p5_found, p5_languages, p6_ids, p7_found, p7_report, p8_found, p8_report)
+    for f in (p1_found, p2_found, p2_clean, p3_found, p3_canonical, p3_canonical_lines, p4_found, p4_pieces, p5_found, p5_languages, p6_ids, p7_found, p7_report, p8_found, p8_report)
 }
 
 

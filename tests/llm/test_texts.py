@@ -68,6 +68,19 @@ def brute_repeats(rows):
     return {i for i, s, m, p in rows if s is not None and m is not None and p is not None and key(p) and len(where[s, key(p)]) >= 3 and 5 * len(where[s, key(p)]) >= len(size[s])}
 
 
+def test_canonical_lines_keep_every_row(spark, tmp_path):
+    from deckweave.llm import queries
+
+    lines = [(1, "p\u0430ge"), (2, "page"), (3, None), (4, " "), (5, "d\u0430y"), (6, "night")]
+    spark.createDataFrame(lines, "line_id bigint, p string").write.parquet(f"{tmp_path}/page_lines.parquet")
+    spark.createDataFrame([(1, "day")], "seg_id bigint, p string").write.parquet(f"{tmp_path}/segment_dictionary.parquet")
+    spark.createDataFrame(lines, "node_id bigint, description string").write.parquet(f"{tmp_path}/course_nodes.parquet")
+    run = lambda name: {r[0]: r[1] for r in queries.queries()[name](spark, str(tmp_path)).collect()}
+    own = {1: "page", 2: "page", 3: None, 4: " ", 5: "day", 6: "night"}
+    assert run("p3_canonical_lines") == own
+    assert run("p3_canonical") == own | {5: "d\u0430y"}
+
+
 def test_repeated_lines_brute_force(spark):
     rng = random.Random(4)
     lines = ["Page 3 of 10", "PAGE 14 OF 2", "Ｐage  3 of 10", "pаge 9 of 9", "Share this", "share this", "Straße 1", "STRASSE 22", "only here", "...", "12", "", " ", None, "•"]
