@@ -34,7 +34,7 @@ def read_url(url: str, headers: dict[str, str], seconds: float, attempts: int, p
         try:
             with urllib.request.urlopen(urllib.request.Request(url, headers=headers), timeout=seconds) as response:
                 body = response.read()
-                lost = bool(re.search(U.SIGN_IN, response.url)) or bool(re.search(SIGN_IN_BODY, body[:200_000].decode("utf-8", "replace")))
+                lost = bool(re.search(U.SIGN_IN, response.url)) or bool(re.search(SIGN_IN_BODY.encode(), body))
                 return out | {"status": response.status, "final_url": response.url, "body": body, "error": None, "signed_out": lost}
         except urllib.error.HTTPError as error:
             out |= {"status": error.code, "error": f"HTTP {error.code}"}

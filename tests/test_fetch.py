@@ -1,5 +1,6 @@
 """Fetching from a server on this machine."""
 
+import io
 import threading
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
@@ -55,3 +56,11 @@ def test_pauses(monkeypatch):
 
     monkeypatch.setattr("urllib.request.urlopen", lost)
     assert fetch.read_url("http://x.example/", {}, 2, 3, waits.append)["error"] == "reset" and waits == [1, 2] and len(calls) == 3
+
+
+def test_sign_in_mark_anywhere_in_the_body(monkeypatch):
+    class Page(io.BytesIO):
+        url, status = "http://x.example/", 200
+
+    monkeypatch.setattr("urllib.request.urlopen", lambda *args, **kwargs: Page(b" " * 300_000 + b'<input NAME="loginfmt">'))
+    assert fetch.read_url("http://x.example/", {}, 2, 1)["signed_out"]
