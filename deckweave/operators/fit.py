@@ -8,7 +8,7 @@ what is left goes through an Arrow-batched function.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -113,8 +113,8 @@ def plan_fit(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.select(*keys, "text", "font_size", "room_width", "room_height").mapInPandas(work, shape)
 
 
-def tally(plans: DataFrame) -> DataFrame:
-    """Plans counted by decision, in one row."""
+def tally(plans: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Plans counted by decision, in one row or one for each of some keys."""
     counts = [F.count_if(F.col("decision") == d).alias(d.replace("-", "_")) for d in DECISIONS]
     shown = F.col("decision").isin("fit-original", "wrap-fit", "fit-shrunk", "truncated")
-    return plans.agg(*counts, F.count_if(shown).alias("overlays"), F.count_if(~shown).alias("skipped"))
+    return plans.groupBy(*keys).agg(*counts, F.count_if(shown).alias("overlays"), F.count_if(~shown).alias("skipped"))

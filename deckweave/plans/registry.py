@@ -275,6 +275,12 @@ def fit_histogram(spark, d):
     return fit.single_line(_fit_input(spark, d)).groupBy("doc").agg(*(F.count_if(F.col("decision") == x).alias(x.replace("-", "_")) for x in ("fit-original", "fit-shrunk", "wrap")))
 
 
+@query
+def fit_tally(spark, d):
+    """All five decisions of the whole plan by document, with overlays and skipped (no SQL, as for fit_plan)."""
+    return fit.tally(fit_plan(spark, d), ["doc"])
+
+
 # Catalogue
 
 

@@ -258,3 +258,8 @@ def test_reports(spark):
     assert out["page_count"] == 3 and out["json"] == '{"PAGE 1":{"original":"a","translated":"A"},"PAGE 2":{"original":"b","translated":"b"},"PAGE 10":{"original":"","translated":""}}'
     ratio = reports.length_ratio(spark.createDataFrame([(1, "ab", "abc"), (2, "", "x")], "doc int, source_text string, translated_text string"), "doc")
     assert {r["doc"]: r["ratio"] for r in ratio.collect()} == {1: 1.5, 2: None}
+
+
+def test_tally_by_document(spark):
+    plans = spark.createDataFrame([(1, "wrap-fit"), (1, "no-room"), (2, "truncated")], "doc int, decision string")
+    assert {r["doc"]: (r["wrap_fit"], r["truncated"], r["no_room"], r["overlays"], r["skipped"]) for r in fit.tally(plans, ["doc"]).collect()} == {1: (1, 0, 1, 1, 1), 2: (0, 1, 0, 1, 0)}
