@@ -33,6 +33,12 @@ for _name in NAMES:
     every(_name)
 
 
+@registry.query
+def translation_fallback_join_every(spark, folder):
+    """A heading's translation counts as well as a paragraph's, which the query of each module's first document leaves out."""
+    return keyed(registry.translation_fallback_join(spark, folder, B.EVERY_SOURCE, B.EVERY_TRANSLATED, "coalesce(h, p)"))
+
+
 def keyed_sql(sql: str) -> str:
     part = ", ".join(f"CAST(nullif(split_part(doc, ':', {i}), '') AS BIGINT) AS {k}" for k, i in KEYS.items())
     return f"SELECT {part}, * EXCLUDE (doc) FROM ({sql})"
@@ -44,3 +50,6 @@ def _every_sql(name: str) -> str:
 
 
 SQL: dict[str, str] = {f"{n}_every": _every_sql(n) for n in NAMES}
+SQL["translation_fallback_join_every"] = keyed_sql(f"""
+SELECT s.doc, s.page, s.pos, coalesce(t.h, t.p, s.text) AS kept, coalesce(nullif(coalesce(t.h, t.p), ''), s.text) AS filled
+FROM {d(B.EVERY_SOURCE)} s LEFT JOIN {d(B.EVERY_TRANSLATED)} t ON s.doc = t.doc AND s.page = t.page AND s.pos = t.pos""")

@@ -369,9 +369,9 @@ def segment_dictionary_join(spark, d):
 
 
 @query
-def translation_fallback_join(spark, d):
-    a = B.of(spark, d, B.SOURCE).select("doc", "page", "pos", F.col("text").alias("source_text"))
-    b = B.of(spark, d, B.TRANSLATED).select("doc", "page", "pos", F.col("p").alias("translated"))
+def translation_fallback_join(spark, d, source=B.SOURCE, translated=B.TRANSLATED, text="p"):
+    a = B.of(spark, d, source).select("doc", "page", "pos", F.col("text").alias("source_text"))
+    b = B.of(spark, d, translated).select("doc", "page", "pos", F.expr(text).alias("translated"))
     keys = ["doc", "page", "pos"]
     kept = align.fallback(a, b, keys, True).select(*keys, F.col("text").alias("kept"), "source_text", "translated")
     return kept.select(*keys, "kept", F.coalesce(F.nullif("translated", F.lit("")), "source_text").alias("filled"))

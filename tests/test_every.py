@@ -29,3 +29,8 @@ def test_every_query_keeps_every_document(spark, folder):
     for name in ("overlay_page_join", "check_report", "shape_validation", "cache_validation", "length_ratio", "module_json"):
         assert {r[:2] for r in rows(spark, folder, f"{name}_every", "module_key", "tdoc_id")} >= {(1, 7), (1, 8)}, name
     assert set(every.SQL) <= set(registry.queries())
+
+
+def test_headings_keep_their_translation(spark, folder):
+    got = rows(spark, folder, "translation_fallback_join_every", "module_key", "tdoc_id", "pos", "kept", "filled")
+    assert got == [(1, 7, 1, "Ulo", "Ulo"), (1, 7, 2, "isa", "isa"), (1, 8, 1, "Tete", "Tete"), (1, 8, 2, "", "one"), (2, None, 1, "two", "two")]
