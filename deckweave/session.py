@@ -21,13 +21,28 @@ def session(name: str = "deckweave", master: str | None = None, **settings: str)
     return (builder.master(master) if master else builder).getOrCreate()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written once to the checkpoint folder the cluster names, so that two readers share one computation.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all machines share: the one the cluster names in ``spark.checkpoint.dir``.
 
-    Only where no folder is set, as in tests on one machine, one is made.
+    Only on one machine, as in tests, one is made where none is named; a cluster
+    without such a folder is an error, since its machines would write to different disks.
     """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    made = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if made.isDefined():
+        return made.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="deckweave"))
+    return shared_folder(spark)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written once to the shared folder, so that two readers share one computation."""
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="deckweave"))
+        context.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
