@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import pickle
+import uuid
+from collections.abc import Iterator, Sequence
 from typing import Any
 
 from pyspark import cloudpickle
@@ -10,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deckweave.session import cut as cut
+from deckweave.session import shared_folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,3 +55,32 @@ def spread(df: DataFrame) -> DataFrame:
     """A scan that Python works on, in at least as many partitions as there are cores; larger inputs have them anyway and don't move."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+def written(df: DataFrame, by: Sequence[str]) -> str:
+    """Where ``df`` was written in the shared folder, in a folder for each value of ``by``, for tasks to read it from."""
+    path = f"{shared_folder(df.sparkSession)}/deckweave-{uuid.uuid4().hex}"
+    df.repartition(*by).write.partitionBy(*by).parquet(path)
+    return path
+
+
+def file_system(path: str) -> tuple[Any, str]:
+    """The file system of an address or a plain path, and the place in it, for a task to open files with."""
+    from pyarrow import fs
+
+    if path.startswith("file:") and not path.startswith("file://"):
+        path = path.replace("file:", "file://", 1)
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
+def read_rows(path: str, columns: Sequence[str]) -> Iterator[tuple]:
+    """Rows of a written folder, read by a task; none where the folder isn't there."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    system, place = file_system(path)
+    for info in system.get_file_info(fs.FileSelector(place, allow_not_found=True)):
+        if info.path.endswith(".parquet"):
+            with system.open_input_file(info.path) as f:
+                own = pq.ParquetFile(f).read(list(columns))
+            yield from zip(*(own.column(c).to_pylist() for c in columns))

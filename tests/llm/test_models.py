@@ -101,10 +101,30 @@ def test_leaks_with_errors_up_to_the_verifiers_share():
             for at in range(3, len(passage) - 2, 5):  # a fifth replaced, 60 % of the item held
                 passage[at] = rng.choice(vocabulary)
             texts.append(" ".join(rng.choices(vocabulary, k=70) + passage + rng.choices(vocabulary, k=70)))
-        found = {(d, i) for d, i, _ in leakage.ItemIndex(items).leaks(texts)}
+        found = {(d, i) for d, i, _ in leakage.ItemIndex(items).leaks([leakage.words(t) for t in texts])}
         assert found == {(i, i) for i in items}, n
 
 
+def test_items_of_every_length():
+    rng = random.Random(11)
+    for n in (1, 2, 4, 6, 8, 10, 11, 12, 16, 20, 23, 24, 40, 72, 130, 300):
+        item = [f"w{rng.random()}"[:12].replace(".", "") + "x" for _ in range(n)]
+        index, noise = leakage.ItemIndex({1: item}), ["zz"] * 40
+        held = -(-n * 3 // 5)
+        texts = [noise + item[a : a + held] + noise for a in range(n - held + 1)] + [noise + item[: n // 4 + 1] + noise + item[n - n // 4 - 1 :]]
+        texts += [noise + item[: n // 2 - 2] + noise] if n > 8 else []
+        assert {d for d, _, _ in index.leaks(texts)} == set(range(n - held + 2)), n
+
+
+def test_items_in_many_blocks(spark):
+    rng = random.Random(12)
+    words = {i: [f"v{rng.randint(0, 99999)}" for _ in range(30)] for i in range(40)}
+    t = spark.createDataFrame([(i, " ".join(w)) for i, w in words.items()] + [(0, " ".join(words[0])), (None, "x y z")], "item_id bigint, text string")
+    d = spark.createDataFrame([(i, "before " + " ".join(w[5:25]) + " after") for i, w in words.items()], "doc_id bigint, text string")
+    got = sorted((r["doc_id"], r["item_id"]) for r in leakage.leaked_items(d, t, block=7).collect())
+    assert got == [(i, i) for i in range(40)]
+
+
 def test_best_two_of_all_passages():
     rng = random.Random(8)
     for _ in range(300):
@@ -117,7 +137,7 @@ def test_best_two_of_all_passages():
     words = [f"w{i}" for i in range(100)]
     other = [f"x{i}" for i in range(40)]
     text = " ".join(sum(([*words[:40], *other] for _ in range(7)), []) + words[60:75])
-    assert [(d, i) for d, i, _ in leakage.ItemIndex({1: words}).leaks([text])] == [(0, 1)]
+    assert [(d, i) for d, i, _ in leakage.ItemIndex({1: words}).leaks([leakage.words(text)])] == [(0, 1)]
 
 
 @pytest.fixture(scope="module")
