@@ -55,7 +55,7 @@ HITS = 2_000_000  # hits, flags or words looked at together
 LONG = 8192  # documents of more words skip the bound on words in order, which only saves time
 
 _MARKUP = re.compile(r"</?[a-zA-Z][^<>\n]{0,200}>|&[a-z]{2,6};")
-_WORD = re.compile(r"[^\W_]+")
+_WORD = re.compile(r"\w+")
 _SENTENCE = re.compile(r"(?<=[.!?:。])\s+|\n+")
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -64,7 +64,10 @@ def words(text: str | None) -> list[str]:
     """Words in one form: look-alikes, case, punctuation, line breaks and markup put aside."""
     if not text:
         return []
-    return _WORD.findall(_MARKUP.sub(" ", fold_look(text)).casefold())
+    text = fold_look(text)
+    if "<" in text or "&" in text:
+        text = _MARKUP.sub(" ", text)
+    return _WORD.findall(text.casefold().replace("_", " "))
 
 
 def sentences(text: str | None) -> list[list[str]]:
@@ -476,6 +479,11 @@ class ItemIndex:
         """Own words that stand in the best two passages of the document, in the item's order.  Hits are sorted by document word."""
         chains = _chains(item, doc, hits, piece)
         need = HALF * len(item)
+        # a passage of T words with e errors has (T - 2) / 2 - e unchanged pieces c, so that it holds at most
+        # (c + 1) (1 - ERRORS) / (1 / 2 - ERRORS) words; two more allow for pieces that another chain took
+        most = sorted((len(chain) for chain in chains), reverse=True)[:2]
+        if (sum(most) + 4) * (1 - ERRORS) / (0.5 - ERRORS) < need:
+            return 0
         passages = [p for chain in chains if len(chain) > 1 for p in self._passages(item, doc, chain, piece)]
         first = sorted((p[2] for p in passages), reverse=True)[:2]
         # of SINGLE words with few errors some run of four, or two of three, has two pieces: a chain of one hit gives less

@@ -50,15 +50,16 @@ INVISIBLE = "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in INVISIBLE_RAN
 NOT_PLAIN = "[^ -~\\x{A1}-\\x{AC}\\x{AE}-\\x{17F}]"
 MARKS = "[\\x{300}-\\x{36F}]"
 
-_TABLE = str.maketrans(dict(zip(ONE_FROM, ONE_TO)) | LIGATURES | {chr(c): None for a, b in INVISIBLE_RANGES for c in range(a, b + 1)})
-_PLAIN = re.compile("[ -~¡-¬®-ſ]*")
+_TABLE = dict(zip(ONE_FROM, ONE_TO)) | LIGATURES | {chr(c): "" for a, b in INVISIBLE_RANGES for c in range(a, b + 1)}
+_ODD = re.compile("[^ -~\n¡-¬®-ſ]")
 
 
 def fold_look(text: str) -> str:
     """The Python twin of ``look_form`` for a text that isn't None."""
-    if _PLAIN.fullmatch(text):
+    if not _ODD.search(text):
         return text
-    return unicodedata.normalize("NFC", text.replace("\r\n", "\n").translate(_TABLE))
+    text = _ODD.sub(lambda m: _TABLE.get(m[0], m[0]), text.replace("\r\n", "\n"))
+    return text if unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text)
 
 
 def _sql(text: str) -> str:
