@@ -8,7 +8,7 @@ from collections.abc import Iterator, Sequence
 from typing import Any
 
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deckweave.session import cut as cut
@@ -60,10 +60,20 @@ def spread(df: DataFrame) -> DataFrame:
 def written(df: DataFrame, by: Sequence[str]) -> str:
     """Where ``df`` was written in the shared folder, in a folder for each value of ``by``, for tasks to read it from."""
     path = f"{shared_folder(df.sparkSession)}/deckweave-{uuid.uuid4().hex}"
-    df.repartition(*by).write.partitionBy(*by).parquet(path)
+    (df.repartition(*by).write.partitionBy(*by) if by else df.write).parquet(path)
     return path
 
 
+def salted_join(many: DataFrame, few: DataFrame, on: Sequence[str], spread_by: Column, salts: Column) -> DataFrame:
+    """``many`` left joined with ``few`` (one row a key), a key's rows spread over ``salts`` tasks, so that a hot key isn't one task's.
+
+    ``spread_by`` is an integer of ``many``; ``salts`` reads only columns of ``on``, since both sides must agree on it.
+    """
+    left = many.withColumn("_salt", F.pmod(spread_by, salts.cast("bigint")).cast("int"))
+    right = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), (salts - 1).cast("int"))))
+    return left.join(right, [*on, "_salt"], "left").drop("_salt")
+
+
 def file_system(path: str) -> tuple[Any, str]:
     """The file system of an address or a plain path, and the place in it, for a task to open files with."""
     from pyarrow import fs

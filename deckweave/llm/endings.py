@@ -5,7 +5,7 @@ text, how often such a place is a boundary (the end of a line, a text or a
 sentence) and how often the text goes on.  The counts are over all places of all
 texts.  A value's final context is looked up from short to long, each order
 smoothing the next, and gives the log-odds of an end against a continuation; a
-threshold for each language decides.
+threshold for each language and column decides.
 
 Beside the bare characters the longer contexts know the kind of line they stand
 in (an item of a list, a label such as "Next:", a heading-like start, further
@@ -17,9 +17,12 @@ only as far as more than ``DISCOUNT`` of them end the same way.  Lines with a
 label are judged by lines with that label alone.  An exact check follows: a text
 whose last mark closes a sentence is never cut.
 
-The counts live in three hashed tables of a fixed size, each count in two places.  A task adds up its
-texts' counts and hands them on in blocks; blocks are summed as they stream by,
-so no group of any size is held.
+Counts are rows (order, context, counts), added up as bigints: first in each
+task, then by Spark's aggregates over as many partitions as there are.  Only the
+contexts at the end of some open text are ever looked up, so only those are
+counted: a filter of their hashes, of bounded size, lies in the shared folder and
+every task goes by it from short to long contexts.  What it lets through by
+mistake is counted and never looked up.  No count is clipped, dropped or shared.
 
 Defined results: null, empty and blank texts are never cut; a repeated text has
 the same result under each id; a null source is a source of its own in the report;
@@ -33,24 +36,24 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shared, spread
+from .common import cut, read_rows, salted_join, spread, written
 from .langid import LANGS, language_code
 from .lookalike import fold_look
 
 BARE = (1, 2, 3, 4)
 KINDS = (0, 1, 2, 3, 4, 5, 6, 8, 10)
-#: Bits of a table's places; each has two rows with different hashes, of which the lesser count is taken.
-END_BITS, ON_BITS = 20, 22
-BLOCK = 1 << 17
 DISCOUNT = 1
 SMOOTH = 3.0
 CHUNK = 400_000  # characters worked on at once
 #: How many complete texts there are to one that is cut, before anything is known of it.
 COMPLETE_ODDS = 5.0
 GROUPS = (*LANGS, "other")
+#: Bits of the filter for each context in question, and bounds of its size (the largest is 32 MB).
+FILTER_SPARE, FILTER_LEAST, FILTER_MOST = 32, 1 << 16, 1 << 28
+HELD = 1_000_000  # rows of counts a task holds before it adds them up
 
 _PAD = "\n" * (max(KINDS) + 1)
 _DIGITS = re.compile(r"\d+")
@@ -60,6 +63,8 @@ _CLOSED = re.compile(r"[.!?。][\"'’”»)\]]*$")
 _BOUNDARY = re.compile(r"[.!?:]+[\"'’”»)\]]*(?=\s)|[.!?]+[\"'’”»)\]]*$")
 _LABEL = re.compile(r"^(?:[-*•]|\d+[.)]|[^\s:|.]{1,24}:|[^\s:|.]{1,24} [^\s:|.]{1,24}:|[^\s|]+ \||https?:)(?=[ /])", re.MULTILINE)
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_POWERS = np.cumprod(np.full(max(KINDS) + 1, _M1))
+ORDERS = len(BARE) + len(KINDS)
 
 
 def clean(text: str) -> str:
@@ -67,12 +72,29 @@ def clean(text: str) -> str:
     return _BLANKS.sub("", _DIGITS.sub("0", fold_look(text)))
 
 
+def last_lines(text: str, whole: bool = False) -> str:
+    """The last three lines of a text, which hold its break; or all of it."""
+    t = text.rstrip()
+    if whole:
+        return t
+    at = len(t)
+    for _ in range(3):
+        at = t.rfind("\n", 0, max(at, 0))
+        if at < 0:
+            return t
+    return t[at + 1 :]
+
+
 def final_context(text: str | None) -> str:
     """The text's last line as far as its break, less stray marks behind the break; empty for a blank text."""
     if text is None:
         return ""
-    t = clean(text).rstrip()
+    part = last_lines(text)
+    t = clean(part).rstrip()
     bare = _STRAY.sub("", t)
+    if "\n" not in bare and len(part) < len(text.rstrip()):
+        t = clean(last_lines(text, True)).rstrip()  # the stray marks fill whole lines
+        bare = _STRAY.sub("", t)
     if not bare.strip():
         bare = t
     return bare[bare.rfind("\n") + 1 :]
@@ -99,199 +121,293 @@ def _kinds(joined: str, chars: np.ndarray) -> np.ndarray:
     return np.where(label > 0, label, kind).astype(np.uint64)
 
 
-def contexts(joined: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(orders x characters) hashes of the context that ends with each character, the characters, and the kind of their line (from 16 on: led by a label)."""
+def final_hashes(lines: Sequence[str], column: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(lines x orders) hashes of the contexts at the ends of some lines, and which lines a label leads."""
+    joined = _PAD + _PAD.join(lines) + "\n"
     chars = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    wide, kind = chars.astype(np.uint64), _kinds(joined, chars)
-    out = np.zeros((len(BARE) + len(KINDS), len(chars)), np.uint64)
-    rolling = np.zeros(len(chars), np.uint64)
-    powers = np.cumprod(np.full(max(KINDS) + 1, _M1))
+    kind = _kinds(joined, chars)
+    lengths = np.array([len(t) for t in lines], dtype=np.int64)
+    last = len(_PAD) + np.cumsum(lengths + len(_PAD)) - len(_PAD) - 1
+    out = np.zeros((len(lines), ORDERS), np.uint64)
+    rolling = np.full(len(lines), column_seed(column))
     for n in range(max(KINDS) + 1):
-        if 0 < n <= len(chars):
-            rolling[n - 1 :] += wide[: len(wide) - n + 1] * powers[n - 1]
+        if n:
+            rolling = rolling + chars[last - n + 1].astype(np.uint64) * _POWERS[n - 1]
         if n in BARE:
-            h = (rolling + np.uint64(n)) * _M2
-            out[BARE.index(n)] = (h ^ (h >> np.uint64(31))) * _M1
+            out[:, BARE.index(n)] = context_hash(rolling, n, None)
         if n in KINDS:
-            h = (rolling + np.uint64(n + 100) + (kind + np.uint64(1)) * _M2) * _M2
-            out[len(BARE) + KINDS.index(n)] = (h ^ (h >> np.uint64(31))) * _M1
-    return out, chars, kind
+            out[:, len(BARE) + KINDS.index(n)] = context_hash(rolling, n, kind[last])
+    return out, kind[last] >= 16
+
+
+def column_seed(column: int) -> np.uint64:
+    return np.uint64(column * 0x51_7C_C1_B7_27_22 % (1 << 64))
+
+
+def context_hash(rolling: np.ndarray, n: int, kind: np.ndarray | None) -> np.ndarray:
+    """The hash of a context of n characters, bare or with its kind of line."""
+    if kind is None:
+        h = (rolling + np.uint64(n)) * _M2
+    else:
+        h = (rolling + np.uint64(n + 100) + (kind + np.uint64(1)) * _M2) * _M2
+    return (h ^ (h >> np.uint64(31))) * _M1
+
+
+def group_of(label: str | None) -> int:
+    code = language_code(label)
+    return LANGS.index(code) if code else len(LANGS)
+
+
+def two_lines(text: str) -> str:
+    """The last two lines of a cleaned text, as far as its break."""
+    t = clean(last_lines(text)).rstrip()
+    return t[t.rfind("\n", 0, max(t.rfind("\n"), 0)) + 1 :]
+
+
+class Filter:
+    """Bits of the contexts in question; one without bits lets all through."""
+
+    def __init__(self, bits: np.ndarray | None):
+        self.bits = bits
+        self.shift = np.uint64(64 - (len(bits).bit_length() - 1)) if bits is not None else None
 
+    @classmethod
+    def read(cls, path: str, size: int) -> Filter:
+        words = np.zeros(size // 64, np.uint64)
+        for word_no, word in read_rows(path, ["word_no", "word"]):
+            words[word_no] = np.uint64(word % (1 << 64))
+        return cls(np.unpackbits(words.view(np.uint8), bitorder="little").view(bool))
 
-def places(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """The two places of each hash in a table."""
-    shift = np.uint64(64 - bits)
-    return (hashes >> shift).astype(np.int64), ((hashes ^ (hashes >> np.uint64(29))) * _M2 >> shift).astype(np.int64)
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        if self.bits is None:
+            return np.ones(len(hashes), bool)
+        return self.bits[(hashes >> self.shift).astype(np.int64)]
 
 
 class Counts:
-    """Counts of places by context: ends of lines and sentences, ends of texts, and places where the text goes on."""
+    """Counts of places by order and context: ends of lines and sentences, and places where the text goes on."""
 
-    def __init__(self) -> None:
-        self.tables = [np.zeros((2, 1 << bits), np.int32) for bits in (END_BITS, END_BITS, ON_BITS)]
-        self.totals = np.zeros((len(GROUPS) + 1, 2), np.int64)
+    def __init__(self, wanted: Filter, column: int = 0) -> None:
+        self.wanted, self.column = wanted, column
+        self.totals = np.zeros((len(GROUPS), 2), np.int64)
+        self._rows: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        self._held = 0
 
-    def add(self, texts: Sequence[str], groups: Sequence[int], finals: bool = False) -> None:
-        """Counts the places of cleaned texts but their ends, or with ``finals`` their ends alone."""
+    def add(self, texts: Sequence[str], groups: Sequence[int]) -> None:
+        """Counts the places of cleaned texts but their ends."""
         size, part, of = 0, [], []
         for t, g in zip(texts, groups):
+            if not t:
+                continue
             part.append(t)
             of.append(g)
             size += len(t)
             if size >= CHUNK:
-                self._add(part, of, finals)
+                self._add(part, of)
                 size, part, of = 0, [], []
         if part:
-            self._add(part, of, finals)
+            self._add(part, of)
 
-    def _add(self, texts: list[str], groups: list[int], finals: bool) -> None:
+    def _add(self, texts: list[str], groups: list[int]) -> None:
         joined = _PAD + _PAD.join(texts) + "\n"
-        hashes, chars, kind = contexts(joined)
+        chars = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        kind = _kinds(joined, chars)
         wrapped = (kind == 2) | (kind == 3)  # a long line ends where it was wrapped, unless a mark closes it
         lengths = np.array([len(t) for t in texts])
         ends = len(_PAD) + np.cumsum(lengths + len(_PAD)) - len(_PAD) - 1
-        inside = np.zeros(len(chars), bool)
-        group = np.zeros(len(chars), np.int64)
-        for e, n, g in zip(ends, lengths, groups):
-            inside[e - n + 1 : e + 1] = True
-            group[e - n + 1 : e + 1] = g
-        inside &= chars != 10
+        newline = chars == 10
         boundary = np.zeros(len(chars), bool)
-        boundary[:-1] = (chars[1:] == 10) & ~wrapped[:-1]
-        for m in _BOUNDARY.finditer(joined):
-            boundary[m.end() - 1] = True
-        final = np.zeros(len(chars), bool)
-        final[ends[lengths > 0]] = True
-        for k, where in ((1, inside & final),) if finals else ((0, inside & boundary & ~final), (2, inside & ~boundary & ~final)):
-            here = np.flatnonzero(where)
-            if len(here):
-                for row, at in enumerate(places(hashes[:, here].ravel(), ON_BITS if k == 2 else END_BITS)):
-                    self.tables[k][row] += np.bincount(at, minlength=self.tables[k].shape[1]).astype(np.int32)
-        if finals:
-            self.totals[len(GROUPS), 0] += len(texts)
-            return
-        np.add.at(self.totals, (group[inside & boundary], 0), 1)
-        np.add.at(self.totals, (group[inside & ~boundary], 1), 1)
-
-
-class EndModel:
-    """Log-odds of an end, from merged counts."""
-
-    def __init__(self, tables: Sequence[np.ndarray], totals: np.ndarray):
-        self.tables, self.texts = tables, float(totals[len(GROUPS), 0])
-        totals = totals[: len(GROUPS)]
-        self.places = float(totals.sum())
-        rate = (totals[:, 0] + 1) / (totals.sum(axis=1) + 100)
-        self.base = float((totals[:, 0].sum() + 1) / (self.places + 100))
-        self.thresholds = np.log(rate / (1 - rate)) - np.log(COMPLETE_ODDS)
-
-    def counts(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ends that count, continuations, and ends of texts of some contexts."""
-        inner, finals, on = (np.minimum(*(t[row][at] for row, at in enumerate(places(hashes, bits)))).astype(float) for t, bits in zip(self.tables, (END_BITS, END_BITS, ON_BITS)))
-        return inner + np.maximum(finals - DISCOUNT, 0), on, finals
-
-    def log_odds(self, lines: Sequence[str]) -> np.ndarray:
-        out = np.zeros(len(lines))
-        for at in range(0, len(lines), 2000):
-            part = lines[at : at + 2000]
-            joined = _PAD + _PAD.join(part) + "\n"
-            hashes, _, kind = contexts(joined)
-            labelled = kind >= 16
-            lengths = np.array([len(t) for t in part])
-            last = len(_PAD) + np.cumsum(lengths + len(_PAD)) - len(_PAD) - 1
-            p = np.full(len(part), self.base)
-            for k, row in enumerate(hashes):
-                e, m, _ = self.counts(row[last])
-                new = (e + SMOOTH * p) / (e + m + SMOOTH)
-                # the bare contexts have no say over a line with a label, nor has the mere kind over one without
-                p = np.where(labelled[last] if k < len(BARE) else ~labelled[last] & (k == len(BARE)), p, new)
-            p = np.clip(p, 1e-9, 1 - 1e-9)
-            # a label that leads many last lines and few others leads closing lines
-            e, m, finals = self.counts(hashes[len(BARE)][last])
-            closing = ((finals + 1) / (self.texts + 1)) / ((e + m + 1) / (self.places + 1))
-            out[at : at + len(part)] = np.log(p / (1 - p)) + np.where(labelled[last], np.log(np.maximum(closing, 1)), 0)
-        return out
-
-
-def group_of(label: str | None) -> int:
-    code = language_code(label)
-    return LANGS.index(code) if code else len(LANGS)
-
-
-def two_lines(text: str) -> str:
-    """The last two lines of a cleaned text, as far as its break."""
-    t = clean(text).rstrip()
-    return t[t.rfind("\n", 0, max(t.rfind("\n"), 0)) + 1 :]
-
-
-def _tails(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        yield pd.DataFrame({"tail": [two_lines(t) for t in pdf.iloc[:, 0]]})
-
-
-def _count_batches(batches: Iterator[pd.DataFrame], finals: bool) -> Iterator[pd.DataFrame]:
-    counts, any_text = Counts(), False
-    for pdf in batches:
-        if finals:
-            counts.add(pdf.iloc[:, 0].tolist(), [0] * len(pdf), finals=True)
+        boundary[:-1] = newline[1:] & ~wrapped[:-1]
+        boundary[[m.end() - 1 for m in _BOUNDARY.finditer(joined)]] = True
+        counted = ~newline
+        starts = ends - lengths + 1
+        for on, both in ((0, boundary & counted), (1, ~boundary & counted)):
+            np.add.at(self.totals, (np.array(groups), on), np.add.reduceat(both, np.stack([starts, ends + 1], 1).ravel())[::2])
+        counted[ends] = False
+        pos = np.flatnonzero(counted)
+        self._track(chars, pos, boundary, None)
+        self._track(chars, pos, boundary, kind)
+
+    def _track(self, chars: np.ndarray, pos: np.ndarray, boundary: np.ndarray, kind: np.ndarray | None) -> None:
+        """Follows the contexts from short to long, by numbers in place of hashes, as long as they are in question."""
+        known = np.zeros(int(chars.max()) + 1, bool)
+        known[chars] = True
+        alphabet = np.flatnonzero(known)
+        letter = np.zeros(len(known), np.int64)
+        letter[alphabet] = np.arange(len(alphabet))
+        letter = letter[chars]
+        end = boundary.astype(np.int64)
+        if kind is None:
+            own, node, kinds = np.zeros(1, np.uint64), np.zeros(len(pos), np.int64), None
         else:
-            counts.add([clean(t).rstrip() for t in pdf.iloc[:, 0]], [group_of(x) for x in pdf.iloc[:, 1]])
-        any_text = any_text or bool(len(pdf))
-    if any_text:
-        flat = np.concatenate([t.ravel() for t in counts.tables])
-        for b in range(len(flat) // BLOCK):
-            yield pd.DataFrame({"block": [b], "counts": [flat[b * BLOCK : (b + 1) * BLOCK].tobytes()]})
-        yield pd.DataFrame({"block": [-1], "counts": [counts.totals.tobytes()]})
-
-
-def _sum_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    sums: dict[int, np.ndarray] = {}
-    for pdf in batches:
-        for b, raw in zip(pdf["block"], pdf["counts"]):
-            part = np.frombuffer(raw, np.int64 if b < 0 else np.int32)
-            sums[b] = sums[b] + part if b in sums else part.astype(np.int64)
-    for b, s in sums.items():
-        yield pd.DataFrame({"block": [b], "counts": [(s if b < 0 else np.minimum(s, 2**31 - 1).astype(np.int32)).tobytes()]})
-
-
-def fit_endings(documents: DataFrame, text: str = "text", lang: str = "lang") -> EndModel:
-    """The model over all texts of a column; its size is fixed (some 50 MB)."""
-    own = spread(documents.where(F.length(F.trim(text)) > 0).select(text, lang))
-    shape = "block int, counts binary"
-    last = own.select(F.substring_index(F.regexp_replace(text, "\\s+$", ""), "\n", -2).alias("t"))
-    tails = last.mapInPandas(_tails, "tail string").distinct()
-    parts = own.mapInPandas(lambda b: _count_batches(b, False), shape).unionByName(tails.mapInPandas(lambda b: _count_batches(b, True), shape))
-    merged = parts.repartition(8, "block").mapInPandas(_sum_blocks, "block int, counts binary")
-    empty = Counts()
-    flat, totals = np.concatenate([t.ravel() for t in empty.tables]), empty.totals
-    for row in merged.toLocalIterator():
-        if row["block"] < 0:
-            totals = np.frombuffer(bytes(row["counts"]), np.int64).reshape(totals.shape).copy()
-        else:
-            flat[row["block"] * BLOCK : (row["block"] + 1) * BLOCK] = np.frombuffer(bytes(row["counts"]), np.int32)
-    cuts = np.cumsum([t.size for t in empty.tables])[:-1]
-    tables = [part.reshape(t.shape) for part, t in zip(np.split(flat, cuts), empty.tables)]
-    return EndModel(tables, totals)
-
-
-def score_endings(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", keep: Sequence[str] = ()) -> DataFrame:
-    """(doc_id, keep..., log_odds, threshold, cut) for every document with a text that isn't blank."""
-    model = Shared(documents.sparkSession, fit_endings(documents, text, lang))
-    own = documents.select(doc_id, text, lang, *keep).where(F.col(doc_id).isNotNull())
+            kinds, node = np.unique(kind[pos], return_inverse=True)
+            own = np.zeros(len(kinds), np.uint64)
+        rolling = own + column_seed(self.column)
+        orders = BARE if kind is None else KINDS
+        for n in range(max(orders) + 1):
+            if n:
+                node = node * len(alphabet) + letter[pos - n + 1]
+            counts = np.bincount(node * 2 + end[pos], minlength=2 * len(rolling) * (len(alphabet) if n else 1)).reshape(-1, 2)
+            there = np.flatnonzero(counts[:, 0] + counts[:, 1])
+            if n:
+                parent = there // len(alphabet)
+                rolling = rolling[parent] + alphabet[there % len(alphabet)].astype(np.uint64) * _POWERS[n - 1]
+                kinds = kinds[parent] if kinds is not None else None
+            else:
+                rolling, kinds = rolling[there], kinds[there] if kinds is not None else None
+            if n in orders:
+                hashes = context_hash(rolling, n, kinds)
+                keep = self.wanted.has(hashes)
+                there, rolling, hashes = there[keep], rolling[keep], hashes[keep]
+                kinds = kinds[keep] if kinds is not None else None
+                self._note(BARE.index(n) if kind is None else len(BARE) + KINDS.index(n), hashes, counts[there, 1], counts[there, 0])
+            number = np.full(len(counts), -1, np.int64)
+            number[there] = np.arange(len(there))
+            node = number[node]
+            keep = np.flatnonzero(node >= 0)
+            if len(keep) < len(node):
+                node, pos = node[keep], pos[keep]
+            if not len(pos):
+                return
+
+    def _note(self, order: int, hashes: np.ndarray, ends: np.ndarray, on: np.ndarray) -> None:
+        self._rows.append((np.full(len(hashes), order, np.int64), hashes, ends, on))
+        self._held += len(hashes)
+        if self._held > HELD:
+            self._rows = [self.rows()]
+            self._held = max(len(self._rows[0][0]), HELD // 2)
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(orders, contexts, ends, continuations), one of each context."""
+        if not self._rows:
+            return tuple(np.zeros(0, t) for t in (np.int64, np.uint64, np.int64, np.int64))
+        order, hashes, ends, on = (np.concatenate(x) for x in zip(*self._rows))
+        sort = np.lexsort((hashes, order))
+        order, hashes, ends, on = (x[sort] for x in (order, hashes, ends, on))
+        first = np.flatnonzero(np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (order[1:] != order[:-1])])) if len(order) else np.zeros(0, np.int64)
+        return (order[first], hashes[first], *(np.add.reduceat(x, first) if len(first) else x for x in (ends, on)))
+
+
+def open_ends(documents: DataFrame, doc_id: str, columns: Sequence[str], lang: str, keep: Sequence[str]) -> DataFrame:
+    """(doc_id, keep..., col, grp, open, labelled, contexts, tail, tail_contexts) of every text that isn't blank.
+
+    A text whose last mark closes a sentence isn't open and needs no contexts; ``tail`` stands for its last two lines.
+    """
+    parts = [documents.select(F.col(doc_id).alias("doc_id"), *(F.col(k).alias(f"keep_{i}") for i, k in enumerate(keep)), F.lit(c).alias("col"), F.col(lang).alias("lang"), F.col(name).alias("text")) for c, name in enumerate(columns)]
+    own = parts[0]
+    for part in parts[1:]:
+        own = own.unionByName(part)
+    own = own.where(F.col("doc_id").isNotNull() & (F.length(F.trim("text")) > 0))
     fields = {f.name: f.dataType.simpleString() for f in own.schema.fields}
-    schema = ", ".join(f"`{c}` {fields[c]}" for c in (doc_id, *keep)) + ", log_odds double, threshold double, cut boolean"
+    held = [c for c in own.columns if c not in ("lang", "text")]
+    shape = ", ".join(f"{c} {fields[c]}" for c in held) + ", grp int, open boolean, labelled boolean, contexts array<bigint>, tail string, tail_contexts array<bigint>"
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ends: EndModel = model.value
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            lines = [final_context(t) for t in pdf[text]]
-            pdf = pdf[[bool(x.strip()) for x in lines]]
-            lines = [x for x in lines if x.strip()]
-            odds = np.where([bool(_CLOSED.search(x)) for x in lines], 50.0, ends.log_odds(lines)) if lines else []
-            out = pdf[[doc_id, *keep]].copy()
-            out["log_odds"] = odds
-            out["threshold"] = ends.thresholds[[group_of(x) for x in pdf[lang]]] if len(pdf) else []
-            out["cut"] = out["log_odds"] < out["threshold"]
-            yield out.astype({"log_odds": "float64", "threshold": "float64", "cut": "bool"})
-
-    return spread(own.where(F.length(F.trim(text)) > 0)).mapInPandas(score, schema)
+            lines = [final_context(t) for t in pdf["text"]]
+            there = np.array([bool(x.strip()) for x in lines], dtype=bool)
+            pdf, lines = pdf[there], [x for x in lines if x.strip()]
+            out = pdf[held].copy()
+            out["grp"] = np.array([group_of(x) for x in pdf["lang"]], dtype=np.int32)
+            out["open"] = np.array([not _CLOSED.search(x) for x in lines], dtype=bool)
+            tails = [two_lines(t) for t in pdf["text"]]
+            hashes, tail_hashes, labelled = np.zeros((len(pdf), ORDERS), np.int64), np.zeros((len(pdf), ORDERS), np.int64), np.zeros(len(pdf), bool)
+            for c in pdf["col"].unique():
+                at = np.flatnonzero(pdf["col"].to_numpy() == c)
+                found, labelled[at] = final_hashes([lines[k] for k in at], int(c))
+                hashes[at] = found.view(np.int64)
+                tail_hashes[at] = final_hashes([tails[k][tails[k].rfind("\n") + 1 :] for k in at], int(c))[0].view(np.int64)
+            out["labelled"] = labelled
+            out["contexts"] = [h if o else None for h, o in zip(hashes, out["open"])]
+            out["tail"], out["tail_contexts"] = tails, list(tail_hashes)
+            yield out
+
+    return spread(own).mapInPandas(read, shape)
+
+
+def context_filter(ends: DataFrame) -> tuple[str, int]:
+    """Where the filter of the open texts' contexts lies, and its bits."""
+    wanted = ends.where("open").select(F.explode("contexts").alias("context")).distinct()
+    bits = FILTER_LEAST
+    most = min(wanted.count() * FILTER_SPARE, FILTER_MOST)
+    while bits < most:
+        bits *= 2
+    place = F.shiftrightunsigned("context", 64 - (bits.bit_length() - 1))
+    words = wanted.groupBy(F.shiftright(place, 6).alias("word_no")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), place.bitwiseAND(63).cast("int"))).alias("word"))
+    return written(words, []), bits
+
+
+def context_counts(documents: DataFrame, columns: Sequence[str], lang: str, path: str, bits: int) -> DataFrame:
+    """(k, context, ends, goes_on) over all places of all texts; k from 0 on is a context's order, -1 - k the totals of a column's language."""
+    shape = "k int, context bigint, ends bigint, goes_on bigint"
+    out = None
+    for c, name in enumerate(columns):
+        def count(batches: Iterator[pd.DataFrame], c: int = c) -> Iterator[pd.DataFrame]:
+            counts = Counts(Filter.read(path, bits), c)
+            for pdf in batches:
+                counts.add([clean(t).rstrip() for t in pdf.iloc[:, 0]], [group_of(x) for x in pdf.iloc[:, 1]])
+            order, hashes, ends, on = counts.rows()
+            for a in range(0, len(order), 100_000):
+                yield pd.DataFrame({"k": order[a : a + 100_000].astype(np.int32), "context": hashes[a : a + 100_000].view(np.int64), "ends": ends[a : a + 100_000], "goes_on": on[a : a + 100_000]})
+            yield pd.DataFrame({"k": np.int32(-1 - c), "context": np.arange(len(GROUPS)), "ends": counts.totals[:, 0], "goes_on": counts.totals[:, 1]})
+
+        own = spread(documents.where(F.length(F.trim(name)) > 0).select(name, lang)).mapInPandas(count, shape)
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def log_odds(looked_up: Column, labelled: Column, base: Column, texts: Column, places: Column) -> Column:
+    """Log-odds of an end from an array of (k, ends, goes_on, finals) in the order of k: each order smooths the next."""
+    heard = F.filter(looked_up, lambda x: F.when(labelled, x["k"] >= len(BARE)).otherwise(x["k"] != len(BARE)))
+    counted = lambda x: x["ends"] + F.greatest(x["finals"] - DISCOUNT, F.lit(0))
+    p = F.aggregate(heard, base, lambda p, x: (counted(x) + SMOOTH * p) / (counted(x) + x["goes_on"] + SMOOTH))
+    p = F.least(F.greatest(p, F.lit(1e-9)), F.lit(1 - 1e-9))
+    # a label that leads many last lines and few others leads closing lines
+    own = F.element_at(F.filter(looked_up, lambda x: x["k"] == len(BARE)), 1)
+    closing = ((own["finals"] + 1) / (texts + 1)) / ((counted(own) + own["goes_on"] + 1) / (places + 1))
+    return F.log(p / (1 - p)) + F.when(labelled, F.log(F.greatest(closing, F.lit(1.0)))).otherwise(0.0)
+
+
+def score_endings(documents: DataFrame, doc_id: str = "doc_id", text: str | Sequence[str] = "text", lang: str = "lang", keep: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, keep..., log_odds, threshold, cut) for every text that isn't blank; of several columns also ``column``.
+
+    A closed text has the log-odds 50.
+    """
+    columns = [text] if isinstance(text, str) else list(text)
+    ends = cut(open_ends(documents, doc_id, columns, lang, keep))
+    counts = context_counts(documents, columns, lang, *context_filter(ends))
+    tails = ends.groupBy("col", F.xxhash64("tail").alias("t1"), F.xxhash64(F.lit(1), "tail").alias("t2")).agg(F.first("tail_contexts").alias("contexts"))
+    finals = tails.select(F.posexplode("contexts").alias("k", "context"), F.lit(1).cast("bigint").alias("finals"))
+    texts = tails.select((-100 - F.col("col")).alias("k"), F.lit(0).cast("bigint").alias("context"), F.lit(1).cast("bigint").alias("finals"))
+    zero = F.lit(0).cast("bigint")
+    united = counts.withColumn("finals", zero).unionByName(finals.unionByName(texts).select("k", "context", zero.alias("ends"), zero.alias("goes_on"), "finals"))
+    summed = cut(united.groupBy("k", "context").agg(*(F.sum(c).alias(c) for c in ("ends", "goes_on", "finals"))))
+    by_column = {c: thresholds(c, summed.where(F.col("k").isin(-1 - c, -100 - c)).collect()) for c in range(len(columns))}  # a row for each language
+    shapes = ends.where("open").groupBy("col", F.xxhash64("contexts").alias("f1"), F.xxhash64(F.lit(1), "contexts").alias("f2")).agg(F.first("contexts").alias("contexts"), F.first("labelled").alias("labelled"))
+    looked = shapes.select("col", "f1", "f2", "labelled", F.posexplode("contexts").alias("k", "context"))
+    # short contexts stand at the end of a large share of all texts
+    few = summed.where("k >= 0")
+    looked = salted_join(looked, few, ["k", "context"], F.col("f1"), F.when(F.col("k").isin(0, 1, len(BARE), len(BARE) + 1), 32).otherwise(4))
+    row = F.struct("k", *(F.coalesce(c, zero).alias(c) for c in ("ends", "goes_on", "finals")))
+    looked = looked.groupBy("col", "f1", "f2", "labelled").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    value = lambda name: F.element_at(F.create_map(*(F.lit(x) for c, v in by_column.items() for x in (c, float(v[name])))), F.col("col"))
+    scored = looked.select("col", "f1", "f2", log_odds(F.col("rows"), F.col("labelled"), value("base"), value("texts"), value("places")).alias("log_odds"))
+    own = ends.withColumns({"f1": F.xxhash64("contexts"), "f2": F.xxhash64(F.lit(1), "contexts")}).drop("contexts", "tail", "tail_contexts", "labelled")
+    own = salted_join(own, scored, ["col", "f1", "f2"], F.xxhash64("doc_id"), F.lit(8))
+    limit = F.element_at(F.create_map(*(F.lit(x) for c, v in by_column.items() for g, t in enumerate(v["thresholds"]) for x in (c * len(GROUPS) + g, float(t)))), F.col("col") * len(GROUPS) + F.col("grp"))
+    out = own.select(F.col("doc_id").alias(doc_id), *(F.col(f"keep_{i}").alias(k) for i, k in enumerate(keep)), "col", F.when(F.col("open"), F.col("log_odds")).otherwise(50.0).alias("log_odds"), limit.alias("threshold"))
+    out = out.withColumn("cut", F.col("log_odds") < F.col("threshold"))
+    return out.drop("col") if isinstance(text, str) else out.withColumn("column", F.element_at(F.lit(columns), F.col("col") + 1)).drop("col")
+
+
+def thresholds(column: int, rows: list) -> dict:
+    """What the scores of one column need: the rate of ends, totals, and a threshold for each language."""
+    totals, texts = np.zeros((len(GROUPS), 2)), 0
+    for r in rows:
+        if r["k"] == -1 - column:
+            totals[r["context"]] = r["ends"], r["goes_on"]
+        else:
+            texts = r["finals"]
+    rate = (totals[:, 0] + 1) / (totals.sum(axis=1) + 100)
+    places = totals.sum()
+    return {"base": (totals[:, 0].sum() + 1) / (places + 100), "places": places, "texts": texts, "thresholds": np.log(rate / (1 - rate)) - np.log(COMPLETE_ODDS)}

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from deckweave.llm import endings, languages, leakage, pairs
@@ -172,6 +173,45 @@ def test_endings(spark, corpus):
     assert endings.score_endings(df.where("false")).count() == 0
 
 
+def test_context_counts_against_brute_force():
+    rng = random.Random(3)
+    text = lambda: "\n".join("".join(rng.choice("ab .") for _ in range(rng.randint(0, 30))).strip() for _ in range(3))
+    texts = [endings.clean(text()).rstrip() for _ in range(60)]
+    counts = endings.Counts(endings.Filter(None))
+    counts.add(texts, [0] * len(texts))
+    got = {(int(k), int(h)): (int(e), int(m)) for k, h, e, m in zip(*counts.rows())}
+    lines, ends = [], []  # every counted place as the end of a line that stops there
+    for t in texts:
+        full = endings._PAD + t
+        stops = {m.end() - 1 for m in endings._BOUNDARY.finditer(full + "\n")}
+        for i, c in enumerate(full[:-1]):
+            if c != "\n":
+                line = full[full.rfind("\n", 0, i) + 1 : full.find("\n", i) if "\n" in full[i:] else len(full)]
+                words = full[full.rfind("\n", 0, i) + 1 : i + 1].count(" ")
+                long = words >= 6 or any(full.rfind("\n", 0, i) < s < i and not full[s + 1 : i + 1].count("\n") and s + 1 <= i for s in stops)
+                ends.append(i in stops or (full[i + 1] == "\n" and not long))
+                lines.append((full[: i + 1], line))
+    bare = {}
+    for (upto, _), end in zip(lines, ends):
+        for n in endings.BARE:
+            one = bare.setdefault((endings.BARE.index(n), upto[-n:]), [0, 0])
+            one[0 if end else 1] += 1
+    for (k, context), want in bare.items():
+        chars = np.frombuffer(context[::-1].encode("utf-32-le"), np.uint32).astype(np.uint64)
+        rolling = (chars * endings._POWERS[: len(chars)]).sum(dtype=np.uint64)
+        assert got[k, int(endings.context_hash(np.array([rolling]), endings.BARE[k], None)[0])] == tuple(want)
+    assert sum(v[0] + v[1] for (k, _), v in got.items() if k == len(endings.BARE)) == len(lines)  # each place has one kind
+
+
+def test_endings_of_two_columns(spark, corpus):
+    rows = [(c[0], c[1], "en", c[1][:40] if c[4] else "The river explains the lesson.") for c in corpus]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, title string")
+    got = {(r["doc_id"], r["column"]): r["cut"] for r in endings.score_endings(df, text=["text", "title"]).collect()}
+    alone = {r["doc_id"]: r["cut"] for r in endings.score_endings(df).collect()}
+    assert {k: v for (k, c), v in got.items() if c == "text"} == alone
+    assert {c for _, c in got} == {"text", "title"}
+
+
 def test_defective_pairs_on_held_out_kinds(spark):
     rng = random.Random(8)
     rows = []
