@@ -47,7 +47,7 @@ BARE = (1, 2, 3, 4)
 KINDS = (0, 1, 2, 3, 4, 5, 6, 8, 10)
 DISCOUNT = 1
 SMOOTH = 3.0
-CHUNK = 400_000  # characters worked on at once
+CHUNK = 250_000  # characters worked on at once
 #: How many complete texts there are to one that is cut, before anything is known of it.
 COMPLETE_ODDS = 5.0
 GROUPS = (*LANGS, "other")
@@ -60,7 +60,9 @@ _DIGITS = re.compile(r"\d+")
 _BLANKS = re.compile(r"[ \t\r]+(?=\n|$)")
 _STRAY = re.compile(r"(?:\s+|\.{2,}|[…�|~^*_\\/=+#]|<[^<>]{0,12}>?|&[a-zA-Z#0-9]{0,8};?|(?<=\s)[-–—]+|(?<=\w)[-–—]+)+$")
 _CLOSED = re.compile(r"[.!?。][\"'’”»)\]]*$")
-_BOUNDARY = re.compile(r"[.!?:]+[\"'’”»)\]]*(?=\s)|[.!?]+[\"'’”»)\]]*$")
+_ENDED = re.compile(r"(?<!\.)[.!?。]$")
+_SPACE, _MARK, _CLOSER, _NEWLINE = 1, 2, 4, 8
+_CLASSES = np.array([_SPACE * chr(c).isspace() + _NEWLINE * (c == 10) + _MARK * (chr(c) in ".!?:") + _CLOSER * (chr(c) in "\"'’”»)]") for c in range(0x3001)] + [0], dtype=np.uint8)
 _LABEL = re.compile(r"^(?:[-*•]|\d+[.)]|[^\s:|.]{1,24}:|[^\s:|.]{1,24} [^\s:|.]{1,24}:|[^\s|]+ \||https?:)(?=[ /])", re.MULTILINE)
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _POWERS = np.cumprod(np.full(max(KINDS) + 1, _M1))
@@ -87,47 +89,81 @@ def last_lines(text: str, whole: bool = False) -> str:
 
 def final_context(text: str | None) -> str:
     """The text's last line as far as its break, less stray marks behind the break; empty for a blank text."""
-    if text is None:
-        return ""
-    part = last_lines(text)
-    t = clean(part).rstrip()
+    return _final(text, clean(last_lines(text)).rstrip()) if text is not None else ""
+
+
+def _final(text: str, t: str) -> str:
+    """``final_context`` of a text whose cleaned last lines are ``t``."""
+    if _ENDED.search(t):
+        return t[t.rfind("\n") + 1 :]
     bare = _STRAY.sub("", t)
-    if "\n" not in bare and len(part) < len(text.rstrip()):
-        t = clean(last_lines(text, True)).rstrip()  # the stray marks fill whole lines
+    if "\n" not in bare:
+        t = clean(last_lines(text, True)).rstrip()  # the stray marks may fill whole lines
         bare = _STRAY.sub("", t)
     if not bare.strip():
         bare = t
     return bare[bare.rfind("\n") + 1 :]
 
 
-def _kinds(joined: str, chars: np.ndarray) -> np.ndarray:
-    """A number for the kind of line each character stands in."""
+def _kinds(chars: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers for the kinds of lines, which of them each character stands in, and the ends of sentences.
+
+    A line is one kind up to its third word's end, another up to its sixth, then
+    long, and a paragraph after its first sentence; a label makes it of its own kind.
+    """
     n = len(chars)
-    newline = chars == 10
-    place = np.arange(n)
-    start = np.maximum.accumulate(np.where(np.concatenate([[True], newline[:-1]]), place, 0))
-    space = np.cumsum(chars == 32)
-    word = space - space[start]
-    ended = np.zeros(n, int)
-    for m in _BOUNDARY.finditer(joined):
-        if m.end() < n:
-            ended[m.end()] = 1
-    ended = np.cumsum(ended)
-    kind = np.select([ended > ended[start], word >= 6, word >= 3], [3, 2, 1], 0)
-    label = np.zeros(n, np.int64)
-    for m in _LABEL.finditer(joined):
-        label[m.start()] = 16 + sum(ord(c) * 31**i for i, c in enumerate(m.group().lower())) % 999_983
-    label = label[start]
-    return np.where(label > 0, label, kind).astype(np.uint64)
+    of = _CLASSES[np.minimum(chars, 0x3001)]
+    breaks = np.flatnonzero(of & _NEWLINE)
+    start = np.concatenate([[0], breaks + 1])
+    end = np.append(breaks + 1, n)
+    start, end = start[start < end], end[start < end]
+    last = np.flatnonzero(((of[:-1] & (_MARK | _CLOSER)) > 0) & ((of[1:] & _SPACE) > 0))
+    at, left = last.copy(), np.arange(len(last))
+    sentence = np.zeros(len(last), bool)
+    while len(left):  # closing quotes and brackets stand behind the mark
+        mark = (of[at[left]] & _MARK) > 0
+        sentence[left[mark]] = True
+        left = left[~mark & ((of[at[left]] & _CLOSER) > 0) & (at[left] > 0)]
+        at[left] -= 1
+    ends = last[sentence]
+    spaces = np.append(np.flatnonzero(chars == 32), np.full(6, n))
+    first = np.searchsorted(spaces[:-6], start)
+    closed = np.append(ends + 1, n)[np.searchsorted(ends + 1, start, "right")]
+    stops = np.minimum(closed, end)
+    cuts = [start, *(np.minimum(spaces[first + k], stops) for k in (2, 5)), stops, end]
+    kind = np.tile(np.arange(4), (len(start), 1))
+    values = list(range(4))
+    if len(start):
+        labels: dict[str, int] = {}
+        text = chars.tobytes().decode("utf-32-le", "surrogatepass")
+        found = list(_LABEL.finditer(text))
+        line = np.searchsorted(start, np.array([m.start() for m in found], dtype=np.int64))
+        for k, m in zip(line.tolist(), found):
+            own = m.group().lower()
+            if own not in labels:
+                labels[own] = len(values)
+                values.append(16 + sum(ord(c) * 31**i for i, c in enumerate(own)) % 999_983)
+            kind[k] = labels[own]
+    return np.array(values, dtype=np.uint64), np.repeat(kind.ravel(), np.diff(np.stack(cuts, 1), axis=1).ravel()).astype(np.int32), ends
+
+
+def context_hash(rolling: np.ndarray, n: int, kind: np.ndarray | None) -> np.ndarray:
+    """The hash of a context of n characters, bare or with its kind of line."""
+    if kind is None:
+        h = (rolling + np.uint64(n)) * _M2
+    else:
+        h = (rolling + np.uint64(n + 100) + (kind + np.uint64(1)) * _M2) * _M2
+    return (h ^ (h >> np.uint64(31))) * _M1
 
 
 def final_hashes(lines: Sequence[str], column: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(lines x orders) hashes of the contexts at the ends of some lines, and which lines a label leads."""
     joined = _PAD + _PAD.join(lines) + "\n"
     chars = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    kind = _kinds(joined, chars)
     lengths = np.array([len(t) for t in lines], dtype=np.int64)
     last = len(_PAD) + np.cumsum(lengths + len(_PAD)) - len(_PAD) - 1
+    values, own, _ = _kinds(chars)
+    kind = values[own[last]]
     out = np.zeros((len(lines), ORDERS), np.uint64)
     rolling = np.full(len(lines), column_seed(column))
     for n in range(max(KINDS) + 1):
@@ -136,8 +172,8 @@ def final_hashes(lines: Sequence[str], column: int = 0) -> tuple[np.ndarray, np.
         if n in BARE:
             out[:, BARE.index(n)] = context_hash(rolling, n, None)
         if n in KINDS:
-            out[:, len(BARE) + KINDS.index(n)] = context_hash(rolling, n, kind[last])
-    return out, kind[last] >= 16
+            out[:, len(BARE) + KINDS.index(n)] = context_hash(rolling, n, kind)
+    return out, kind >= 16
 
 
 def column_seed(column: int) -> np.uint64:
@@ -158,9 +194,8 @@ def group_of(label: str | None) -> int:
     return LANGS.index(code) if code else len(LANGS)
 
 
-def two_lines(text: str) -> str:
-    """The last two lines of a cleaned text, as far as its break."""
-    t = clean(last_lines(text)).rstrip()
+def two_lines(t: str) -> str:
+    """The last two of a text's cleaned last lines."""
     return t[t.rfind("\n", 0, max(t.rfind("\n"), 0)) + 1 :]
 
 
@@ -211,62 +246,85 @@ class Counts:
     def _add(self, texts: list[str], groups: list[int]) -> None:
         joined = _PAD + _PAD.join(texts) + "\n"
         chars = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        kind = _kinds(joined, chars)
-        wrapped = (kind == 2) | (kind == 3)  # a long line ends where it was wrapped, unless a mark closes it
+        values, kind, sentences = _kinds(chars)
         lengths = np.array([len(t) for t in texts])
         ends = len(_PAD) + np.cumsum(lengths + len(_PAD)) - len(_PAD) - 1
         newline = chars == 10
-        boundary = np.zeros(len(chars), bool)
-        boundary[:-1] = newline[1:] & ~wrapped[:-1]
-        boundary[[m.end() - 1 for m in _BOUNDARY.finditer(joined)]] = True
-        counted = ~newline
-        starts = ends - lengths + 1
-        for on, both in ((0, boundary & counted), (1, ~boundary & counted)):
-            np.add.at(self.totals, (np.array(groups), on), np.add.reduceat(both, np.stack([starts, ends + 1], 1).ravel())[::2])
-        counted[ends] = False
-        pos = np.flatnonzero(counted)
-        self._track(chars, pos, boundary, None)
-        self._track(chars, pos, boundary, kind)
-
-    def _track(self, chars: np.ndarray, pos: np.ndarray, boundary: np.ndarray, kind: np.ndarray | None) -> None:
-        """Follows the contexts from short to long, by numbers in place of hashes, as long as they are in question."""
+        boundary = np.zeros(len(chars), np.int32)
+        boundary[np.flatnonzero(newline)[1:] - 1] = 1
+        boundary[(kind == 2) | (kind == 3)] = 0  # a long line ends where it was wrapped, unless a mark closes it
+        boundary[sentences] = 1
+        inside = np.flatnonzero(~newline)
+        of = np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(inside, ends, "right"), prepend=0))
+        np.add.at(self.totals, (np.array(groups), 0), np.bincount(of, weights=boundary[inside], minlength=len(texts)).astype(np.int64))
+        np.add.at(self.totals, (np.array(groups), 1), np.bincount(of, weights=1 - boundary[inside], minlength=len(texts)).astype(np.int64))
+        pos = np.delete(inside, np.searchsorted(inside, ends))
         known = np.zeros(int(chars.max()) + 1, bool)
         known[chars] = True
         alphabet = np.flatnonzero(known)
-        letter = np.zeros(len(known), np.int64)
+        letter = np.zeros(len(known), np.int32)
         letter[alphabet] = np.arange(len(alphabet))
         letter = letter[chars]
-        end = boundary.astype(np.int64)
-        if kind is None:
-            own, node, kinds = np.zeros(1, np.uint64), np.zeros(len(pos), np.int64), None
-        else:
-            kinds, node = np.unique(kind[pos], return_inverse=True)
-            own = np.zeros(len(kinds), np.uint64)
-        rolling = own + column_seed(self.column)
-        orders = BARE if kind is None else KINDS
-        for n in range(max(orders) + 1):
+        end = boundary[pos]
+        self._track(alphabet, letter, pos, end, None, np.zeros(len(pos), np.int32))
+        self._track(alphabet, letter, pos, end, values, kind[pos])
+
+    def _track(self, alphabet: np.ndarray, letter: np.ndarray, pos: np.ndarray, end: np.ndarray, kinds: np.ndarray | None, node: np.ndarray) -> None:
+        """Follows the contexts from short to long, by small numbers in place of hashes, as long as they are in question."""
+        orders = BARE if kinds is None else KINDS
+        bare, wide = kinds is None, len(alphabet)
+        rolling = np.full(1 if bare else len(kinds), column_seed(self.column))
+        first = 0
+        if len(rolling) * wide * wide <= 2 * len(pos) + (1 << 16):
+            first = 2  # the shorter contexts' counts are sums of those of two characters
+            node = (node * wide + letter[pos]) * wide + letter[pos - 1]
+            pairs = np.bincount(node * 2 + end, minlength=2 * len(rolling) * wide * wide)
+            there = np.flatnonzero(pairs[0::2] + pairs[1::2])
+            for n in range(2):
+                if n in orders:
+                    own = rolling if not n else (rolling[:, None] + alphabet.astype(np.uint64) * _POWERS[0]).ravel()
+                    hashes = context_hash(own, n, kinds if bare or not n else np.repeat(kinds, wide))
+                    on, ends = (np.bincount(there // wide ** (2 - n), weights=pairs[2 * there + k], minlength=len(own)).astype(np.int64) for k in range(2))
+                    keep = np.flatnonzero((on + ends > 0) & self.wanted.has(hashes))
+                    self._note(BARE.index(n) if bare else len(BARE) + KINDS.index(n), hashes[keep], ends[keep], on[keep])
+            rolling = (rolling[:, None] + alphabet.astype(np.uint64) * _POWERS[0]).ravel()
+            kinds = kinds if bare else np.repeat(kinds, wide)
+        for n in range(first, max(orders) + 1):
+            many = len(rolling)
             if n:
-                node = node * len(alphabet) + letter[pos - n + 1]
-            counts = np.bincount(node * 2 + end[pos], minlength=2 * len(rolling) * (len(alphabet) if n else 1)).reshape(-1, 2)
-            there = np.flatnonzero(counts[:, 0] + counts[:, 1])
+                many *= wide
+                if n > first or not first:
+                    node = node * wide + letter[pos - (n - 1)] if many < 2**30 else node.astype(np.int64) * wide + letter[pos - (n - 1)]
+            if many <= 2 * len(pos) + (1 << 16):
+                counts = (pairs if first and n == first else np.bincount(node * 2 + end, minlength=2 * many)).reshape(-1, 2)
+                there = np.flatnonzero(counts[:, 0] + counts[:, 1])
+                counts = counts[there]
+                number = np.full(many, -1, np.int32)
+            else:
+                there, node = np.unique(node, return_inverse=True)
+                counts = np.bincount(node * 2 + end, minlength=2 * len(there)).reshape(-1, 2)
+                number = None
             if n:
-                parent = there // len(alphabet)
-                rolling = rolling[parent] + alphabet[there % len(alphabet)].astype(np.uint64) * _POWERS[n - 1]
-                kinds = kinds[parent] if kinds is not None else None
+                parent = there // wide
+                rolling = rolling[parent] + alphabet[there % wide].astype(np.uint64) * _POWERS[n - 1]
+                kinds = kinds if bare else kinds[parent]
             else:
-                rolling, kinds = rolling[there], kinds[there] if kinds is not None else None
+                rolling, kinds = rolling[there], kinds if bare else kinds[there]
+            keep = np.arange(len(there))
             if n in orders:
                 hashes = context_hash(rolling, n, kinds)
-                keep = self.wanted.has(hashes)
-                there, rolling, hashes = there[keep], rolling[keep], hashes[keep]
-                kinds = kinds[keep] if kinds is not None else None
-                self._note(BARE.index(n) if kind is None else len(BARE) + KINDS.index(n), hashes, counts[there, 1], counts[there, 0])
-            number = np.full(len(counts), -1, np.int64)
-            number[there] = np.arange(len(there))
+                keep = np.flatnonzero(self.wanted.has(hashes))
+                self._note(BARE.index(n) if bare else len(BARE) + KINDS.index(n), hashes[keep], counts[keep, 1], counts[keep, 0])
+                rolling, kinds = rolling[keep], kinds if bare else kinds[keep]
+            if number is None:
+                number = np.full(len(there), -1, np.int32)
+                number[keep] = np.arange(len(keep))
+            else:
+                number[there[keep]] = np.arange(len(keep))
             node = number[node]
-            keep = np.flatnonzero(node >= 0)
-            if len(keep) < len(node):
-                node, pos = node[keep], pos[keep]
+            left = np.flatnonzero(node >= 0)
+            if len(left) < len(node):
+                node, pos, end = node[left], pos[left], end[left]
             if not len(pos):
                 return
 
@@ -304,18 +362,19 @@ def open_ends(documents: DataFrame, doc_id: str, columns: Sequence[str], lang: s
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            lines = [final_context(t) for t in pdf["text"]]
+            cleaned = [clean(last_lines(t)).rstrip() for t in pdf["text"]]
+            lines = [_final(t, c) for t, c in zip(pdf["text"], cleaned)]
             there = np.array([bool(x.strip()) for x in lines], dtype=bool)
-            pdf, lines = pdf[there], [x for x in lines if x.strip()]
+            pdf, lines, tails = pdf[there], [x for x in lines if x.strip()], [two_lines(c) for x, c in zip(lines, cleaned) if x.strip()]
             out = pdf[held].copy()
             out["grp"] = np.array([group_of(x) for x in pdf["lang"]], dtype=np.int32)
             out["open"] = np.array([not _CLOSED.search(x) for x in lines], dtype=bool)
-            tails = [two_lines(t) for t in pdf["text"]]
             hashes, tail_hashes, labelled = np.zeros((len(pdf), ORDERS), np.int64), np.zeros((len(pdf), ORDERS), np.int64), np.zeros(len(pdf), bool)
             for c in pdf["col"].unique():
-                at = np.flatnonzero(pdf["col"].to_numpy() == c)
+                at = np.flatnonzero((pdf["col"] == c) & out["open"])
                 found, labelled[at] = final_hashes([lines[k] for k in at], int(c))
                 hashes[at] = found.view(np.int64)
+                at = np.flatnonzero(pdf["col"] == c)
                 tail_hashes[at] = final_hashes([tails[k][tails[k].rfind("\n") + 1 :] for k in at], int(c))[0].view(np.int64)
             out["labelled"] = labelled
             out["contexts"] = [h if o else None for h, o in zip(hashes, out["open"])]
