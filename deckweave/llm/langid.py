@@ -1,7 +1,8 @@
 """Languages of texts by bit-sliced Bloom filters of n-grams.
 
-One table holds the filters of all languages side by side: a slot is a byte with
-a bit for each language.  A look-up ANDs the bytes at the n-gram's slots and so
+One table holds the filters of all languages side by side: a slot is an integer
+with a bit for each language, as wide as there are languages.  A look-up ANDs the
+integers at the n-gram's slots, which lie in one block of the table, and so
 returns every language that has the n-gram.  A text's counts of bits, for each
 language less its expected false positives, decide.  All of it works on whole
 Arrow batches with numpy.
@@ -32,7 +33,8 @@ NAMES = {
 
 _GAPS = re.compile(r"[\W\d_]+")
 _MULT = np.uint64(0x9E3779B97F4A7C15)
-_STEPS = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93], dtype=np.uint64)
+_STEP = np.uint64(0xBF58476D1CE4E5B9)
+CHUNK = 100_000  # characters worked on at once
 
 
 def language_code(label: str | None) -> str | None:
@@ -69,8 +71,19 @@ def ngram_hashes(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _slots(h: np.ndarray) -> list[np.ndarray]:
-    shift = np.uint64(64 - SLOTS.bit_length() + 1)
-    return [((h ^ (h >> np.uint64(29))) * s) >> shift for s in _STEPS[:HASHES]]
+    """The slots of each hash: a block of 64 by its first bits, places in it by the next."""
+    g = (h ^ (h >> np.uint64(29))) * _STEP
+    bits = SLOTS.bit_length() - 1
+    block = (g >> np.uint64(64 - bits + 6)) << np.uint64(6)
+    return [(block | ((g >> np.uint64(64 - bits - 6 * k)) & np.uint64(63))).astype(np.int64) for k in range(HASHES)]
+
+
+def mask_type(languages: int) -> np.dtype:
+    """The smallest integer with a bit for each language."""
+    for kind in (np.uint8, np.uint16, np.uint32, np.uint64):
+        if languages <= np.dtype(kind).itemsize * 8:
+            return np.dtype(kind)
+    raise ValueError("at most 64 languages fit the masks")
 
 
 class LanguageFilters:
@@ -78,8 +91,12 @@ class LanguageFilters:
 
     def __init__(self, table: np.ndarray):
         self.table = table
-        fill = np.array([np.mean((table >> i) & 1) for i in range(len(LANGS))])
+        bit = table.dtype.type
+        fill = np.array([np.mean((table >> bit(i)) & bit(1)) for i in range(len(LANGS))])
         self.false = fill**HASHES
+        many = np.arange(1 << min(len(LANGS), 8))
+        own = (many[:, None] >> np.arange(len(LANGS))) & 1
+        self.share = own / np.maximum(own.sum(axis=1, keepdims=True), 1)  # what an n-gram counts for each language, by mask
 
     @classmethod
     def fit(cls, texts: Sequence[str], langs: Sequence[str], share: float = 0.25) -> LanguageFilters:
@@ -91,10 +108,11 @@ class LanguageFilters:
         np.add.at(counts, (lang, index), 1)
         rates = counts / np.maximum(counts.sum(axis=1, keepdims=True), 1)
         member = (rates >= share * rates.max(axis=0, initial=0)) & (counts > 0)
-        bits = np.zeros(len(grams), np.uint8)
+        kind = mask_type(len(LANGS))
+        bits = np.zeros(len(grams), kind)
         for i in range(len(LANGS)):
-            bits |= member[i].astype(np.uint8) << i
-        table = np.zeros(SLOTS, np.uint8)
+            bits |= member[i].astype(kind) << kind.type(i)
+        table = np.zeros(SLOTS, kind)
         for s in _slots(grams):
             np.bitwise_or.at(table, s, bits)
         return cls(table)
@@ -110,19 +128,36 @@ class LanguageFilters:
 
     def scores(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         """(texts x languages) counts, an n-gram shared by k languages counting 1/k for each, and the n-grams of each text."""
-        h, of = ngram_hashes([letters(t) for t in texts])
-        size = np.bincount(of, minlength=len(texts)).astype(float)
-        mask = np.full(len(h), 255, np.uint8)
-        for s in _slots(h):
+        return self.scores_of([letters(t) for t in texts])
+
+    def scores_of(self, own: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        """``scores`` of texts in the form of ``letters``."""
+        out, size = np.zeros((len(own), len(LANGS))), np.zeros(len(own))
+        a = 0
+        while a < len(own):
+            b, chars = a, 0
+            while b < len(own) and (b == a or chars + len(own[b]) <= CHUNK):
+                chars += len(own[b])
+                b += 1
+            out[a:b], size[a:b] = self._scores(own[a:b])
+            a = b
+        return np.maximum(out - size[:, None] * self.false, 0) / (1 - self.false), size
+
+    def _scores(self, own: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        h, of = ngram_hashes(own)
+        size = np.bincount(of, minlength=len(own)).astype(float)
+        if not len(h):
+            return np.zeros((len(own), len(LANGS))), size
+        first, *rest = _slots(h)
+        mask = self.table[first]
+        for s in rest:
             mask &= self.table[s]
-        many = np.unpackbits(mask[:, None], axis=1).sum(axis=1)
-        weight = 1.0 / np.maximum(many, 1)
-        out = np.zeros((len(texts), len(LANGS)))
-        for i in range(len(LANGS)):
-            hit = ((mask >> i) & 1).astype(bool)
-            raw = np.bincount(of[hit], weights=weight[hit], minlength=len(texts))
-            out[:, i] = np.maximum(raw - size * self.false[i], 0) / (1 - self.false[i])
-        return out, size
+        if len(LANGS) <= 8:
+            wide = len(self.share)
+            return np.bincount(of * wide + mask, minlength=len(own) * wide).reshape(-1, wide) @ self.share, size
+        bits = (mask[:, None] >> np.arange(len(LANGS), dtype=mask.dtype)) & mask.dtype.type(1)
+        weight = 1.0 / np.maximum(bits.sum(axis=1), 1)
+        return np.stack([np.bincount(of, weights=weight * bits[:, i], minlength=len(own)) for i in range(len(LANGS))], 1), size
 
     def decide(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         """The language of each text as an index, -1 without evidence, and a confidence from 0 to 1."""

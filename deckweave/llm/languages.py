@@ -28,8 +28,8 @@ SENTENCE_WORDS = 3
 
 
 def known_texts(segments: DataFrame) -> tuple[list[str], list[str]]:
-    """Texts with a language from a table (p, translated, source_lang), at most ``MAX_TRAIN`` rows of it."""
-    rows = segments.select("p", "translated", "source_lang").orderBy("p", "translated", "source_lang").limit(MAX_TRAIN).collect()
+    """Texts with a language from a table (p, translated, source_lang), those of the ``MAX_TRAIN`` least hashes."""
+    rows = least_by_hash(segments, ["p", "translated", "source_lang"], MAX_TRAIN)
     known = [(r["p"], r["source_lang"]) for r in rows if r["p"] and r["source_lang"] in LANGS]
     known += [(r["translated"], "tl") for r in rows if r["translated"]]
     return [t for t, _ in known], [x for _, x in known]
@@ -57,14 +57,14 @@ def line_languages(lines: DataFrame, filters: LanguageFilters, keys: list[str],
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            texts = pdf[text].tolist()
-            best, sure = pick(held.value.scores(texts)[0])
+            at, texts = pd.factorize(pdf[text])
             own = [letters(t) for t in texts]
+            best, sure = pick(held.value.scores_of(own)[0])
             out = pdf[keys].copy()
-            out["lang"] = [LANGS[b] if b >= 0 else None for b in best]
-            out["confidence"] = sure.astype(np.float64)
-            out["size"] = [len(t) for t in own]
-            out["sentence"] = [sum(len(w) > 1 for w in t.split()) >= SENTENCE_WORDS for t in own]
+            out["lang"] = np.array([*LANGS, None], dtype=object)[best][at]
+            out["confidence"] = sure.astype(np.float64)[at]
+            out["size"] = np.array([len(t) for t in own], dtype=np.int64)[at]
+            out["sentence"] = np.array([sum(len(w) > 1 for w in t.split()) >= SENTENCE_WORDS for t in own], dtype=bool)[at]
             yield out[out["lang"].notna()]
 
     named = lines.select(*keys, text).dropna(subset=keys).where(f"length(trim({text})) > 0")
