@@ -1,12 +1,15 @@
 """Defective question and answer pairs.
 
-A multi-label linear classifier on hashed n-grams and features of the pair.  It
-is trained on a bounded sample of pairs (``MAX_TRAIN``, the least by a hash of
-their texts), for negatives those it finds nothing wrong with, and on the same pairs made
-defective: emptied, cut, echoed, answered by another pair's answer in another
-language, refused.  Each label has a threshold calibrated on pairs that were held
-out.  An exact check of what each defect means follows, and may only take a
-label away.
+A multi-label linear classifier on hashed n-grams and features of the pair
+decides; nothing overrules it.  It is trained on a bounded sample of pairs
+(``MAX_TRAIN``, the least by a hash of their texts), for negatives those it finds
+nothing wrong with, and on the same pairs made defective: emptied, cut, echoed,
+answered by another pair's answer in another language, refused.  Each label has a
+threshold calibrated on pairs that were held out, wherever that puts it.
+
+What a rule would ask of a pair (is there a word, does the answer add any to the
+question, does it end with a mark, which languages do both halves have) are
+features among others; the weights say what they are worth.
 
 Defined results: a null or wordless answer is ``empty`` unless the status is
 pending or skipped; a null question has no language and no echo; of several
@@ -34,12 +37,16 @@ DEFECTS = ("empty", "copy", "refusal", "language", "truncated")
 MAX_TRAIN = 3000
 DIMS = 1 << 15
 SEED = 7
-#: The sample holds defective pairs too: either half is judged by a fit on the other, and a pair over this probability of a defect is no negative for it in the next fits.
-DOUBTS = (0.3, 0.2)
-#: The weight of a sampled pair as a negative beside a pair made defective.
-UNLABELLED = 1.0
-#: The share of held-out defective pairs a threshold must let through.
-RECALL = 0.985
+EPOCHS, BATCH, RATE = 6, 256, 0.05
+#: How far from the held-out sound pairs towards the defective ones a threshold lies; near for refusals, which vary more than made ones do.
+SIDE = (0.5, 0.5, 0.25, 0.5, 0.5)
+#: The sample holds defective pairs too: either half is judged by a fit on the other, and a pair over this probability of a defect is no negative for it in the next fits (a round each, by defect).
+DOUBTS = ((0.5, 0.5, 0.1, 0.5, 0.5),)
+#: The weight of a sampled pair as a negative beside a pair made defective; low for refusals, which words alone tell and a fit would learn by heart.
+UNLABELLED = (1.0, 1.0, 0.1, 1.0, 1.0)
+#: The same for a sampled answer that was cut or answers another question.
+REUSED = 0.5
+AS_IT_IS = -2
 
 # What stands for "nothing" when it is the whole answer.
 PLACEHOLDERS = {
@@ -54,102 +61,154 @@ ASKED = {
     "espagnol": "es", "spanisch": "es", "spanyol": "es", "espanyol": "es", "french": "fr", "francés": "fr", "français": "fr", "französisch": "fr", "prancis": "fr", "pranses": "fr",
     "german": "de", "alemán": "de", "allemand": "de", "deutsch": "de", "jerman": "de", "aleman": "de", "indonesian": "id", "indonesio": "id", "indonésien": "id", "indonesisch": "id", "indonesia": "id",
 }
-# Words, and pairs of them, of which a refusal has at least one.
+# Words, and pairs of them, that refusals often have; whether an answer has one is a feature.
 CUES = frozenset(
     "sorry apologies apologise apologize unfortunately afraid regret cannot unable decline declining rather won allowed permitted limits guidelines discuss refuse permission policy scope comment my me request question prompt assist assistant service topic "
     "siento lamentablemente disculpa disculpe perdón puedo declinar rechazar responder contestar ayudar permiso pregunta solicitud désolé regrette malheureusement excusez refuser répondre impossible aider je demande "
     "leid leider entschuldigung bedauerlicherweise ablehnen beantworten antworten helfen darf ich mir anfrage maaf sayangnya tolak menolak menjawab membantu diizinkan saya permintaan "
     "paumanhin pasensya ikinalulungkot tanggihan masasagot makatutulong matutulungan pinapayagang sagot ko ako hiling".split()
 )
-CUE_PAIRS = ("can not", "can t", "i am", "i m", "i have", "i must", "i can", "i d", "i won", "i will", "i do", "i would", "i may", "i prefer")
-# Phrases that made-up refusals are put together from.
+CUE_PAIRS = frozenset(("can not", "can t", "i am", "i m", "i have", "i must", "i can", "i d", "i won", "i will", "i do", "i would", "i may", "i prefer"))
+# Parts that made-up refusals are put together from: an opener, a way to decline with what is declined, a closer.
 _OPENERS = {
-    "en": ["Sorry,", "I'm sorry, but", "Unfortunately,", "Apologies,", "As an assistant,", "Thank you for the question, but", "I appreciate your interest; however,", "I regret that", "I'm afraid", "Thanks for asking, but", "Apologies -", "As an automated tutor,", "I appreciate the question; however,", ""],
-    "es": ["Lo siento,", "Lamentablemente,", "Disculpa, pero", "Perdón,", ""], "fr": ["Désolé,", "Je regrette, mais", "Malheureusement,", "Excusez-moi,", ""],
-    "de": ["Es tut mir leid,", "Leider:", "Leider geht es nicht:", "Entschuldigung,", "Bedauerlicherweise:", ""], "id": ["Maaf,", "Mohon maaf,", "Sayangnya,", ""], "tl": ["Paumanhin po,", "Pasensya na,", "Ikinalulungkot ko,", ""],
+    "en": ["Sorry,", "I'm sorry, but", "Unfortunately,", "Apologies,", "As an assistant,", "Thank you for the question, but", "I appreciate your interest; however,", "I regret that", "I'm afraid", "Thanks for asking, but", "As an automated tutor,", "", ""],
+    "es": ["Lo siento,", "Lamentablemente,", "Disculpa, pero", "Perdón,", "Como asistente,", ""], "fr": ["Désolé,", "Je regrette, mais", "Malheureusement,", "Excusez-moi,", "En tant qu'assistant,", ""],
+    "de": ["Es tut mir leid,", "Leider:", "Leider geht es nicht:", "Entschuldigung,", "Bedauerlicherweise:", "Als Assistent sage ich:", ""], "id": ["Maaf,", "Mohon maaf,", "Sayangnya,", "Sebagai asisten,", ""], "tl": ["Paumanhin po,", "Pasensya na,", "Ikinalulungkot ko,", "Bilang katuwang,", ""],
 }
-_CORES = {
-    "en": ["I cannot answer this question.", "I can't help with that.", "I am not able to respond to this request.", "I am unable to provide an explanation.", "I must decline to answer.", "I won't be able to complete this for you.", "this is outside what I am allowed to discuss.",
-           "no answer can be given here.", "I cannot answer questions about this topic.", "that subject is off limits for this service.", "I have no way of responding to this prompt.", "answering would go against my guidelines.", "it isn't something I may assist with.", "I do not have permission to discuss it.", "I can't provide that.", "I am not able to help with this request.", "this request falls outside what I may discuss.", "no answer can be given by this service to such a prompt.", "that topic is off limits for this assistant.", "I can't provide that explanation.", "I must decline to respond here.", "I'd rather not comment on it.", "I prefer not to answer.", "I will not answer that.", "I can't assist with this.", "I'm unable to comment.", "this is not something I can talk about.", "I have been told not to answer such questions.", "I would prefer not to say.", "no comment can be made on this."],
-    "es": ["no puedo responder a esta pregunta.", "no puedo ayudar con eso.", "debo rechazar esta solicitud.", "debo declinar la petición.", "debo declinar esta solicitud.", "no estoy en condiciones de ayudar.", "no me es posible contestar.", "no tengo permiso para hablar de este tema."],
-    "fr": ["je ne peux pas répondre à cette question.", "je ne peux pas vous aider.", "je dois refuser la demande.", "il m'est impossible de répondre.", "je ne suis pas en mesure de vous aider.", "je n'ai pas le droit d'en parler."],
-    "de": ["ich kann diese Frage nicht beantworten.", "dabei kann ich nicht helfen.", "diese Anfrage muss ich ablehnen.", "ich darf darauf nicht antworten.", "eine Antwort ist mir nicht möglich.", "dazu kann ich nichts sagen."],
-    "id": ["saya tidak dapat menjawab pertanyaan ini.", "saya tidak bisa membantu.", "permintaan ini harus saya tolak.", "saya tidak diizinkan membahas hal ini.", "saya tidak mampu memberikan jawaban."],
-    "tl": ["hindi ko masasagot ang tanong na ito.", "hindi ako makatutulong sa hiling na iyan.", "kailangan kong tanggihan ang hiling.", "hindi ako pinapayagang pag-usapan ito.", "wala akong maibibigay na sagot."],
+_DECLINES = {
+    "en": [("I {} {} {}.", ["cannot", "can't", "am not able to", "am unable to", "won't", "will not", "must decline to", "have to refuse to", "am not allowed to", "do not have permission to", "would rather not", "prefer not to", "am not in a position to", "won't be able to"],
+            ["answer", "respond to", "help with", "assist with", "discuss", "comment on", "explain", "provide", "complete", "talk about", "say anything about"], ["this", "that", "this question", "your request", "this prompt", "that topic", "it", "questions like this one", "that explanation", "an answer here"]),
+           ("{} is {}.", ["this", "that subject", "that topic", "this request", "the question", "answering this"], ["outside what I may discuss", "off limits for this assistant", "off limits for this service", "against my guidelines", "not something I can talk about", "beyond what I am allowed to discuss", "not something I may assist with"]),
+           ("{} {}.", ["no answer", "no comment", "no explanation"], ["can be given here", "can be given by this service", "can be made on this", "will be given to such a prompt"]), ("{} {}.", ["I have no way of", "there is no way for me of", "I refrain from", "I abstain from"], ["responding to this prompt", "answering that", "helping with this request"])],
+    "es": [("{} {} {}.", ["no puedo", "no me es posible", "no tengo permiso para", "debo negarme a", "prefiero no", "no estoy en condiciones de", "no se me permite"], ["responder a", "ayudar con", "contestar", "hablar de", "opinar sobre", "explicar"], ["esta pregunta", "eso", "esta solicitud", "este tema", "la petición"]), ("debo {} {}.", ["rechazar", "declinar"], ["esta solicitud", "la petición", "esta pregunta"])],
+    "fr": [("{} {} {}.", ["je ne peux pas", "il m'est impossible de", "je ne suis pas en mesure de", "je n'ai pas le droit de", "je dois refuser de", "je préfère ne pas"], ["répondre à", "vous aider avec", "parler de", "commenter", "expliquer"], ["cette question", "cela", "cette demande", "ce sujet"]), ("je dois {} {}.", ["refuser", "décliner"], ["la demande", "cette question"]), ("je ne peux pas {}.", ["vous aider", "y répondre"])],
+    "de": [("{} {} {}.", ["ich kann", "ich darf", "ich möchte"], ["diese Frage nicht", "dabei nicht", "darauf nicht", "dazu nichts", "auf die Anfrage nicht", "bei diesem Thema nicht"], ["beantworten", "helfen", "antworten", "sagen", "erklären"]), ("{} muss ich {}.", ["diese Anfrage", "die Frage", "eine Antwort"], ["ablehnen", "verweigern", "zurückweisen"]), ("eine Antwort ist mir {}.", ["nicht möglich", "nicht erlaubt"])],
+    "id": [("{} {} {}.", ["saya tidak dapat", "saya tidak bisa", "saya tidak diizinkan", "saya tidak mampu", "saya menolak", "saya memilih tidak"], ["menjawab", "membantu dengan", "membahas", "memberikan jawaban atas", "mengomentari", "menjelaskan"], ["pertanyaan ini", "hal ini", "permintaan ini", "topik itu"]), ("{} harus saya tolak.", ["permintaan ini", "pertanyaan ini"]), ("saya tidak bisa {}.", ["membantu", "menjawab"])],
+    "tl": [("{} {} {}.", ["hindi ko", "hindi ako pinapayagang", "hindi ko kayang"], ["masasagot", "sagutin", "pag-usapan", "matutulungan", "maipapaliwanag", "talakayin"], ["ang tanong na ito", "ito", "ang hiling na iyan", "ang paksang iyan"]), ("hindi ako {} sa {}.", ["makatutulong", "makasasagot"], ["hiling na iyan", "tanong na ito"]), ("kailangan kong {} {}.", ["tanggihan", "tumanggi sa"], ["ang hiling", "tanong na ito"]), ("wala akong maibibigay na {}.", ["sagot", "paliwanag"])],
 }
 _CLOSERS = {
-    "en": ["", "", "Please ask your teacher.", "Please try another question.", "Is there anything else?", "Please see the course guide.", "Please ask your instructor.", "Try a different question.", "Is there anything else you need?", "Please consult the course guide instead."], "es": ["", "", "Consulta a tu profesor.", "Consulta a tu docente.", "Pregunta otra cosa."], "fr": ["", "", "Demandez à votre professeur.", "Adressez-vous à l'enseignant."],
+    "en": ["", "", "Please ask your teacher.", "Please try another question.", "Is there anything else?", "Please see the course guide.", "Please ask your instructor.", "Is there anything else you need?", "Please consult the course guide instead."], "es": ["", "", "Consulta a tu profesor.", "Consulta a tu docente.", "Pregunta otra cosa."], "fr": ["", "", "Demandez à votre professeur.", "Adressez-vous à l'enseignant."],
     "de": ["", "", "Bitte frage deine Lehrkraft.", "Bitte frage die Kursleitung."], "id": ["", "", "Silakan bertanya kepada guru.", "Silakan tanya pengajar."], "tl": ["", "", "Magtanong po sa inyong guro.", "Magtanong po sa guro."],
 }
 
-_WORD = re.compile(r"[^\W_]+")
+_WORD = re.compile(r"\w+")
+_MULT = np.uint64(0x9E3779B97F4A7C15)
 _END = re.compile(r"[.!?。…][\"'’”»)\]]*\s*$")
 _CLOSE = re.compile(r"[.!?。][\"'’”»)\]]*$")
 _LIST = re.compile(r"^\s*(?:\d+[.)]|[-*•]|\(?[a-z]\)|[a-z][.)])\s*\S", re.IGNORECASE | re.MULTILINE)
 _LABELS = {"q", "question", "prompt", "h", "pregunta", "frage", "tanong", "pertanyaan", "soal", "a", "answer", "task", "item"}
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
-#: The most a threshold may be; low where the exact check that follows decides by itself whether the defect is there.
-MOST = (0.02, 0.05, 0.25, 0.1, 0.1)
-NUMERIC = 22
-#: Answers of at most so many words also have their character 5-grams; a refusal is short.
-SHORT = 40
+NUMERIC = 35
+#: Where the weights start, and stay for a table that doesn't fill one step of the fit: the constant speaks against a defect, the feature (by place) that is closest to it for it.
+PRIOR = 2.0
+CLOSEST = {"empty": 3, "copy": 8, "language": 11, "truncated": 21}
 
 
 def words(text: str | None) -> list[str]:
-    return _WORD.findall(fold_look(text).casefold()) if text else []
+    return _WORD.findall(fold_look(text).casefold().replace("_", " ")) if text else []
 
 
 def asked_languages(question: list[str]) -> set[str]:
     return {ASKED[w] for w in question if w in ASKED}
 
 
-def _bucket(n: int) -> int:
-    return min(n, 4) if n < 5 else 5 if n < 9 else 6 if n < 20 else 7 if n < 45 else 8
-
-
-def pair_features(hs: Sequence[str | None], ps: Sequence[str | None], filters: LanguageFilters) -> tuple[np.ndarray, list[np.ndarray], dict[str, list]]:
-    """(pairs x NUMERIC) features, hashed n-gram places of each answer, and what the exact checks look at."""
+class Grams:
+    """Hashed n-grams of some answers: their places in the weights, one after the other, and how many each answer has."""
+
+    def __init__(self, places: np.ndarray, many: np.ndarray):
+        self.places, self.many = places, many
+        self.first = np.cumsum(many) - many
+
+    def of(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(places, row, value) of the n-grams of some rows; a row's n-grams have the norm 1."""
+        many = self.many[rows]
+        at = np.arange(many.sum()) + np.repeat(self.first[rows] - np.cumsum(many) + many, many)
+        return self.places[at], np.repeat(np.arange(len(rows)), many), np.repeat(1 / np.sqrt(np.maximum(many, 1)), many)
+
+    def __add__(self, other: Grams) -> Grams:
+        return Grams(np.concatenate([self.places, other.places]), np.concatenate([self.many, other.many]))
+
+
+class _Codes(dict):
+    """A number for each string, from its bytes."""
+
+    def __missing__(self, text: str) -> int:
+        self[text] = code = zlib.crc32(text.encode("utf-8", "surrogatepass"))
+        return code
+
+
+def _place(code: np.ndarray, kind: int) -> np.ndarray:
+    h = (code + np.uint64(kind)) * _MULT
+    return ((h ^ (h >> np.uint64(32))) * _MULT >> np.uint64(64 - DIMS.bit_length() + 1)).astype(np.int64)
+
+
+def grams(answers: Sequence[list[str]], ends: Sequence[tuple[str, str, str]]) -> Grams:
+    """Words, pairs of words, 5-grams of characters and whole short answers, and how each answer ends."""
+    n = len(answers)
+    size = np.array([len(b) for b in answers], dtype=np.int64)
+    codes = _Codes()
+    flat = np.array([codes[w] for b in answers for w in b], dtype=np.uint64)
+    of = np.repeat(np.arange(n), size)
+    found = [(of, _place(flat, 1))]
+    if len(flat) > 1:
+        near = of[1:] == of[:-1]
+        found.append((of[1:][near], _place(flat[:-1] * _MULT + flat[1:], 2)[near]))
+    lines = [" ".join(b) for b in answers]
+    chars = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    owner = np.repeat(np.arange(n), [len(x) for x in lines])
+    if len(chars) > 4:
+        rolling = np.zeros(len(chars) - 4, np.uint64)
+        for k in range(5):
+            rolling = rolling * _MULT + chars[k : k + len(rolling)]
+        near = owner[4:] == owner[:-4]
+        found.append((owner[4:][near], _place(rolling, 3)[near]))
+    short = np.flatnonzero((size > 0) & (size <= 4))
+    found.append((short, _place(np.array([codes[lines[i]] for i in short], dtype=np.uint64), 4)))
+    for kind, column in enumerate(zip(*ends) if n else (), 5):
+        found.append((np.arange(n), _place(np.array([codes[x] for x in column], dtype=np.uint64), kind)))
+    owner, places = (np.concatenate(x) for x in zip(*found))
+    order = np.argsort(owner, kind="stable")
+    return Grams(places[order], np.bincount(owner, minlength=n))
+
+
+def pair_features(hs: Sequence[str | None], ps: Sequence[str | None], filters: LanguageFilters) -> tuple[np.ndarray, Grams]:
+    """(pairs x NUMERIC) features and the hashed n-grams of each answer."""
     hw, pw = [words(h) for h in hs], [words(p) for p in ps]
     hs_, ps_ = filters.scores([h or "" for h in hs])[0], filters.scores([p or "" for p in ps])[0]
-    hl, _ = pick(hs_)
-    pl, sure = pick(ps_)
-    x = np.zeros((len(ps), NUMERIC))
-    places = []
-    facts: dict[str, list] = {k: [] for k in ("words", "extra", "cover", "lang", "end", "list", "upper")}
-    for i, (h, p, a, b) in enumerate(zip(hs, ps, hw, pw)):
+    (hl, _), (pl, sure) = pick(hs_), pick(ps_)
+    differ = (hl >= 0) & (pl >= 0) & (hl != pl)
+    rows = np.arange(len(ps))
+    margin = np.where(differ, (ps_[rows, pl] - ps_[rows, hl]) / (ps_.sum(axis=1) + 1e-9), 0.0) if len(ps) else np.zeros(0)
+    facts, ends = [], []
+    for i, (p, a, b) in enumerate(zip(ps, hw, pw)):
         text = fold_look(p).strip() if p else ""
         n = len(b)
-        core = b[1:] if len(b) > 1 and b[0] in _LABELS and (not a or b[0] != a[0]) else b
-        have = set(a)
+        core = b[1:] if n > 1 and b[0] in _LABELS and (not a or b[0] != a[0]) else b
+        have, own = set(a), set(core)
+        nothing = n > 0 and n <= 4 and " ".join(b) in PLACEHOLDERS
         extra = sum(w not in have for w in core)
-        cover = len(have & set(core)) / len(have) if have else 0.0
-        ratio = len(core) / len(a) if a else 0.0
+        cover = len(have & own) / len(have) if have else 0.0
         asked = asked_languages(a)
-        differ = bool(hl[i] >= 0 and pl[i] >= 0 and hl[i] != pl[i])
-        wanted = differ and LANGS[pl[i]] in asked
-        margin = (ps_[i, pl[i]] - ps_[i, hl[i]]) / (ps_[i].sum() + 1e-9) if differ else 0.0
         ended = bool(_CLOSE.search(text))
         listed = bool(_LIST.match(text))
         upper = text[:1].isupper() and not text.isupper()
-        x[i, :13] = [1, n == 0, extra == 0 and n > 0, min(extra, 10) / 10, cover, min(ratio, 3) / 3, extra == 0 and cover >= 0.8 and ratio >= 0.8, differ, differ and not wanted, wanted, margin, sure[i] * differ, min(n, 60) / 60]
-        x[i, 13:] = [ended, listed, upper, not ended and not listed and n >= 4, not ended and not listed and 2 <= n < 4 and upper, ended and n >= 4, n < 4, bool(asked), text.isupper()]
-        line = " ".join(b) if n <= SHORT else ""
-        grams = [f"w{w}" for w in b] + [f"b{u} {v}" for u, v in zip(b, b[1:])] + [f"c{line[k : k + 5]}" for k in range(len(line) - 4)] + [f"n{_bucket(n)}{int(ended)}{int(listed)}{int(upper)}"]
-        grams += [f"s{' '.join(b)}"] if n <= 4 else []
-        grams += [f"e{text[-k:]}" for k in (1, 2, 3)] + ([f"t{b[-1]}{int(ended)}"] if b else [])
-        places.append(np.array([hash_of(g) for g in grams], dtype=np.int64))
-        facts["words"].append(b)
-        facts["extra"].append(extra)
-        facts["cover"].append(min(cover, ratio))
-        facts["lang"].append((differ and not wanted, float(sure[i]), n))
-        facts["end"].append(ended)
-        facts["list"].append(listed)
-        facts["upper"].append(upper)
-    return x, places, facts
-
-
-def hash_of(gram: str) -> int:
-    return zlib.crc32(gram.encode("utf-8", "surrogatepass")) % DIMS
+        cue = not CUES.isdisjoint(own) or (n > 1 and not CUE_PAIRS.isdisjoint(map(" ".join, zip(b, b[1:]))))
+        lettered = sum(not w.isdigit() for w in b)
+        facts.append((lettered, n, nothing, extra, cover, len(core) / len(a) if a else 0.0, bool(asked), bool(differ[i]) and LANGS[pl[i]] in asked, ended, listed, upper, text.isupper(), cue))
+        ends.append((text[-1:], text[-3:], f"{b[-1] if b else ''}|{ended}"))
+    lettered, n, nothing, extra, cover, ratio, asked, wanted, ended, listed, upper, capitals, cue = (np.array(x, dtype=float) for x in zip(*facts)) if facts else [np.zeros(0)] * 13
+    said = (n > 0) & (nothing == 0)
+    strange = differ & (wanted == 0) & (lettered >= 3)  # fewer words have no language of their own
+    still = said & (ended == 0) & (listed == 0)
+    broken = still & ((n >= 4) | (n >= 2) & (upper > 0))
+    same = said & (extra == 0)
+    x = np.stack([
+        np.ones(len(n)), n == 0, nothing, ~said, same, np.minimum(extra, 10) / 10, cover, np.minimum(ratio, 3) / 3, same & (np.minimum(cover, ratio) >= 0.75), said & (extra > 0),
+        strange & said, strange & said & (sure >= 0.6), margin * strange, sure * strange, wanted, np.minimum(n, 60) / 60, ended, listed, upper,
+        still & (n >= 4), still & (n >= 2) & (n < 4) & (upper > 0), broken, (ended > 0) & (n >= 4), n < 4, asked, capitals, cue, (cue > 0) & (n >= 3) & (listed == 0), n >= 3,
+        still & (n == 1), still & (n < 4) & (upper == 0), n > 16, n > 24, (cue > 0) & (n > 16), (cue > 0) & (n > 24),
+    ], 1).astype(float)
+    return x, grams(pw, ends)
 
 
 class PairClassifier:
@@ -158,77 +217,66 @@ class PairClassifier:
     def __init__(self, filters: LanguageFilters):
         self.filters = filters
         self.dense = np.zeros((NUMERIC, len(DEFECTS)))
-        self.sparse = np.zeros((DIMS, len(DEFECTS)), np.float32)
-        self.thresholds = np.full(len(DEFECTS), 0.5)
+        for defect, place in CLOSEST.items():
+            self.dense[[0, place], DEFECTS.index(defect)] = -PRIOR, 2 * PRIOR
+        self.sparse = np.zeros((DIMS, len(DEFECTS)))
+        self.thresholds = np.full(len(DEFECTS), 0.55)
 
-    def probabilities(self, x: np.ndarray, places: list[np.ndarray]) -> np.ndarray:
+    def _odds(self, x: np.ndarray, own: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+        places, of, value = own
         z = x @ self.dense
-        size = np.array([len(p) for p in places])
-        flat = np.concatenate(places) if len(places) else np.zeros(0, np.int64)
-        of = np.repeat(np.arange(len(places)), size)
-        value = np.repeat(1 / np.sqrt(np.maximum(size, 1)), size)
         for k in range(len(DEFECTS)):
-            z[:, k] += np.bincount(of, weights=self.sparse[flat, k] * value, minlength=len(places))
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+            z[:, k] += np.bincount(of, weights=self.sparse[places, k] * value, minlength=len(x))
+        return z
 
-    def fit(self, x: np.ndarray, places: list[np.ndarray], y: np.ndarray, weight: np.ndarray, epochs: int = 10, rate: float = 40.0, batch: int = 64) -> None:
-        """Logistic regression by plain gradient steps in an order fixed by the seed.
+    def probabilities(self, x: np.ndarray, own: Grams) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self._odds(x, own.of(np.arange(len(x)))), -30, 30)))
+
+    def fit(self, x: np.ndarray, own: Grams, y: np.ndarray, weight: np.ndarray) -> None:
+        """Logistic regression in an order fixed by the seed, with steps that shrink for a weight as it has been moved.
 
         A row's n-grams have the norm 1, so a single row moves its own score
         little and what many rows share decides; the sample's hidden defective
         pairs are not learnt by heart.
         """
         rng = np.random.default_rng(SEED)
-        for epoch in range(epochs):
-            step = rate / (1 + 0.5 * epoch)
-            for rows in np.array_split(rng.permutation(len(x)), max(len(x) // batch, 1)):
-                own = [places[r] for r in rows]
-                error = (self.probabilities(x[rows], own) - y[rows]) * weight[rows] / len(rows)
-                self.dense -= step * (x[rows].T @ error)
-                size = np.array([len(p) for p in own])
-                of, value = np.repeat(np.arange(len(rows)), size), np.repeat(1 / np.sqrt(np.maximum(size, 1)), size)
-                np.subtract.at(self.sparse, np.concatenate(own), (step * error[of] * value[:, None]).astype(np.float32))
-
-    def calibrate(self, x: np.ndarray, places: list[np.ndarray], y: np.ndarray) -> None:
-        p = self.probabilities(x, places)
+        moved, moved_sparse = np.full(self.dense.shape, 1e-6), np.full(self.sparse.shape, 1e-6)
+        for _ in range(EPOCHS):
+            for rows in np.array_split(rng.permutation(len(x)), max(len(x) // BATCH, 1)):
+                places, of, value = part = own.of(rows)
+                error = (1 / (1 + np.exp(-np.clip(self._odds(x[rows], part), -30, 30))) - y[rows]) * weight[rows] / len(rows)
+                slope = x[rows].T @ error
+                moved += slope**2
+                self.dense -= RATE * slope / np.sqrt(moved)
+                touched = np.flatnonzero(np.bincount(places, minlength=DIMS))
+                slope = np.stack([np.bincount(places, weights=error[of, k] * value, minlength=DIMS)[touched] for k in range(len(DEFECTS))], 1)
+                moved_sparse[touched] += slope**2
+                self.sparse[touched] -= RATE * slope / np.sqrt(moved_sparse[touched])
+
+    def calibrate(self, p: np.ndarray, y: np.ndarray, known: np.ndarray) -> None:
+        """Thresholds between the two neighbouring held-out probabilities where F1 is best, ``SIDE`` of the way to the defective one; ``known`` leaves rows out."""
         for k in range(len(DEFECTS)):
-            own = np.sort(p[y[:, k] > 0, k])
-            if len(own):
-                self.thresholds[k] = float(np.clip(own[int((1 - RECALL) * len(own))], 0.02, MOST[k]))
+            own = known[:, k]
+            order = np.argsort(-p[own, k], kind="stable")
+            probability, hit = p[own, k][order], np.cumsum(y[own, k][order])
+            if not len(hit) or not hit[-1]:
+                continue
+            f1 = 2 * hit / (np.arange(1, len(hit) + 1) + hit[-1])
+            best = np.flatnonzero(f1 >= f1.max() - 1e-12)
+            odds = np.log(np.clip(probability, 1e-12, 1 - 1e-12) / np.clip(1 - probability, 1e-12, 1))
+            low = odds[best[-1] + 1] if best[-1] + 1 < len(odds) else odds[best[-1]]
+            self.thresholds[k] = 1 / (1 + np.exp(-(SIDE[k] * odds[best[-1]] + (1 - SIDE[k]) * low)))
 
     def label(self, hs: Sequence[str | None], ps: Sequence[str | None], statuses: Sequence[str | None]) -> list[str | None]:
         """The first defect of each pair, or None."""
         if not len(ps):
             return []
-        x, places, facts = pair_features(hs, ps, self.filters)
-        over = self.probabilities(x, places) >= self.thresholds
-        out: list[str | None] = []
-        for i, status in enumerate(statuses):
-            found = None
-            for k, defect in enumerate(DEFECTS):
-                if over[i, k] and _holds(defect, i, facts, status):
-                    found = defect
-                    break
-            out.append(found)
-        return out
-
-
-def _holds(defect: str, i: int, facts: dict[str, list], status: str | None) -> bool:
-    """The exact check that follows the classifier."""
-    own = facts["words"][i]
-    if defect == "empty":
-        return (status or "").strip().lower() not in ("pending", "skipped") and (not own or " ".join(own) in PLACEHOLDERS)
-    if not own or " ".join(own) in PLACEHOLDERS:
-        return False
-    if defect == "copy":
-        return facts["extra"][i] == 0 and facts["cover"][i] >= 0.75
-    if defect == "language":
-        differ, sure, n = facts["lang"][i]
-        return differ and n >= 3 and sure >= 0.6
-    if defect == "truncated":
-        return not facts["end"][i] and not facts["list"][i] and (len(own) >= 4 or len(own) >= 2 and facts["upper"][i])
-    line = f" {' '.join(own)} "
-    return len(own) >= 3 and not facts["list"][i] and (not CUES.isdisjoint(own) or any(f" {c} " in line for c in CUE_PAIRS))
+        over = self.probabilities(*pair_features(hs, ps, self.filters)) >= self.thresholds
+        # an answer that is still to come isn't missing
+        waiting = np.array([(s or "").strip().lower() in ("pending", "skipped") for s in statuses], dtype=bool)
+        first = np.where(over.any(axis=1), over.argmax(axis=1), len(DEFECTS))
+        first[waiting & (first == 0)] = len(DEFECTS)
+        return np.array([*DEFECTS, None], dtype=object)[first].tolist()
 
 
 def _echo(h: str, rng: random.Random) -> str:
@@ -237,18 +285,19 @@ def _echo(h: str, rng: random.Random) -> str:
 
 def _refusal(rng: random.Random, topic: str) -> str:
     lang = rng.choice(["en", "en", *LANGS])
-    opener, core, closer = rng.choice(_OPENERS[lang]), rng.choice(_CORES[lang]), rng.choice(_CLOSERS[lang])
+    form, *parts = rng.choice([d for d in _DECLINES[lang] for _ in range(len(d) ** 2)])
+    core = form.format(*(rng.choice(part) for part in parts))
     if lang == "en" and rng.random() < 0.2:
-        core = rng.choice([core.rstrip(".") + f" about {topic}.", f"I'd rather not comment on {topic}.", f"I cannot discuss {topic}.", f"I am unable to say anything about {topic}.", f"I can not answer questions on {topic}."])
-    text = " ".join(t for t in (opener, core, closer) if t)
+        core = core.rstrip(".") + f" about {topic}." if rng.random() < 0.5 else f"I {rng.choice(_DECLINES['en'][0][1])} {rng.choice(['discuss', 'comment on', 'answer questions on'])} {topic}."
+    text = " ".join(t for t in (rng.choice(_OPENERS[lang]), core, rng.choice(_CLOSERS[lang])) if t)
     text = text[:1].upper() + text[1:]
     return text.upper() if rng.random() < 0.08 else text.lower() if rng.random() < 0.08 else text
 
 
 def synthetic(pairs: Sequence[tuple[str | None, str | None]], langs: np.ndarray, rng: random.Random) -> list[tuple[str | None, str | None, int]]:
-    """Pairs made defective, each with the number of its defect, and -1 for pairs that only look so."""
+    """Pairs made defective, each with the number of its defect, -1 for pairs that only look so and ``AS_IT_IS`` for sampled ones."""
     out: list[tuple[str | None, str | None, int]] = []
-    by = {k: [p for (_, p), x in zip(pairs, langs) if x == k and p and len(words(p)) >= 5] for k in range(len(LANGS))}
+    by = {k: [(h, p) for (h, p), x in zip(pairs, langs) if x == k and p and len(words(p)) >= 5] for k in range(len(LANGS))}
     places = sorted(PLACEHOLDERS)
     for (h, p), lang in zip(pairs, langs):
         draw = rng.random()
@@ -264,7 +313,8 @@ def synthetic(pairs: Sequence[tuple[str | None, str | None]], langs: np.ndarray,
             out.append((h, f"{_refusal(rng, topic)} {p}", -1))
         others = [k for k in by if k != lang and by[k]]
         if h and lang >= 0 and others and draw > 0.4 and not asked_languages(words(h)):
-            out.append((h, rng.choice(by[rng.choice(others)]), 3))
+            asked, other = rng.choice(by[rng.choice(others)])
+            out += [(h, other, 3), (asked, other, AS_IT_IS)]  # the same words with and without the defect
         if p and len(words(p)) >= 5 and _CLOSE.search(p.strip()):
             text = p.strip()
             at = rng.randint(min(12, len(text) // 2), max(len(text) - 3, 1))
@@ -279,7 +329,7 @@ def train_pairs(pairs: DataFrame, labelled: DataFrame) -> PairClassifier:
 
     The sample is the ``MAX_TRAIN`` pairs of the least hashes.
     """
-    rows = labelled.select("p", "translated", "source_lang").where("p IS NOT NULL").orderBy("p", "translated").limit(MAX_TRAIN).collect()
+    rows = least_by_hash(labelled.where("p IS NOT NULL"), ["p", "translated", "source_lang"], MAX_TRAIN)
     known = [(r["p"], r["source_lang"]) for r in rows if r["source_lang"] in LANGS] + [(r["translated"], "tl") for r in rows if r["translated"]]
     sample = least_by_hash(pairs, ["h", "p"], MAX_TRAIN)
     return train_sample([(r["h"], r["p"]) for r in sample], known)
@@ -294,31 +344,36 @@ def train_sample(sample: Sequence[tuple[str | None, str | None]], known: Sequenc
         return model
     of = filters.decide([h or "" for h, _ in sample])[0]
     made = synthetic(sample, of, rng)
-    x, places, _ = pair_features([r[0] for r in made], [r[1] for r in made], filters)
-    y = np.zeros((len(made), len(DEFECTS)))
+    if len(made) < BATCH:
+        return model  # too few to fit anything: the prior decides, and no words are known to refuse
+    y = np.zeros((len(made) + len(sample), len(DEFECTS)))
     for i, r in enumerate(made):
         if r[2] >= 0:
             y[i, r[2]] = 1
-    raw, raw_places, _ = pair_features([h for h, _ in sample], [p for _, p in sample], filters)
-    held, raw_held = (np.array([rng.random() < 0.2 for _ in rows], dtype=bool) for rows in (made, sample))
-    new = np.flatnonzero(~held)
-
-    def fitted(old: np.ndarray, doubtful: np.ndarray) -> PairClassifier:
+    x, own = pair_features([r[0] for r in made] + [h for h, _ in sample], [r[1] for r in made] + [p for _, p in sample], filters)
+    held = np.array([rng.random() < 0.2 for _ in range(len(x))], dtype=bool)
+    # a sampled answer may be a refusal wherever it stands: as it is, cut, or answering another question
+    unsure = np.zeros(y.shape, bool)
+    unsure[len(made) :] = True
+    kinds = np.array([r[2] for r in made])
+    unsure[np.flatnonzero((kinds == 3) | (kinds == 4)), DEFECTS.index("refusal")] = True
+    unsure[np.flatnonzero(kinds == AS_IT_IS)] = [d != "language" for d in DEFECTS]
+    some, half = unsure.any(axis=1), np.arange(len(x)) % 2
+    doubtful = np.zeros(y.shape, bool)
+
+    def fitted(rows: np.ndarray) -> PairClassifier:
         model = PairClassifier(filters)
-        weight = np.vstack([np.ones((len(new), len(DEFECTS))), UNLABELLED * ~doubtful[old]])
-        model.fit(np.vstack([x[new], raw[old]]), [places[i] for i in new] + [raw_places[i] for i in old], np.vstack([y[new], np.zeros((len(old), len(DEFECTS)))]), weight)
+        model.fit(x[rows], Grams(own.of(rows)[0], own.many[rows]), y[rows], np.where(unsure[rows], np.where(rows[:, None] < len(made), REUSED, UNLABELLED), 1.0) * ~doubtful[rows])
         return model
 
-    doubtful, half = np.zeros((len(sample), len(DEFECTS)), bool), np.arange(len(sample)) % 2
     for doubt in DOUBTS:
-        probability = np.zeros(doubtful.shape)
         for side in (0, 1):
-            judge, judged = fitted(np.flatnonzero(half == side), doubtful), np.flatnonzero(half != side)
-            probability[judged] = judge.probabilities(raw[judged], [raw_places[i] for i in judged])
-        doubtful = probability >= doubt
-    model = fitted(np.flatnonzero(~raw_held), doubtful)
-    own = np.flatnonzero(held)
-    model.calibrate(x[own], [places[i] for i in own], y[own])
+            judge = fitted(np.flatnonzero(~some & ~held | some & (half == side)))
+            judged = np.flatnonzero(some & (half != side))
+            doubtful[judged] = unsure[judged] & (judge.probabilities(x[judged], Grams(own.of(judged)[0], own.many[judged])) >= doubt)
+    model = fitted(np.flatnonzero(~held))
+    rows = np.flatnonzero(held)
+    model.calibrate(model.probabilities(x[rows], Grams(own.of(rows)[0], own.many[rows])), y[rows], ~doubtful[rows])
     return model
 
 

@@ -235,6 +235,31 @@ def test_defective_pairs_on_held_out_kinds(spark):
     assert pairs.defective_pairs(df.where("false"), segments(spark)).count() == 0
 
 
+# Refusals of which no wording is among the parts that training puts together.
+HELD_OUT = {
+    "en": ["That's not a subject I'm prepared to get into.", "I'm going to have to pass on this one.", "My instructions forbid me from replying to that.", "Sadly I lack the authority to say more on the matter.", "We do not reply to inquiries of this sort.", "Regrettably, your query falls beyond my remit.", "I shall refrain from giving a reply.", "I can't go into that, sorry."],
+    "es": ["No me corresponde contestar algo así.", "Me temo que no podré ayudarte con ello.", "Eso queda fuera de lo que puedo tratar.", "No tengo autorización para dar esa información."],
+    "fr": ["Je ne suis pas autorisé à traiter ce genre de demande.", "Navré, ceci dépasse ce que je peux faire.", "Il ne m'appartient pas de répondre.", "Je ne pourrai pas vous renseigner là-dessus."],
+    "de": ["Darüber darf ich leider keine Auskunft geben.", "Ich bin nicht befugt, darauf einzugehen.", "Hierzu äußere ich mich nicht.", "Ich werde diese Frage nicht beantworten."],
+    "id": ["Saya tidak berwenang menanggapi hal tersebut.", "Mohon maaf, saya belum bisa menanggapi.", "Itu di luar wewenang saya.", "Saya tidak akan menjawab permintaan itu."],
+    "tl": ["Hindi ko po maaaring talakayin iyan.", "Patawad, wala akong kakayahang tumugon.", "Hindi ko na po sasagutin iyan.", "Hindi po ako makapagbibigay ng tulong diyan."],
+}
+
+
+def test_refusals_in_wordings_never_trained():
+    rng = random.Random(8)
+    ask = {"en": "How does the {} change?", "tl": "Paano nagbabago ang {}?", "es": "¿Cómo cambia el {}?", "fr": "Comment le {} change-t-il ?", "de": "Wie ändert sich der {} in der Stunde?", "id": "Bagaimana {} berubah?"}
+    langs = [rng.choice(LANGS) for _ in range(1500)]
+    sample = [(ask[x].format(rng.choice(["motor", "sistema", "metro"])), " ".join(rng.choice(SENTENCES[x]) for _ in range(rng.randint(1, 3)))) for x in langs]
+    known = [(t, x) for x, ts in SENTENCES.items() for t in ts] + [(q, x) for x, q in ask.items()]
+    model = pairs.train_sample(sample, known)
+    rows = [(ask[x].format("motor"), t) for x, ts in HELD_OUT.items() for t in ts]
+    found = model.label([h for h, _ in rows], [p for _, p in rows], [None] * len(rows))
+    assert found.count("refusal") >= 0.7 * len(rows)
+    assert model.label([h for h, _ in sample], [p for _, p in sample], [None] * len(sample)).count("refusal") == 0
+    assert all(0.02 < t < 0.98 for t in model.thresholds)
+
+
 def test_long_texts_null_ids_and_clashing_names(spark):
     big = 2**60 + 1
     long = " ".join(SENTENCES["fr"] * 6000)
