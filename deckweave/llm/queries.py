@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import endings, languages, leakage, lookalike, pairs, pieces, repeats, tokens
-from .common import spread, table
+from .common import table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +52,7 @@ def p3_canonical_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages over the limit: those that come out in more than one piece."""
-    return pieces.oversized_pages(table(spark, sf_dir, "page_docs")).where("piece_no = 2").select("page_doc_id", "n")
+    return pieces.oversized_bounds(table(spark, sf_dir, "page_docs")).where("piece_no = 2").select("page_doc_id", "n")
 
 
 def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,6 +60,12 @@ def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.oversized_pages(table(spark, sf_dir, "page_docs"))
 
 
+def p4_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page over the limit put together again from its pieces, and whether all of them are within it."""
+    own = pieces.joined(pieces.oversized_pages(table(spark, sf_dir, "page_docs")), ["page_doc_id", "n"])
+    return own.select("page_doc_id", "n", F.md5("text").alias("digest"), (F.col("longest") <= pieces.LIMIT).alias("fits"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with a missing or wrong label, and lines in another language than their document."""
     return languages.wrong_languages(table(spark, sf_dir, "translated_lines"), table(spark, sf_dir, "segment_dictionary")).select("tdoc_id", "line_no", "lang")
@@ -73,8 +79,7 @@ def p5_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document."""
-    documents = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return documents.select("doc_id", tokens.token_ids(documents, "text").alias("ids"))
+    return tokens.encode_table(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,7 +106,7 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p2_found, p2_clean, p3_found, p3_canonical, p3_canonical_lines, p4_found, p4_pieces, p5_found, p5_languages, p6_ids, p7_found, p7_report, p8_found, p8_report)
+    for f in (p1_found, p2_found, p2_clean, p3_found, p3_canonical, p3_canonical_lines, p4_found, p4_pieces, p4_joined, p5_found, p5_languages, p6_ids, p7_found, p7_report, p8_found, p8_report)
 }
 
 

@@ -50,6 +50,13 @@ SELECT 'p' AS field, s.seg_id AS key_a, l.line_id AS key_b FROM s JOIN l ON s.k
     "p4_found": f"""
 WITH pages AS (SELECT page_doc_id, unnest(pages) AS page FROM page_docs)
 SELECT page_doc_id, page.n AS n FROM pages WHERE page IS NOT NULL AND length({PAGE}) > 1200""",
+    "p4_joined": f"""
+WITH pages AS (SELECT page_doc_id, unnest(pages) AS page FROM page_docs)
+SELECT page_doc_id, page.n AS n, md5({PAGE}) AS digest, TRUE AS fits FROM pages WHERE page IS NOT NULL AND length({PAGE}) > 1200""",
+    "p3_canonical": f"""
+WITH d AS (SELECT node_id, description, {look('description')} AS k FROM course_nodes),
+c AS (SELECT k, arg_min(description, struct_pack(odd := description <> k, v := encode(description))) AS canonical FROM (SELECT DISTINCT description, k FROM d WHERE trim(k) <> '') GROUP BY k)
+SELECT node_id, coalesce(canonical, description) AS canonical FROM d LEFT JOIN c ON d.k = c.k AND trim(d.k) <> ''""",
 }
 
 

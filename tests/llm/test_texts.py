@@ -144,6 +144,18 @@ def test_split_files_by_byte_ranges(spark, tmp_path):
     assert at == len(raw)
 
 
+def test_bytes_of_a_file_that_are_no_text_keep_their_place(spark, tmp_path):
+    rng = random.Random(9)
+    raw = b"".join(rng.choice([b"word ", b"\xff\xfe", "नी".encode(), b"\x80\x80 ", b"Done.\n"]) for _ in range(9000))
+    (tmp_path / "odd.txt").write_bytes(raw)
+    got = pieces.split_files(spark, str(tmp_path), 120, 30, 8192).orderBy("piece_no").collect()
+    at = 0
+    for r in got:
+        assert r["start"] <= at < r["end"] and raw[r["start"] : r["end"]].decode("utf-8", "replace") == r["piece"]
+        at = r["end"]
+    assert at == len(raw)
+
+
 def test_pages_count_lines_without_text(spark):
     df = spark.createDataFrame([(1, [(1, [("h", None, 1), (None, None, None), (None, "p", 2), None]), (2, None), (3, []), None]), (2, None)], "page_doc_id bigint, pages array<struct<n:int,lines:array<struct<h:string,p:string,c:int>>>>")
     assert {(r["page_doc_id"], r["n"]): r["text"] for r in pieces.pages(df).collect()} == {(1, 1): "h\n\np\n", (1, 2): "", (1, 3): ""}
@@ -174,6 +186,27 @@ def test_tree_equals_whole_on_any_text(encoders, text):
     assert small.encode(text) == whole.encoding.encode_ordinary(text)
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(MIXED), max_size=120), st.integers(4, 40))
+def test_stitched_parts_equal_whole(encoders, pieces_of_text, part):
+    small, whole = encoders
+    text = "".join(pieces_of_text)
+    raw = text.encode()
+    chunks = [tokens.own_text(raw[a : a + part + 3], part, a == 0) for a in range(0, len(raw), part)]
+    assert "".join(chunks) == text
+    assert small.stitch([small.part(c) for c in chunks]) == whole.encoding.encode_ordinary(text)
+
+
+def test_encode_table_with_long_texts(spark):
+    encoder = tokens.TreeEncoder(tokens.read_ranks())
+    texts = ["hello", "", None, "Ein Satz. नी 12 " * 2000, "x" * 9000, "Ein Satz. नी 12 " * 2000, "é" * 4097]
+    df = spark.createDataFrame([(i if i != 5 else 3, t, 1, "k") for i, t in enumerate(texts)] + [(None, "y z " * 3000, 1, "k")], "i int, text string, part_no int, key string")
+    got = sorted(((r["i"], r["ids"]) for r in tokens.encode_table(df, "i", "text").collect()), key=str)
+    want = [(i if i != 5 else 3, encoder.encoding.encode_ordinary(t) if t else []) for i, t in enumerate(texts)] + [(None, encoder.encoding.encode_ordinary("y z " * 3000))]
+    assert got == sorted(want, key=str)
+    assert tokens.encode_table(df.where("false"), "i", "text").count() == 0
+
+
 def test_token_ids_column(spark):
     from tokenizers import Tokenizer
 
