@@ -13,9 +13,10 @@ table gives no rows; a row delivered again sets the same bit again.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
 from .lookalike import look_form
 
 MIN_MODULES = 3
@@ -48,15 +49,17 @@ def variant_bitmaps(keyed: DataFrame) -> DataFrame:
     return own.groupBy("source", "k1", "k2", "variant", "word_no").agg(F.bit_or("bit").alias("word"))
 
 
-def line_bitmaps(variants: DataFrame) -> DataFrame:
-    """(source, k1, k2, word_no, word, in_modules): the variants' bitmaps united, with the number of bits of the whole bitmap.
+def line_bitmaps(variants: DataFrame, min_modules: int = MIN_MODULES) -> DataFrame:
+    """(source, k1, k2, word_no, word, in_modules): the variants' bitmaps united, with the number of bits of the whole bitmap, for lines in enough modules.
 
-    One exchange by the line serves the union and the count: what it moves has
-    been combined before, so a hot line brings as many rows as its bitmap has words.
+    Union and count are aggregates that combine before they shuffle; a line's
+    words lie in as many tasks as there are, however hot the line is, and only the
+    few lines that repeat come back to their words.
     """
     line = ["source", "k1", "k2"]
-    united = variants.repartition(*line).groupBy(*line, "word_no").agg(F.bit_or("word").alias("word"))
-    return united.withColumn("in_modules", F.sum(F.bit_count("word")).over(Window.partitionBy(*line)))
+    united = cut(variants.groupBy(*line, "word_no").agg(F.bit_or("word").alias("word")))  # read twice below
+    sizes = united.groupBy(*line).agg(F.sum(F.bit_count("word")).alias("in_modules")).where(F.col("in_modules") >= min_modules)
+    return united.join(sizes, line)
 
 
 def source_sizes(lines: DataFrame) -> DataFrame:
@@ -68,7 +71,7 @@ def source_sizes(lines: DataFrame) -> DataFrame:
 
 def repeated_bitmaps(lines: DataFrame, min_modules: int = MIN_MODULES, one_in: int = ONE_IN) -> DataFrame:
     """(source, k1, k2, word_no, word, in_modules, modules) of the lines over both thresholds."""
-    bitmaps = line_bitmaps(variant_bitmaps(keyed_lines(lines))).where(F.col("in_modules") >= min_modules)
+    bitmaps = line_bitmaps(variant_bitmaps(keyed_lines(lines)), min_modules)
     return bitmaps.join(source_sizes(lines), "source").where(F.col("in_modules") * one_in >= F.col("modules"))
 
 
