@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from deckweave.sources.tables import table
 
@@ -34,24 +35,23 @@ SELECT module_key AS doc, page, CAST(row_number() OVER (PARTITION BY module_key,
   CASE WHEN h IS NOT NULL THEN 'h' WHEN p IS NOT NULL THEN 'p' END AS key
 FROM {page_lines}"""
 
-TRANSLATED = """
-SELECT t.module_key AS doc, t.page, CAST(row_number() OVER (PARTITION BY t.module_key, t.page ORDER BY t.line_no, t.tline_id) AS BIGINT) AS pos, h, p, c, coalesce(h, p, '') AS text,
-  CASE WHEN h IS NOT NULL THEN 'h' WHEN p IS NOT NULL THEN 'p' END AS key
-FROM {translated_lines} t JOIN (SELECT module_key, min(tdoc_id) AS tdoc_id FROM {translated_lines} GROUP BY module_key) f ON t.module_key = f.module_key AND t.tdoc_id = f.tdoc_id"""
-
-#: Each translated document with its module's source lines: doc is "module_key:tdoc_id", and a module without a translation has an empty tdoc_id.
-EVERY_SOURCE = """
+#: Source and translation are paired for every translated document: doc is "module_key:tdoc_id", and a module without a translation has an empty tdoc_id.
+PAIRED_SOURCE = """
 SELECT concat(coalesce(CAST(s.module_key AS VARCHAR(20)), ''), ':', coalesce(CAST(f.tdoc_id AS VARCHAR(20)), '')) AS doc, s.page, s.pos, s.h, s.p, s.c, s.text, s.key
 FROM (SELECT module_key, page, CAST(row_number() OVER (PARTITION BY module_key, page ORDER BY line_no, line_id) AS BIGINT) AS pos, h, p, c, coalesce(h, p, '') AS text,
   CASE WHEN h IS NOT NULL THEN 'h' WHEN p IS NOT NULL THEN 'p' END AS key FROM {page_lines}) s
 LEFT JOIN (SELECT DISTINCT module_key, tdoc_id FROM {translated_lines}) f ON s.module_key = f.module_key"""
 
-EVERY_TRANSLATED = """
+TRANSLATED = """
 SELECT concat(CAST(module_key AS VARCHAR(20)), ':', coalesce(CAST(tdoc_id AS VARCHAR(20)), '')) AS doc, page,
   CAST(row_number() OVER (PARTITION BY module_key, tdoc_id, page ORDER BY line_no, tline_id) AS BIGINT) AS pos, h, p, c, coalesce(h, p, '') AS text,
   CASE WHEN h IS NOT NULL THEN 'h' WHEN p IS NOT NULL THEN 'p' END AS key
 FROM {translated_lines} WHERE module_key IS NOT NULL"""
 
+FACTS = """
+SELECT r.module_key, r.json_path, r.translated_path, t.source_schema, t.cached_schema FROM ({records}) r
+LEFT JOIN (SELECT module_key, max(meta.schema_tag) AS source_schema, min(meta.schema_tag) AS cached_schema FROM {page_docs} GROUP BY module_key) t ON r.module_key = t.module_key"""
+
 RECORDS = """
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY module_key ORDER BY updated_at DESC, ordinal) AS newest FROM {module_records}) r WHERE newest = 1"""
 
@@ -93,3 +93,18 @@ def duck(sql: str) -> str:
     for n in ("lineitem", "part", "course_nodes", "page_lines", "translated_lines", "module_records", "events", "segment_dictionary", "page_docs", "documents"):
         out = out.replace(f"{{{n}}}", n)
     return "(" + out.replace("{{", "{").replace("}}", "}") + ")"
+
+
+#: What the paired queries have in place of doc.
+DOC_KEYS = {"module_key": 1, "tdoc_id": 2}
+
+
+def keyed(df: DataFrame) -> DataFrame:
+    """(module_key, tdoc_id, ...) in place of doc."""
+    part = {k: F.nullif(F.split_part("doc", F.lit(":"), F.lit(i)), F.lit("")).cast("bigint").alias(k) for k, i in DOC_KEYS.items()}
+    return df.select(*part.values(), *(c for c in df.columns if c != "doc"))
+
+
+def keyed_duck(sql: str) -> str:
+    part = ", ".join(f"CAST(nullif(split_part(doc, ':', {i}), '') AS BIGINT) AS {k}" for k, i in DOC_KEYS.items())
+    return f"SELECT {part}, * EXCLUDE (doc) FROM ({sql})"

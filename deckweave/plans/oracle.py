@@ -133,9 +133,9 @@ terms AS (SELECT curriculum, col, count(*) AS nodes, bool_or(status IN ('pending
 numbered AS (SELECT *, row_number() OVER (PARTITION BY curriculum ORDER BY col) - 1 AS index FROM terms)"""
 
 REC = d("{records}")
-SRC, TRN = d(B.SOURCE), d(B.TRANSLATED)
+SRC, PAIRED, TRN = d(B.SOURCE), d(B.PAIRED_SOURCE), d(B.TRANSLATED)
 COUNTS = f"""
-sc AS (SELECT doc, page, count(*) AS source_lines, row_number() OVER (PARTITION BY doc ORDER BY page) AS page_pos FROM {SRC} GROUP BY doc, page),
+sc AS (SELECT doc, page, count(*) AS source_lines, row_number() OVER (PARTITION BY doc ORDER BY page) AS page_pos FROM {PAIRED} GROUP BY doc, page),
 tc AS (SELECT doc, page, count(*) AS translated_lines, row_number() OVER (PARTITION BY doc ORDER BY page) AS page_pos FROM {TRN} GROUP BY doc, page),
 drift AS (SELECT sc.doc, sc.page, source_lines, translated_lines FROM sc JOIN tc ON sc.doc = tc.doc AND sc.page_pos = tc.page_pos WHERE source_lines <> translated_lines)"""
 
@@ -172,7 +172,7 @@ SELECT page_id, pos, {absolute('href', "'https://campus.example'")} AS url FROM
     "safe_file_name": f"SELECT module_key, {safe('title', 120, 'untitled')} AS name, {safe('title', 100, 'module')} AS part FROM {REC}",
     "badge_status": f"SELECT node_id, {badge('status')} AS badge FROM course_nodes",
     "derive_course_code": f"SELECT node_id, coalesce(regexp_extract(upper(concat_ws(' ', title, course_code)), {q(T.COURSE_CODE)}, 1), '') AS code FROM course_nodes",
-    "sanitize_winansi": f"SELECT line_id, {latin('p')} AS text FROM page_lines WHERE p IS NOT NULL",
+    "sanitize_winansi": f"SELECT line_id, {latin('coalesce(h, p)')} AS text FROM page_lines",
     "noise_filter": f"SELECT line_id, {noise('coalesce(h, p)')} AS noise FROM page_lines",
     "asset_type": f"SELECT module_key, {kind('url')} AS kind FROM {d(B.ASSETS)}",
     "asset_url_resolve": f"SELECT module_key, {RESOLVED} AS resolved FROM {d(B.ASSETS)}",
@@ -211,7 +211,7 @@ SELECT doc, CAST(sum(greatest(0, lines - heights)) AS BIGINT) AS splits FROM cou
     "compact_pages": REFLOW + """SELECT doc, page, count(CASE WHEN type = 'heading' THEN 1 END) AS headings, count(CASE WHEN type <> 'heading' THEN 1 END) AS paragraphs, count(container_id) AS in_containers
 FROM reflowed GROUP BY doc, page""",
     "greedy_wrap": """
-WITH w AS (SELECT line_id, list_transform(list_filter(regexp_split_to_array(p, '[\\s\\x{0B}\\x{A0}]+'), lambda x: x <> ''), lambda x: [x]) AS a FROM page_lines WHERE p IS NOT NULL),
+WITH w AS (SELECT line_id, list_transform(list_filter(regexp_split_to_array(coalesce(h, p, ''), '[\\s\\x{0B}\\x{A0}]+'), lambda x: x <> ''), lambda x: [x]) AS a FROM page_lines),
 f AS (SELECT line_id, CASE WHEN len(a) = 0 THEN CAST([] AS VARCHAR[]) ELSE list_reduce(a, lambda s, x: CASE WHEN length(concat(s[-1], ' ', x[1])) <= 60
   THEN list_concat(s[1:len(s) - 1], [concat(s[-1], ' ', x[1])]) ELSE list_concat(s, x) END) END AS lines FROM w)
 SELECT line_id, CAST(len(lines) AS BIGINT) AS n, array_to_string(lines, '/') AS wrapped FROM f""",
@@ -248,32 +248,32 @@ SELECT CAST(cookie_no AS BIGINT) AS cookie_no, concat_ws(chr(9), CASE WHEN domai
   CAST(greatest(expires, 0) AS VARCHAR), name, value) AS line FROM {d(B.COOKIES)}""",
     "header_overlay": f"SELECT url, concat('accept:', CASE WHEN {kind('url')} = 'pdf' THEN 'application/pdf' ELSE '*/*' END, ';lang:tl;mode:cors') AS headers FROM {d(B.REQUESTS)}",
     "segment_dictionary_join": f"""
-WITH s AS (SELECT {collapse('p')} AS k, min(translated) AS translated FROM segment_dictionary GROUP BY ALL), l AS (SELECT line_id, {collapse('p')} AS k FROM page_lines WHERE p IS NOT NULL)
+WITH s AS (SELECT {collapse('p')} AS k, min(translated) AS translated FROM segment_dictionary GROUP BY ALL), l AS (SELECT line_id, {collapse("coalesce(h, p, '')")} AS k FROM page_lines)
 SELECT line_id, coalesce(translated, k) AS translated FROM l LEFT JOIN s USING (k)""",
-    "translation_fallback_join": f"""
-SELECT s.doc, s.page, s.pos, coalesce(t.p, s.text) AS kept, coalesce(nullif(t.p, ''), s.text) AS filled FROM {SRC} s LEFT JOIN {TRN} t ON s.doc = t.doc AND s.page = t.page AND s.pos = t.pos""",
-    "overlay_page_join": f"""WITH {COUNTS}
+    "translation_fallback_join": B.keyed_duck(f"""
+SELECT s.doc, s.page, s.pos, coalesce(t.h, t.p, s.text) AS kept, coalesce(nullif(coalesce(t.h, t.p), ''), s.text) AS filled FROM {PAIRED} s LEFT JOIN {TRN} t ON s.doc = t.doc AND s.page = t.page AND s.pos = t.pos"""),
+    "overlay_page_join": B.keyed_duck(f"""WITH {COUNTS}
 SELECT sc.doc, CAST(sum(CASE WHEN tc.doc IS NULL THEN 0 ELSE least(source_lines, translated_lines) END) AS BIGINT) AS overlaid, CAST(sum(CASE WHEN tc.doc IS NULL THEN source_lines ELSE 0 END) AS BIGINT) AS skipped
-FROM sc LEFT JOIN tc ON sc.doc = tc.doc AND sc.page = tc.page GROUP BY sc.doc""",
-    "line_zip_join": f"""
-SELECT s.doc, s.page, s.pos, s.text AS source_text, t.text AS translated_text FROM {SRC} s JOIN {TRN} t ON s.doc = t.doc AND s.page = t.page AND s.pos = t.pos WHERE t.text <> ''""",
-    "page_drift": f"WITH {COUNTS} SELECT doc, page, source_lines, translated_lines FROM drift",
-    "check_report": f"""WITH {COUNTS},
-s AS (SELECT doc, count(*) AS source_lines, count(DISTINCT page) AS source_pages, count(c) AS in_containers FROM {SRC} GROUP BY doc),
+FROM sc LEFT JOIN tc ON sc.doc = tc.doc AND sc.page = tc.page GROUP BY sc.doc"""),
+    "line_zip_join": B.keyed_duck(f"""
+SELECT s.doc, s.page, s.pos, s.text AS source_text, t.text AS translated_text FROM {PAIRED} s JOIN {TRN} t ON s.doc = t.doc AND s.page = t.page AND s.pos = t.pos WHERE t.text <> ''"""),
+    "page_drift": B.keyed_duck(f"WITH {COUNTS} SELECT doc, page, source_lines, translated_lines FROM drift"),
+    "check_report": B.keyed_duck(f"""WITH {COUNTS},
+s AS (SELECT doc, count(*) AS source_lines, count(DISTINCT page) AS source_pages, count(c) AS in_containers FROM {PAIRED} GROUP BY doc),
 t AS (SELECT doc, count(*) AS translated_lines, count(DISTINCT page) AS translated_pages FROM {TRN} GROUP BY doc),
 p AS (SELECT doc, count(*) AS drift_pages FROM drift GROUP BY doc)
 SELECT s.doc, s.source_lines, coalesce(t.translated_lines, 0) AS translated_lines, s.source_lines - coalesce(t.translated_lines, 0) AS drift, in_containers,
   floor(in_containers * 1000.0 / s.source_lines + 0.5) / 10 AS in_containers_pct, source_pages, coalesce(translated_pages, 0) AS translated_pages, coalesce(drift_pages, 0) AS drift_pages
-FROM s LEFT JOIN t USING (doc) LEFT JOIN p USING (doc)""",
-    "shape_validation": f"""
-WITH s AS (SELECT doc, dense_rank() OVER (PARTITION BY doc ORDER BY page) AS page_pos, pos, key FROM {SRC}), t AS (SELECT doc, dense_rank() OVER (PARTITION BY doc ORDER BY page) AS page_pos, pos, key FROM {TRN}),
+FROM s LEFT JOIN t USING (doc) LEFT JOIN p USING (doc)"""),
+    "shape_validation": B.keyed_duck(f"""
+WITH s AS (SELECT doc, dense_rank() OVER (PARTITION BY doc ORDER BY page) AS page_pos, pos, key FROM {PAIRED}), t AS (SELECT doc, dense_rank() OVER (PARTITION BY doc ORDER BY page) AS page_pos, pos, key FROM {TRN}),
 b AS (SELECT coalesce(s.doc, t.doc) AS doc, s.doc IS NOT NULL AND t.doc IS NOT NULL AND s.key IS NOT DISTINCT FROM t.key AS fine FROM s FULL JOIN t ON s.doc = t.doc AND s.page_pos = t.page_pos AND s.pos = t.pos)
-SELECT doc, bool_and(fine) AS valid FROM b WHERE doc IN (SELECT doc FROM s) GROUP BY doc""",
-    "cache_validation": f"""WITH {COUNTS},
-s AS (SELECT doc, count(DISTINCT page) AS sp FROM {SRC} GROUP BY doc), t AS (SELECT doc, count(DISTINCT page) AS tp FROM {TRN} GROUP BY doc), f AS (SELECT doc, min(page) AS first_drift FROM drift GROUP BY doc)
-SELECT doc, CASE WHEN doc % 13 = 0 THEN 'source unreadable' WHEN doc % 17 = 0 THEN 'cached unreadable' WHEN doc % 7 = 0 THEN 'schema compact-v1 != compact-v2'
+SELECT doc, bool_and(fine) AS valid FROM b WHERE doc IN (SELECT doc FROM s) GROUP BY doc"""),
+    "cache_validation": B.keyed_duck(f"""WITH {COUNTS},
+s AS (SELECT doc, count(DISTINCT page) AS sp FROM {PAIRED} GROUP BY doc), t AS (SELECT doc, count(DISTINCT page) AS tp FROM {TRN} GROUP BY doc), f AS (SELECT doc, min(page) AS first_drift FROM drift GROUP BY doc)
+SELECT doc, CASE WHEN json_path IS NULL THEN 'source unreadable' WHEN translated_path IS NULL THEN 'cached unreadable' WHEN source_schema <> cached_schema THEN concat('schema ', cached_schema, ' != ', source_schema)
   WHEN tp <> sp THEN concat('page count ', tp, ' != ', sp) WHEN first_drift IS NOT NULL THEN concat('page ', first_drift, ' lines differ') ELSE 'valid' END AS reason
-FROM s JOIN t USING (doc) LEFT JOIN f USING (doc)""",
+FROM s JOIN t USING (doc) LEFT JOIN f USING (doc) LEFT JOIN {d(B.FACTS)} m ON m.module_key = CAST(split_part(doc, ':', 1) AS BIGINT)"""),
     "json_parse_ladder": f"""
 WITH r AS (SELECT event_id, trim(raw) AS x, regexp_extract(trim(raw), '(?is)```(?:json)?\\s*(.*?)\\s*```', 1) AS f, trim(regexp_replace(regexp_replace(raw, '(?i)\\A```(?:json)?\\s*', ''), '\\s*```\\z', '')) AS c FROM {d(B.REPLIES)}),
 g AS (SELECT *, regexp_extract(c, '(?s)\\{{.*\\}}') AS g FROM r)

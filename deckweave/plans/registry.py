@@ -27,6 +27,16 @@ def query(f: Query) -> Query:
     return f
 
 
+def paired(f: Query) -> Query:
+    """A query over every translated document with its module's lines, by module_key and tdoc_id."""
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        return B.keyed(f(spark, folder))
+
+    run.__name__, run.__doc__ = f.__name__, f.__doc__
+    return query(run)
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
@@ -117,7 +127,7 @@ def derive_course_code(spark, d):
 
 @query
 def sanitize_winansi(spark, d):
-    return table(spark, d, "page_lines").where("p IS NOT NULL").select("line_id", T.latin(F.col("p")).alias("text"))
+    return table(spark, d, "page_lines").select("line_id", T.latin(F.coalesce("h", "p")).alias("text"))
 
 
 @query
@@ -247,7 +257,7 @@ def json_sizes(spark, d):
 
 @query
 def greedy_wrap(spark, d):
-    own = table(spark, d, "page_lines").where("p IS NOT NULL").select("line_id", fit.wrapped(F.col("p"), F.lit(WRAP_AT)).alias("lines"))
+    own = table(spark, d, "page_lines").select("line_id", fit.wrapped(align.line_text(), F.lit(WRAP_AT)).alias("lines"))
     return own.select("line_id", F.size("lines").cast("bigint").alias("n"), F.array_join("lines", "/").alias("wrapped"))
 
 
@@ -364,58 +374,58 @@ def header_overlay(spark, d):
 @query
 def segment_dictionary_join(spark, d):
     run = translate.backend("dictionary", entries=table(spark, d, "segment_dictionary"))
-    own = table(spark, d, "page_lines").where("p IS NOT NULL").select("line_id", "p")
-    return translate.translate_column(own, "p", run).select("line_id", "translated")
+    own = table(spark, d, "page_lines").select("line_id", align.line_text().alias("text"))
+    return translate.translate_column(own, "text", run).select("line_id", "translated")
 
 
-@query
-def translation_fallback_join(spark, d, source=B.SOURCE, translated=B.TRANSLATED, text="p"):
-    a = B.of(spark, d, source).select("doc", "page", "pos", F.col("text").alias("source_text"))
-    b = B.of(spark, d, translated).select("doc", "page", "pos", F.expr(text).alias("translated"))
+@paired
+def translation_fallback_join(spark, d):
+    a = B.of(spark, d, B.PAIRED_SOURCE).select("doc", "page", "pos", F.col("text").alias("source_text"))
+    b = B.of(spark, d, B.TRANSLATED).select("doc", "page", "pos", F.coalesce("h", "p").alias("translated"))
     keys = ["doc", "page", "pos"]
     kept = align.fallback(a, b, keys, True).select(*keys, F.col("text").alias("kept"), "source_text", "translated")
     return kept.select(*keys, "kept", F.coalesce(F.nullif("translated", F.lit("")), "source_text").alias("filled"))
 
 
-@query
-def overlay_page_join(spark, d, source=B.SOURCE, translated=B.TRANSLATED):
-    return align.overlay_pages(B.of(spark, d, source), B.of(spark, d, translated), "doc", "page")
+@paired
+def overlay_page_join(spark, d):
+    return align.overlay_pages(B.of(spark, d, B.PAIRED_SOURCE), B.of(spark, d, B.TRANSLATED), "doc", "page")
 
 
-@query
-def line_zip_join(spark, d, source=B.SOURCE, translated=B.TRANSLATED):
-    return align.zip_lines(B.of(spark, d, source), B.of(spark, d, translated), ["doc", "page"])
+@paired
+def line_zip_join(spark, d):
+    return align.zip_lines(B.of(spark, d, B.PAIRED_SOURCE), B.of(spark, d, B.TRANSLATED), ["doc", "page"])
 
 
-@query
-def page_drift(spark, d, source=B.SOURCE, translated=B.TRANSLATED):
-    return align.page_drift(B.of(spark, d, source), B.of(spark, d, translated), "doc", "page")
+@paired
+def page_drift(spark, d):
+    return align.page_drift(B.of(spark, d, B.PAIRED_SOURCE), B.of(spark, d, B.TRANSLATED), "doc", "page")
 
 
-@query
-def check_report(spark, d, source=B.SOURCE, translated=B.TRANSLATED):
-    return align.check_report(B.of(spark, d, source), B.of(spark, d, translated), "doc", "page")
+@paired
+def check_report(spark, d):
+    return align.check_report(B.of(spark, d, B.PAIRED_SOURCE), B.of(spark, d, B.TRANSLATED), "doc", "page")
 
 
-@query
-def shape_validation(spark, d, source=B.SOURCE, translated=B.TRANSLATED):
+@paired
+def shape_validation(spark, d):
     def placed(df):
         place = F.dense_rank().over(Window.partitionBy("doc").orderBy("page"))
         return df.withColumn("page_pos", place).select("doc", "page_pos", "pos", "key")
 
-    return align.same_shape(placed(B.of(spark, d, source)), placed(B.of(spark, d, translated)), "doc")
+    return align.same_shape(placed(B.of(spark, d, B.PAIRED_SOURCE)), placed(B.of(spark, d, B.TRANSLATED)), "doc")
 
 
-@query
-def cache_validation(spark, d, source=B.SOURCE, translated=B.TRANSLATED, number="doc"):
-    source, cached, number = B.of(spark, d, source), B.of(spark, d, translated), F.expr(number)
+@paired
+def cache_validation(spark, d):
+    source, cached = B.of(spark, d, B.PAIRED_SOURCE), B.of(spark, d, B.TRANSLATED)
     a = source.groupBy("doc").agg(F.countDistinct("page").alias("source_pages"))
     b = cached.groupBy("doc").agg(F.countDistinct("page").alias("cached_pages"))
     first = align.page_drift(source, cached, "doc", "page").groupBy("doc").agg(F.min("page").alias("first_drift"))
-    own = a.join(b, "doc").join(first, "doc", "left")
-    schema = F.when(number % 7 == 0, "compact-v1").when(number % 11 != 0, "compact-v2")
-    facts = {"source_readable": number % 13 != 0, "cached_readable": number % 17 != 0, "source_schema": F.lit("compact-v2"), "cached_schema": schema}
-    reason = translate.cache_reason(facts | {c: F.col(c) for c in ("source_pages", "cached_pages", "first_drift")})
+    own = a.join(b, "doc").join(first, "doc", "left").withColumn("module_key", F.split_part("doc", F.lit(":"), F.lit(1)).cast("bigint"))
+    own = own.join(B.of(spark, d, B.FACTS), "module_key", "left")
+    facts = {"source_readable": F.col("json_path").isNotNull(), "cached_readable": F.col("translated_path").isNotNull()}
+    reason = translate.cache_reason(facts | {c: F.col(c) for c in ("source_schema", "cached_schema", "source_pages", "cached_pages", "first_drift")})
     return own.select("doc", F.coalesce(reason, F.lit("valid")).alias("reason"))
 
 
