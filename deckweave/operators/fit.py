@@ -21,7 +21,7 @@ DECISIONS = ("fit-original", "wrap-fit", "fit-shrunk", "truncated", "no-room")
 
 
 def room(df: DataFrame, floor: str = "next_top") -> DataFrame:
-    """Adds room_width and room_height of boxes left, right, bottom, top: down to the next line's top or the margin, within the container where the box is."""
+    """Adds room_left, room_top, room_width and room_height of boxes left, right, bottom, top: down to the next line's top or the margin, within the container where the box is."""
     low = F.greatest(F.lit(MARGIN), F.coalesce(F.col(floor) + FLOOR_GAP, F.lit(MARGIN)))
     left, right, top = F.col("left"), F.col("right"), F.col("top")
     if "c_left" in df.columns:
@@ -29,7 +29,7 @@ def room(df: DataFrame, floor: str = "next_top") -> DataFrame:
         right = F.when((right <= F.col("c_right") + TOUCH) & (right > F.col("c_right")), F.col("c_right")).otherwise(right)
         top = F.when((top <= F.col("c_top") + TOUCH) & (top > F.col("c_top")), F.col("c_top")).otherwise(top)
         low = F.when((F.col("bottom") >= F.col("c_bottom") - TOUCH) & (low < F.col("c_bottom")), F.col("c_bottom")).otherwise(low)
-    return df.withColumns({"room_width": F.greatest(F.lit(1.0), right - left), "room_height": F.greatest(F.lit(0.0), top - low)})
+    return df.withColumns({"room_left": left, "room_top": top, "room_width": F.greatest(F.lit(1.0), right - left), "room_height": F.greatest(F.lit(0.0), top - low)})
 
 
 def one_line_size(text: Column, size: Column, width: Column, height: Column) -> Column:
@@ -46,19 +46,22 @@ def single_line(df: DataFrame) -> DataFrame:
     return own.withColumn("decision", F.when(F.col("fit_size").isNull(), "wrap").when(whole, "fit-original").otherwise("fit-shrunk"))
 
 
-def wrapped(text: Column, most: Column) -> Column:
-    """A text's words packed into lines of at most ``most`` characters; a longer word has a line of its own."""
+def packed(text: Column, fits: Callable[[Column], Column]) -> Column:
+    """A text's words packed into lines as long as the joined line fits; a longer word has a line of its own."""
     words = F.filter(F.split(text, "[\\s\\x{0B}\\x{A0}]+"), lambda w: w != "")
 
     def pack(lines: Column, word: Column) -> Column:
-        last = F.element_at(lines, -1)
-        joined = F.concat(last, F.lit(" "), word)
-        fits = (F.size(lines) > 0) & (F.length(joined) <= most)
-        return F.when(fits, F.concat(F.slice(lines, 1, F.size(lines) - 1), F.array(joined))).otherwise(F.concat(lines, F.array(word)))
+        joined = F.concat(F.element_at(lines, -1), F.lit(" "), word)
+        return F.when((F.size(lines) > 0) & fits(joined), F.concat(F.slice(lines, 1, F.size(lines) - 1), F.array(joined))).otherwise(F.concat(lines, F.array(word)))
 
     return F.aggregate(words, F.array().cast("array<string>"), pack)
 
 
+def wrapped(text: Column, most: Column) -> Column:
+    """A text's words packed into lines of at most ``most`` characters."""
+    return packed(text, lambda line: F.length(line) <= most)
+
+
 def measure(text: str, size: float) -> float:
     return len(text) * size * UNIT
 
@@ -100,17 +103,65 @@ def plan(text: str | None, size: float, width: float, height: float, of: Callabl
     return "truncated", LEAST_SIZE, [*lines[:-1], lines[-1] + "..."]
 
 
-def plan_fit(df: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys..., decision, size, lines) for rows with text, font_size, room_width, room_height."""
-    fields = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+def plan_fit(df: DataFrame, keys: list[str], of: Callable[[str, float], float] | None = None) -> DataFrame:
+    """(keys..., decision, size, lines) for rows with text, font_size, room_width, room_height.
+
+    With the plain measure the plan is one expression on the JVM: the one-line
+    step, then the first of the sizes from the font's down to the least at which
+    the wrapped lines fit, then a cut.  Another measure goes through ``plan`` in
+    Arrow batches.
+    """
+    own = df.select(*keys, "text", "font_size", "room_width", "room_height")
+    if of is not None:
+        return _planned(own, keys, of)
+    width, height, text = F.col("room_width"), F.col("room_height"), F.coalesce("text", F.lit(""))
+    at = lambda size: packed(text, lambda line: F.length(line) * size * UNIT <= width + SLACK)
+    one = one_line_size(text, F.col("font_size"), width, height)
+    steps = F.floor((F.col("font_size") - LEAST_SIZE) / STEP).cast("int")
+    sizes = F.when(steps >= 0, F.transform(F.sequence(F.lit(0), F.greatest(steps, F.lit(0))), lambda k: F.col("font_size") - k * STEP)).otherwise(F.array().cast("array<double>"))
+    tried = F.when(one.isNull() & (F.trim(text) != ""), F.transform(sizes, lambda s: F.struct(s.alias("size"), at(s).alias("lines"))))
+    own = own.withColumns({"one": one, "tried": F.filter(tried, lambda t: F.size(t["lines"]) * t["size"] * LINE_RATIO <= height + SLACK)})
+    own = own.withColumns({"best": F.try_element_at("tried", F.lit(1)), "least": F.when(F.col("one").isNull() & (F.size(F.coalesce("tried", F.array())) == 0), at(F.lit(LEAST_SIZE)))})
+    most = F.floor(height / (LEAST_SIZE * LINE_RATIO)).cast("int")
+    room_left = F.greatest(F.lit(0), F.floor((width + SLACK) / (LEAST_SIZE * UNIT)).cast("int") - 3)
+    kept = F.slice("least", 1, F.greatest(most, F.lit(1)))
+    cut = F.concat(F.slice(kept, 1, F.size(kept) - 1), F.array(F.concat(F.left(F.element_at(kept, -1), room_left), F.lit("..."))))
+    none = (most < 1) | (F.size("least") == 0)
+    whole = F.when(F.size("best.lines") == 1, "fit-original").otherwise("wrap-fit")
+    return own.select(
+        *keys,
+        F.when(F.col("one").isNotNull(), F.when(F.col("one") >= F.col("font_size") - 1e-6, "fit-original").otherwise("fit-shrunk"))
+        .when(F.col("best").isNotNull(), F.when(F.col("best.size") == F.col("font_size"), whole).otherwise("fit-shrunk")).when(none, "no-room").otherwise("truncated").alias("decision"),
+        F.coalesce("one", "best.size", F.lit(LEAST_SIZE)).alias("size"),
+        F.when(F.col("one").isNotNull(), F.array(text)).when(F.col("best").isNotNull(), F.col("best.lines")).when(none, F.array().cast("array<string>")).otherwise(cut).alias("lines"),
+    )
+
+
+def _planned(own: DataFrame, keys: list[str], of: Callable[[str, float], float]) -> DataFrame:
+    fields = {f.name: f.dataType.simpleString() for f in own.schema.fields}
     shape = ", ".join(f"`{k}` {fields[k]}" for k in keys) + ", decision string, size double, lines array<string>"
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            plans = [plan(*row) for row in pdf[["text", "font_size", "room_width", "room_height"]].itertuples(index=False)]
+            plans = [plan(*row, of) for row in pdf[["text", "font_size", "room_width", "room_height"]].itertuples(index=False)]
             yield pdf[keys].assign(decision=[p[0] for p in plans], size=[p[1] for p in plans], lines=[p[2] for p in plans])
 
-    return df.select(*keys, "text", "font_size", "room_width", "room_height").mapInPandas(work, shape)
+    return own.mapInPandas(work, shape)
+
+
+def drawn(plans: DataFrame) -> DataFrame:
+    """Adds the rectangle that covers the replaced text and where the first line is drawn, for plans with left, right, room_left and room_top.
+
+    The cover is as wide as the replaced box or the longest planned line, as deep
+    as the planned lines, with ``COVER`` round it; the first line's base lies
+    ``ASCENT`` of its size under the top.
+    """
+    longest = F.coalesce(F.array_max(F.transform("lines", F.length)), F.lit(0)) * F.col("size") * UNIT
+    deep = F.size("lines") * F.col("size") * LINE_RATIO
+    return plans.withColumns({
+        "cover_x": F.col("room_left") - COVER, "cover_y": F.col("room_top") - deep - COVER, "cover_width": F.greatest(F.col("right") - F.col("left"), longest) + 2 * COVER, "cover_height": deep + 2 * COVER,
+        "draw_x": F.col("room_left"), "draw_y": F.col("room_top") - F.col("size") * ASCENT,
+    })
 
 
 def tally(plans: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

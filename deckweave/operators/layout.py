@@ -105,11 +105,7 @@ def joined_text(items: DataFrame, line: list[str]) -> DataFrame:
 
 def line_boxes(items: DataFrame, line: list[str]) -> DataFrame:
     """(line..., left, right, bottom, top, baseline, font_size) of each line; the baseline is its first item's."""
-    wide = F.coalesce(F.col("width"), F.length("text") * F.col("font_size") * 0.5)
-    return items.groupBy(*line).agg(
-        F.min("x").alias("left"), F.max(F.col("x") + wide).alias("right"), F.min(F.col("y") - F.col("font_size") * 0.25).alias("bottom"),
-        F.max(F.col("y") + F.col("font_size") * 0.85).alias("top"), F.min_by("y", F.struct("x", "seq")).alias("baseline"), F.max("font_size").alias("font_size"),
-    )
+    return items.groupBy(*line).agg(*_line_box(), F.max("font_size").alias("font_size"))
 
 
 def line_sizes(items: DataFrame, line: list[str]) -> DataFrame:
@@ -117,9 +113,17 @@ def line_sizes(items: DataFrame, line: list[str]) -> DataFrame:
     return items.groupBy(*line).agg(*_line_size())
 
 
-def lines_of(items: DataFrame, line: list[str]) -> DataFrame:
-    """(line..., text, font_size, bold) in one pass over the items: one exchange by the line serves the gaps and the sums."""
-    return _spaced(items, line).groupBy(*line).agg(_line_text().alias("text"), *_line_size())
+def lines_of(items: DataFrame, line: list[str], boxes: bool = False) -> DataFrame:
+    """(line..., text, font_size, bold) in one pass over the items: one exchange by the line serves the gaps and the sums; with ``boxes`` also left, right, bottom, top, baseline."""
+    return _spaced(items, line).groupBy(*line).agg(_line_text().alias("text"), *_line_size(), *(_line_box() if boxes else ()))
+
+
+def _line_box() -> list[Column]:
+    wide = F.coalesce(F.col("width"), F.length("text") * F.col("font_size") * 0.5)
+    return [
+        F.min("x").alias("left"), F.max(F.col("x") + wide).alias("right"), F.min(F.col("y") - F.col("font_size") * 0.25).alias("bottom"),
+        F.max(F.col("y") + F.col("font_size") * 0.85).alias("top"), F.min_by("y", F.struct("x", "seq")).alias("baseline"),
+    ]
 
 
 def baselines(lines: DataFrame) -> DataFrame:
@@ -136,7 +140,7 @@ def heading_rule(size: Column, bold: Column, text: Column, baseline: Column) ->
 
 
 def reflow(elements: DataFrame, page: list[str], order: list[str]) -> DataFrame:
-    """Paragraphs that were wrapped over several lines as one: (page..., part, type, text, container_id).
+    """Paragraphs that were wrapped over several lines as one: (page..., part, type, text, container_id), and boxes where the elements have a list of them: all boxes of the merged lines in their order.
 
     A line goes on with the one before it iff both are paragraphs of one
     container, the one before doesn't end a sentence, and it starts no list item.
@@ -149,10 +153,31 @@ def reflow(elements: DataFrame, page: list[str], order: list[str]) -> DataFrame:
     goes_on = goes_on & ~p["text"].rlike(T.SENTENCE_FINAL) & ~F.col("text").rlike(T.LIST_START)
     own = elements.withColumn("new", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1))
     own = own.withColumns({"part": F.sum("new").over(w), "at": F.row_number().over(w)})
-    item = F.struct("at", "text")
+    boxes = ["boxes"] if "boxes" in elements.columns else []
+    item = F.struct("at", "text", *boxes)
     own = own.groupBy(*page, "part").agg(F.min_by("type", "at").alias("type"), F.sort_array(F.collect_list(item)).alias("all"), F.min_by("container_id", "at").alias("container_id"))
     merged = F.regexp_replace(F.array_join(F.expr("transform(all, (x, i) -> if(i = 0, x.text, trim(x.text)))"), " "), f"{T.SPACE}+", " ")
-    return own.select(*page, "part", "type", F.when(F.size("all") > 1, merged).otherwise(F.expr("all[0].text")).alias("text"), "container_id")
+    return own.select(*page, "part", "type", F.when(F.size("all") > 1, merged).otherwise(F.expr("all[0].text")).alias("text"), "container_id", *(F.flatten(F.expr(f"transform(all, x -> x.{b})")).alias(b) for b in boxes))
+
+
+def next_top(boxes: DataFrame, page: list[str], order: list[Column | str]) -> DataFrame:
+    """Adds next_top: the top of the line under each one, null under the last."""
+    return boxes.withColumn("next_top", F.lead("top").over(Window.partitionBy(*page).orderBy(*order)))
+
+
+def union_box(boxes: str = "boxes") -> Column:
+    """The box (left, right, bottom, top) round a list of them."""
+    side = lambda f, name: f(F.transform(boxes, lambda b: b[name])).alias(name)
+    return F.struct(side(F.array_min, "left"), side(F.array_max, "right"), side(F.array_min, "bottom"), side(F.array_max, "top"))
+
+
+def candidate_boxes(*kinds: DataFrame) -> DataFrame:
+    """Boxes of several kinds (drawn paths, bare rectangles) as one table (doc, page, seq, x, y, width, height): those of the first kind come first in seq, and negative sides are turned round."""
+    out = None
+    for n, kind in enumerate(kinds):
+        own = kind.select(*PAGE, F.lit(n).alias("kind"), F.col("seq").alias("own_seq"), F.least("x", F.col("x") + F.col("width")).alias("x"), F.least("y", F.col("y") + F.col("height")).alias("y"), F.abs("width").alias("width"), F.abs("height").alias("height"))
+        out = own if out is None else out.unionByName(own)
+    return out.withColumn("seq", F.row_number().over(Window.partitionBy(*PAGE).orderBy("kind", "own_seq"))).drop("kind", "own_seq")
 
 
 def without_noise(elements: DataFrame) -> DataFrame:

@@ -71,6 +71,11 @@ SELECT module_key, course, ordinal, CASE WHEN module_key % 5 = 0 THEN concat('ht
   WHEN module_key % 5 = 2 THEN replace(asset_url, 'https://', '') ELSE asset_url END AS url
 FROM ({records}) r"""
 
+SCOPES = """
+SELECT module_key, concat('<html><div class="module-body collapse', CASE WHEN module_key % 3 = 0 THEN ' show' ELSE '' END, '"><a endpoint-url="', coalesce(asset_url, ''), '"></a><a endpoint-url="', coalesce(asset_url, ''),
+  '"></div><section class="collapse', CASE WHEN module_key % 3 = 2 THEN '' ELSE ' show' END, '"><b><i endpoint-url=" https://other.example/', CAST(module_key AS VARCHAR(20)), ' "></section>') AS html
+FROM ({records}) r"""
+
 REPLIES = """
 SELECT event_id, CASE event_id % 6 WHEN 0 THEN props WHEN 1 THEN concat('```json ', props, ' ```') WHEN 2 THEN concat('Sure: ', props, ' done')
   WHEN 3 THEN substring(props, 1, length(props) - 1) WHEN 4 THEN '[1]' ELSE concat('```', props, '```') END AS raw

@@ -107,6 +107,26 @@ sized AS (SELECT *, floor(least(font_size, (w + 1.0) / (length(text) * 0.5)) / 0
 fits AS (SELECT *, CASE WHEN length(text) > 0 AND fit >= 6 AND fit * 1.15 <= h + 1.0 THEN fit END AS fit_size FROM sized),
 planned AS (SELECT doc, page, line, CAST(fit_size AS DOUBLE) AS fit_size, CASE WHEN fit_size IS NULL THEN 'wrap' WHEN fit_size >= font_size - 1e-6 THEN 'fit-original' ELSE 'fit-shrunk' END AS decision FROM fits)"""
 
+# Every size from the font's down to the least is tried, and the largest at which the wrapped lines fit is taken.
+PACKED = """CASE WHEN len(a) = 0 THEN CAST([] AS VARCHAR[]) ELSE list_reduce(a, lambda s, x: CASE WHEN length(concat(s[-1], ' ', x[1])) * size * 0.5 <= w + 1.0
+  THEN list_concat(s[1:len(s) - 1], [concat(s[-1], ' ', x[1])]) ELSE list_concat(s, x) END) END"""
+FIT_PLAN = f"""WITH {LINES}, {NEXT},
+roomy AS (SELECT f.doc, f.page, f.line, t.text, f.font_size, f."left", f."right", f.top, greatest(1.0, f."right" - f."left") AS w, greatest(0.0, f.top - greatest(18.0, coalesce(f.next_top + 2.0, 18.0))) AS h,
+  list_transform(list_filter(regexp_split_to_array(t.text, '[\\s\\x{{0B}}\\x{{A0}}]+'), lambda x: x <> ''), lambda x: [x]) AS a FROM floors f JOIN texts t USING (doc, page, line)),
+sized AS (SELECT *, floor(least(font_size, (w + 1.0) / (length(text) * 0.5)) / 0.5) * 0.5 AS fit FROM roomy),
+ones AS (SELECT *, CASE WHEN length(text) > 0 AND fit >= 6 AND fit * 1.15 <= h + 1.0 THEN fit END AS one FROM sized),
+steps AS (SELECT *, font_size - k * 0.5 AS size FROM (SELECT *, unnest(range(0, CAST(greatest(floor((font_size - 6) / 0.5), -1) AS BIGINT) + 1)) AS k FROM ones WHERE one IS NULL)),
+tried AS (SELECT doc, page, line, size, {PACKED} AS lines, h FROM steps),
+best AS (SELECT doc, page, line, max(size) AS size, arg_max(lines, size) AS lines FROM tried WHERE len(lines) > 0 AND len(lines) * size * 1.15 <= h + 1.0 GROUP BY doc, page, line),
+least AS (SELECT doc, page, line, {PACKED} AS lines FROM (SELECT *, 6.0 AS size FROM ones WHERE one IS NULL)),
+cuts AS (SELECT doc, page, line, CASE WHEN floor(h / 6.9) < 1 OR len(lines) = 0 THEN [] ELSE list_concat(kept[1:len(kept) - 1], [concat(left(kept[-1], CAST(greatest(0, floor((w + 1.0) / 3.0) - 3) AS BIGINT)), '...')]) END AS lines
+  FROM (SELECT l.*, o.w, o.h, lines[1:CAST(greatest(1, floor(o.h / 6.9)) AS BIGINT)] AS kept FROM least l JOIN ones o USING (doc, page, line))),
+plans AS (SELECT o.doc, o.page, o.line, "left", "right", top, CASE WHEN one IS NOT NULL THEN CASE WHEN one >= font_size - 1e-6 THEN 'fit-original' ELSE 'fit-shrunk' END
+  WHEN b.size IS NOT NULL THEN CASE WHEN b.size < font_size THEN 'fit-shrunk' WHEN len(b.lines) = 1 THEN 'fit-original' ELSE 'wrap-fit' END WHEN len(c.lines) = 0 THEN 'no-room' ELSE 'truncated' END AS decision,
+  CAST(coalesce(one, b.size, 6.0) AS DOUBLE) AS size, CASE WHEN one IS NOT NULL THEN [text] WHEN b.size IS NOT NULL THEN b.lines ELSE c.lines END AS lines
+  FROM ones o LEFT JOIN best b USING (doc, page, line) LEFT JOIN cuts c USING (doc, page, line))
+"""
+
 HELD = f"""
 raw AS (SELECT *, width * height AS area FROM {d(B.BOXES)}),
 held AS (SELECT *, row_number() OVER (PARTITION BY doc, page ORDER BY area DESC, seq) AS container_id FROM raw WHERE width >= 5 AND height >= 5 AND area <= 810000.0 * 0.85)"""
@@ -169,6 +189,20 @@ SELECT page_id, md5(out) AS digest, length(out) AS size FROM o""",
 WITH h AS (SELECT page_id, regexp_extract_all(html, 'href="([^"]*)"', 1) AS a FROM {d(B.HTML)}),
 l AS (SELECT page_id, unnest(range(len(a))) AS pos, unnest(a) AS href FROM h UNION ALL SELECT page_id, NULL, NULL FROM h WHERE len(a) = 0)
 SELECT page_id, pos, {absolute('href', "'https://campus.example'")} AS url FROM l""",
+    "course_cards": f"""
+WITH n AS (SELECT node_id, concat(coalesce(title, ''), coalesce(status, '')) AS label, nullif(course_code, '') AS code, trim(replace(coalesce(description, ''), '"', '')) AS description, upper(coalesce(department, '')) AS department, status FROM course_nodes),
+c AS (SELECT *, upper(coalesce(code, nullif(regexp_extract(upper(label), {q(T.COURSE_CODE)}, 1), ''))) AS full_code FROM n)
+SELECT node_id, CAST(1 AS INT) AS col, CAST(0 AS INT) AS row_no, full_code AS code, CASE WHEN department <> '' THEN concat(department, ' ', full_code) ELSE full_code END AS title, description, {badge('status')} AS status FROM c WHERE full_code IS NOT NULL""",
+    "strict_relaxed_audit": f"""
+WITH r AS (SELECT upper(course) AS course, lower(trim(coalesce(translate_status, ''))) AS status FROM {REC} WHERE {collapse("coalesce(title, '')")} <> '' AND trim(coalesce(course, '')) <> '')
+SELECT course, count(*) FILTER (status IN ('', 'active', 'pending', 'current')) AS strict_links, count(*) AS relaxed_links FROM r GROUP BY course""",
+    "asset_scope": f"""
+WITH r AS (SELECT module_key, module_key % 3 AS k, coalesce(trim(asset_url), '') AS x, concat('https://other.example/', module_key) AS y FROM {REC})
+SELECT module_key, CASE k WHEN 0 THEN x WHEN 1 THEN y ELSE concat_ws(' ', nullif(x, ''), y) END AS urls FROM r""",
+    "json_roundtrip": """
+WITH p AS (SELECT page_doc_id, pages, flatten(list_transform(coalesce(pages, []), lambda x: coalesce(x.lines, []))) AS lines FROM page_docs)
+SELECT page_doc_id, CAST(coalesce(len(pages), 0) AS BIGINT) AS pages, CAST(len(lines) AS BIGINT) AS lines, CAST(coalesce(list_sum(list_transform(lines, lambda x: coalesce(length(x.h), 0))), 0) AS BIGINT) AS heading_chars,
+  CAST(coalesce(list_sum(list_transform(lines, lambda x: coalesce(length(x.p), 0))), 0) AS BIGINT) AS paragraph_chars FROM p""",
     "safe_file_name": f"SELECT module_key, {safe('title', 120, 'untitled')} AS name, {safe('title', 100, 'module')} AS part FROM {REC}",
     "badge_status": f"SELECT node_id, {badge('status')} AS badge FROM course_nodes",
     "derive_course_code": f"SELECT node_id, coalesce(regexp_extract(upper(concat_ws(' ', title, course_code)), {q(T.COURSE_CODE)}, 1), '') AS code FROM course_nodes",
@@ -195,6 +229,28 @@ f AS (SELECT doc, page, list_reduce(list_transform(a, lambda i: [i]), lambda s,
   ELSE list_concat(s, i) END) AS b FROM g),
 e AS (SELECT doc, page, unnest(range(1, len(b) + 1)) AS bucket, unnest(b) AS v FROM f)
 SELECT doc, page, bucket, CAST(v.n AS BIGINT) AS n, round(v.y, 6) AS bucket_y FROM e""",
+    "pipeline_end_to_end": f"""
+WITH {ASSIGNED}, g AS (SELECT doc, page, list({{'y': y, 's': [seq]}} ORDER BY seq) AS a FROM items GROUP BY doc, page),
+f AS (SELECT doc, page, list_reduce(list_transform(a, lambda i: [i]), lambda s, i:
+  CASE WHEN list_contains(list_transform(s, lambda v: abs(v.y - i[1].y) <= 3), true)
+  THEN list_transform(s, lambda v, k: CASE WHEN k = list_position(list_transform(s, lambda u: abs(u.y - i[1].y) <= 3), true) THEN {{'y': (v.y + i[1].y) / 2, 's': list_concat(v.s, i[1].s)}} ELSE v END)
+  ELSE list_concat(s, i) END) AS b FROM g),
+u AS (SELECT doc, page, unnest(range(1, len(b) + 1)) AS bucket, unnest(b) AS v FROM f),
+w AS (SELECT doc, page, bucket, v.y AS bucket_y, unnest(v.s) AS seq FROM u),
+own AS (SELECT i.*, bucket, bucket_y, coalesce(container_id, -1) AS container FROM items i JOIN w USING (doc, page, seq) LEFT JOIN assigned USING (doc, page, seq)),
+lagged AS (SELECT *, lag(text) OVER k AS pt, lag(x) OVER k AS px, lag(width) OVER k AS pw, lag(font_size) OVER k AS pf FROM own WINDOW k AS (PARTITION BY doc, page, bucket, container ORDER BY x, seq)),
+pieces AS (SELECT *, CASE WHEN pt IS NOT NULL AND x - (px + coalesce(pw, length(pt) * pf * 0.5)) > pf * 0.45 THEN concat(' ', text) ELSE text END AS piece FROM lagged),
+made AS (SELECT doc, page, bucket, bucket_y, container, {collapse("string_agg(piece, '' ORDER BY x, seq)")} AS text, greatest(max(font_size), 0.0) AS font_size, bool_or(regexp_matches(font_name, {q(T.BOLD)})) AS bold FROM pieces GROUP BY ALL),
+based AS (SELECT *, (SELECT coalesce(median(m.font_size), 0.0) FROM made m WHERE m.doc = made.doc AND m.font_size > 0) AS baseline FROM made),
+typed AS (SELECT *, row_number() OVER (PARTITION BY doc, page ORDER BY round(bucket_y, 3) DESC, container, bucket) AS line_no, CASE WHEN baseline > 0 AND (font_size >= baseline * 1.25 OR (bold AND font_size >= baseline * 1.05 AND length(text) < 120)
+  OR (bold AND length(text) < 80 AND regexp_matches(text, {q(T.CAPS_HEADING)}))) THEN 'heading' ELSE 'paragraph' END AS type FROM based WHERE text <> ''),
+e AS (SELECT doc, page, line_no, type, text, container AS c FROM typed WHERE NOT {noise('text')}),
+l AS (SELECT *, lag(type) OVER k AS pt, lag(text) OVER k AS px, lag(c) OVER k AS pc FROM e WINDOW k AS (PARTITION BY doc, page ORDER BY line_no)),
+fresh AS (SELECT *, CASE WHEN type = 'paragraph' AND pt = 'paragraph' AND c = pc AND NOT regexp_matches(px, {q(T.SENTENCE_FINAL)}) AND NOT regexp_matches(text, {q(T.LIST_START)}) THEN 0 ELSE 1 END AS is_new FROM l),
+parts AS (SELECT *, sum(is_new) OVER (PARTITION BY doc, page ORDER BY line_no) AS part FROM fresh),
+flowed AS (SELECT doc, page, part, arg_min(type, line_no) AS type, {collapse("string_agg(text, ' ' ORDER BY line_no)")} AS text FROM parts GROUP BY doc, page, part),
+known AS (SELECT {collapse('p')} AS text, min(translated) AS translated FROM segment_dictionary GROUP BY ALL)
+SELECT doc, count(*) AS lines, count(*) FILTER (type = 'heading') AS headings, count(*) FILTER (coalesce(translated, f.text) = f.text) AS unchanged FROM flowed f LEFT JOIN known k ON f.text = k.text GROUP BY doc""",
     "gap_join_items": f"WITH {LINES} SELECT doc, page, line, text FROM texts",
     "line_bbox": f"""WITH {LINES} SELECT doc, page, line, round("left", 6) AS "left", round("right", 6) AS "right", round(bottom, 6) AS bottom, round(top, 6) AS top,
   round(baseline, 6) AS baseline, round(font_size, 6) AS font_size FROM boxes_of_lines""",
@@ -216,8 +272,17 @@ f AS (SELECT line_id, CASE WHEN len(a) = 0 THEN CAST([] AS VARCHAR[]) ELSE list_
   THEN list_concat(s[1:len(s) - 1], [concat(s[-1], ' ', x[1])]) ELSE list_concat(s, x) END) END AS lines FROM w)
 SELECT line_id, CAST(len(lines) AS BIGINT) AS n, array_to_string(lines, '/') AS wrapped FROM f""",
     "fit_single_line": FIT + "SELECT doc, page, line, decision, fit_size FROM planned",
-    "fit_histogram": FIT + """SELECT doc, count(CASE WHEN decision = 'fit-original' THEN 1 END) AS fit_original, count(CASE WHEN decision = 'fit-shrunk' THEN 1 END) AS fit_shrunk,
-  count(CASE WHEN decision = 'wrap' THEN 1 END) AS wrap FROM planned GROUP BY doc""",
+    "fit_plan": FIT_PLAN + """SELECT doc, page, line, decision, size, CAST(len(lines) AS BIGINT) AS n, array_to_string(lines, '/') AS drawn, round("left" - 0.5, 4) AS cover_x,
+  round(top - len(lines) * size * 1.15 - 0.5, 4) AS cover_y, round(greatest("right" - "left", coalesce(list_max(list_transform(lines, lambda x: length(x))), 0) * size * 0.5) + 1.0, 4) AS cover_width,
+  round(len(lines) * size * 1.15 + 1.0, 4) AS cover_height, round("left", 4) AS draw_x, round(top - size * 0.8, 4) AS draw_y FROM plans""",
+    "fit_histogram": FIT_PLAN + """SELECT doc, count(*) FILTER (decision = 'fit-original') AS fit_original, count(*) FILTER (decision = 'wrap-fit') AS wrap_fit, count(*) FILTER (decision = 'fit-shrunk') AS fit_shrunk,
+  count(*) FILTER (decision = 'truncated') AS truncated, count(*) FILTER (decision = 'no-room') AS no_room, count(*) FILTER (decision <> 'no-room') AS overlays, count(*) FILTER (decision = 'no-room') AS skipped FROM plans GROUP BY doc""",
+    "reflow_boxes": f"""
+WITH e AS (SELECT doc, page, pos, CASE WHEN h IS NOT NULL THEN 'heading' ELSE 'paragraph' END AS type, text, c FROM {d(B.SOURCE)} s WHERE NOT {noise('text')}),
+l AS (SELECT *, lag(type) OVER w AS pt, lag(text) OVER w AS px, lag(c) OVER w AS pc FROM e WINDOW w AS (PARTITION BY doc, page ORDER BY pos)),
+f AS (SELECT *, CASE WHEN type = 'paragraph' AND pt = 'paragraph' AND c IS NOT DISTINCT FROM pc AND NOT regexp_matches(px, {q(T.SENTENCE_FINAL)}) AND NOT regexp_matches(text, {q(T.LIST_START)}) THEN 0 ELSE 1 END AS fresh FROM l),
+g AS (SELECT *, sum(fresh) OVER (PARTITION BY doc, page ORDER BY pos) AS part FROM f)
+SELECT doc, page, CAST(part AS BIGINT) AS part, count(*) AS lines, page * 1.0::DOUBLE AS "left", max(page + length(text) * 1.0::DOUBLE) AS "right", min(-pos * 10.0::DOUBLE) AS bottom, max(8.0::DOUBLE - pos * 10.0::DOUBLE) AS top FROM g GROUP BY doc, page, part""",
     "cluster_by_column": f"WITH {COLUMNS} SELECT curriculum, index, col, nodes, has_pending, all_passed FROM numbered",
     "current_term": f"""WITH {COLUMNS},
 ready AS (SELECT *, coalesce(bool_and(all_passed) OVER (PARTITION BY curriculum ORDER BY index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), TRUE) AS fine FROM numbered),

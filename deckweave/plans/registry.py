@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from deckweave.functions import text as T
 from deckweave.functions import urls as U
@@ -13,6 +14,7 @@ from deckweave.operators import align, audit, catalog, fit, html, layout, transl
 from deckweave.plans import bindings as B
 from deckweave.plans import pipeline
 from deckweave.session import cut
+from deckweave.sources import sinks
 from deckweave.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -89,7 +91,7 @@ def lateral_page_links(spark, d):
 
 @query
 def course_cards(spark, d):
-    """Cards of a course table, parsed from markup made of the catalogue (no SQL: a parser on broken markup)."""
+    """Cards of a course table, parsed from markup made of the catalogue, with cells and a button left open."""
     card = "concat('<table><tbody><tr><td><p>', '<td><button class=\"btn card-course\" course=\"', coalesce(course_code, ''), '\" description=\"', coalesce(replace(description, '\"', ''), ''), '\" department=\"', coalesce(department, ''), '\">', coalesce(title, ''), '<span class=badge>', coalesce(status, ''), '</span></button></table>')"
     pages = table(spark, d, "course_nodes").select("node_id", F.expr(card).alias("html"))
     return html.extract_cards(pages).select("node_id", "col", "row_no", "code", "title", "description", "status")
@@ -107,6 +109,13 @@ def strict_relaxed_audit(spark, d):
     return both.select("course", F.coalesce("strict_links", F.lit(0)).cast("bigint").alias("strict_links"), F.coalesce("relaxed_links", F.lit(0)).cast("bigint").alias("relaxed_links"))
 
 
+@query
+def asset_scope(spark, d):
+    """Asset addresses in the open module body, else in what is open, else anywhere, from markup made of the modules."""
+    pages = B.of(spark, d, B.SCOPES)
+    return html.extract_assets(pages).select("module_key", F.array_join("urls", " ").alias("urls"))
+
+
 # Text
 
 
@@ -205,9 +214,8 @@ def doc_baseline_median(spark, d):
 
 @query
 def classify_lines(spark, d):
-    items = B.of(spark, d, B.ITEMS)
-    sizes = layout.line_sizes(items, LINE)
-    own = sizes.join(layout.joined_text(items, LINE), LINE).join(layout.baselines(sizes), "doc")
+    own = layout.lines_of(B.of(spark, d, B.ITEMS), LINE)
+    own = own.join(layout.baselines(own), "doc")
     kind = layout.heading_rule(F.col("font_size"), F.col("bold"), F.col("text"), F.col("baseline"))
     return own.select(*LINE, kind.alias("type"), (F.floor(F.col("font_size") * 10 + 0.5) / 10).alias("size"))
 
@@ -222,9 +230,8 @@ def splits_prevented(spark, d):
 
 @query
 def next_line_floor(spark, d):
-    own = layout.line_boxes(B.of(spark, d, B.ITEMS), LINE)
-    w = Window.partitionBy("doc", "page").orderBy(F.desc("baseline"), F.desc("line"))
-    return own.select(*LINE, F.round(F.lead("top").over(w), 6).alias("next_top"))
+    own = layout.next_top(layout.line_boxes(B.of(spark, d, B.ITEMS), LINE), ["doc", "page"], [F.desc("baseline"), F.desc("line")])
+    return own.select(*LINE, F.round("next_top", 6).alias("next_top"))
 
 
 @query
@@ -245,11 +252,20 @@ def compact_pages(spark, d):
 
 
 @query
-def json_sizes(spark, d):
-    """Bytes of each page document's JSON (no SQL: the engines write JSON differently)."""
-    from deckweave.sources.sinks import json_sizes as sizes
+def json_roundtrip(spark, d):
+    """What each page document's JSON holds when it is read again: pages, lines and characters."""
+    own = table(spark, d, "page_docs").select("page_doc_id", "pages")
+    shape = own.schema["pages"].dataType
+    back = own.select("page_doc_id", F.from_json(sinks.as_json(F.struct("pages")), StructType([StructField("pages", shape)]))["pages"].alias("pages"))
+    lines = F.flatten(F.transform("pages", lambda x: F.coalesce(x["lines"], F.lit(None).cast(shape.elementType["lines"].dataType), F.array().cast(shape.elementType["lines"].dataType))))
+    chars = lambda c: F.aggregate(F.transform(lines, lambda x: F.coalesce(F.length(x[c]), F.lit(0))), F.lit(0), lambda a, x: a + x)
+    return back.select("page_doc_id", *(F.coalesce(x, F.lit(0)).cast("bigint").alias(n) for n, x in {"pages": F.size("pages"), "lines": F.size(lines), "heading_chars": chars("h"), "paragraph_chars": chars("p")}.items()))
 
-    return sizes(table(spark, d, "page_docs").select("page_doc_id", "pages"), "page_doc_id")
+
+@query
+def json_sizes(spark, d):
+    """Bytes of each page document's JSON (no SQL: the engines write JSON differently; json_roundtrip compares what is in it)."""
+    return sinks.json_sizes(table(spark, d, "page_docs").select("page_doc_id", "pages"), "page_doc_id")
 
 
 # Fitting
@@ -262,11 +278,8 @@ def greedy_wrap(spark, d):
 
 
 def _fit_input(spark, d):
-    items = B.of(spark, d, B.ITEMS)
-    boxes = layout.line_boxes(items, LINE)
-    w = Window.partitionBy("doc", "page").orderBy(F.desc("baseline"), F.desc("line"))
-    own = boxes.withColumn("next_top", F.lead("top").over(w)).join(layout.joined_text(items, LINE), LINE)
-    return fit.room(own)
+    own = layout.lines_of(B.of(spark, d, B.ITEMS), LINE, boxes=True)
+    return fit.room(layout.next_top(own, ["doc", "page"], [F.desc("baseline"), F.desc("line")]))
 
 
 @query
@@ -276,18 +289,25 @@ def fit_single_line(spark, d):
 
 @query
 def fit_plan(spark, d):
-    """The whole plan of every line (no SQL: the wrapping at ever smaller sizes is a loop)."""
-    return fit.plan_fit(_fit_input(spark, d), LINE).select(*LINE, "decision", "size", F.size("lines").alias("n"))
+    """The whole plan of every line, with the rectangle that covers the old text and where the new one is drawn."""
+    own = fit.drawn(fit.plan_fit(_fit_input(spark, d), [*LINE, "left", "right", "room_left", "room_top"]))
+    places = ("cover_x", "cover_y", "cover_width", "cover_height", "draw_x", "draw_y")
+    return own.select(*LINE, "decision", "size", F.size("lines").cast("bigint").alias("n"), F.array_join("lines", "/").alias("drawn"), *(F.round(c, 4).alias(c) for c in places))
 
 
 @query
-def fit_histogram(spark, d):
-    return fit.single_line(_fit_input(spark, d)).groupBy("doc").agg(*(F.count_if(F.col("decision") == x).alias(x.replace("-", "_")) for x in ("fit-original", "fit-shrunk", "wrap")))
+def reflow_boxes(spark, d):
+    """The box round each merged paragraph's lines and how many there are; each line's box is made of its place."""
+    at = F.col("pos") * 10.0
+    box = F.struct((F.col("page") * 1.0).alias("left"), (F.col("page") + F.length("text") * 1.0).alias("right"), (-at).alias("bottom"), (8.0 - at).alias("top"))
+    own = B.of(spark, d, B.SOURCE).select("doc", "page", "pos", F.when(F.col("h").isNotNull(), "heading").otherwise("paragraph").alias("type"), "text", F.col("c").alias("container_id"), F.array(box).alias("boxes"))
+    own = layout.reflow(layout.without_noise(own), ["doc", "page"], ["pos"]).withColumn("round", layout.union_box())
+    return own.select("doc", "page", long("part"), F.size("boxes").cast("bigint").alias("lines"), "round.left", "round.right", "round.bottom", "round.top")
 
 
 @query
-def fit_tally(spark, d):
-    """All five decisions of the whole plan by document, with overlays and skipped (no SQL, as for fit_plan)."""
+def fit_histogram(spark, d):
+    """All five decisions of the whole plan by document, with overlays and skipped."""
     return fit.tally(fit_plan(spark, d), ["doc"])
 
 
@@ -506,7 +526,7 @@ def prune_unkept(spark, d):
 
 @query
 def pipeline_end_to_end(spark, d):
-    """Items to audited, translated pages through the named stages (no SQL: it is the other queries in a row)."""
+    """Items to audited, translated pages through the named stages."""
     def extract(tables, options):
         raw = layout.extract(tables["items"], layout.containers(tables["boxes"], 900.0 * 900.0))
         return {"lines": cut(layout.reflow(layout.without_noise(raw), ["doc", "page"], ["line_no"]))}  # read twice below

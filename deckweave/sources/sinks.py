@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -12,9 +12,14 @@ def write_pages(documents: DataFrame, path: str, by: str | None = None) -> None:
     (writer.partitionBy(by) if by else writer).json(path)
 
 
+def as_json(document: Column) -> Column:
+    """A document as the sinks write it: absent keys left out."""
+    return F.to_json(document, {"ignoreNullFields": "true"})
+
+
 def json_sizes(documents: DataFrame, key: str) -> DataFrame:
     """(key, bytes) of each document's JSON."""
-    return documents.select(key, F.octet_length(F.to_json(F.struct(*[c for c in documents.columns if c != key]))).cast("bigint").alias("bytes"))
+    return documents.select(key, F.octet_length(as_json(F.struct(*[c for c in documents.columns if c != key]))).cast("bigint").alias("bytes"))
 
 
 def write_lines(lines: DataFrame, path: str, column: str = "line") -> None:

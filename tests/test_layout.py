@@ -263,3 +263,21 @@ def test_reports(spark):
 def test_tally_by_document(spark):
     plans = spark.createDataFrame([(1, "wrap-fit"), (1, "no-room"), (2, "truncated")], "doc int, decision string")
     assert {r["doc"]: (r["wrap_fit"], r["truncated"], r["no_room"], r["overlays"], r["skipped"]) for r in fit.tally(plans, ["doc"]).collect()} == {1: (1, 0, 1, 1, 1), 2: (0, 1, 0, 1, 0)}
+
+
+def test_plan_on_the_jvm_equals_the_loop(spark):
+    rng = random.Random(4)
+    words = ["a", "word", "longer-word", "extraordinarily-long-word-without-any-break"]
+    rows = [(i, None if i % 17 == 0 else " ".join(rng.choice(words) for _ in range(rng.randint(0, 25))), rng.choice([4.0, 6.0, 7.5, 9.0, 14.0]), rng.uniform(1, 200), rng.uniform(0, 90)) for i in range(400)]
+    df = spark.createDataFrame(rows, "i int, text string, font_size double, room_width double, room_height double")
+    got = {r["i"]: (r["decision"], r["size"], list(r["lines"])) for r in fit.plan_fit(df, ["i"]).collect()}
+    assert got == {r[0]: fit.plan(*r[1:]) for r in rows}
+    assert {g[0] for g in got.values()} == set(fit.DECISIONS)
+    other = fit.plan_fit(df, ["i"], lambda t, s: len(t) * s * 0.4).collect()
+    assert {r["i"]: r["decision"] for r in other} == {r[0]: fit.plan(*r[1:], lambda t, s: len(t) * s * 0.4)[0] for r in rows}
+
+
+def test_boxes_of_two_kinds(spark):
+    paths = spark.createDataFrame([("d", 1, 1, 10.0, 10.0, -5.0, 4.0)], "doc string, page int, seq bigint, x double, y double, width double, height double")
+    bare = spark.createDataFrame([("d", 1, 1, 0.0, 0.0, 3.0, 3.0)], "doc string, page int, seq bigint, x double, y double, width double, height double")
+    assert [tuple(r) for r in layout.candidate_boxes(paths, bare).orderBy("seq").select("seq", "x", "width").collect()] == [(1, 5.0, 5.0), (2, 0.0, 3.0)]
