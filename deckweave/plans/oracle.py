@@ -348,6 +348,16 @@ SELECT event_id, coalesce(CASE WHEN json_valid(x) THEN json_type(x) = 'OBJECT' E
 SELECT module_key, CASE WHEN json_path IS NULL THEN 'no-source' WHEN cached AND module_key % 3 <> 0 THEN 'translated' WHEN translate_status = 'translated' THEN 'translated'
   WHEN translate_status = 'pending' THEN 'pending' WHEN translate_status = 'skipped' THEN 'skipped' WHEN cached THEN 'translated' ELSE 'failed' END AS status
 FROM (SELECT *, translated_path IS NOT NULL AND module_key % 2 = 0 AS cached FROM {REC})""",
+    "backend_outcomes": f"""
+WITH p AS (SELECT page_doc_id, coalesce(len(pages), 0) AS n, json_path, x.path IS NOT NULL AS there, coalesce(x.broken, FALSE) AS broken FROM page_docs t LEFT JOIN {REC} r ON t.module_key = r.module_key
+  LEFT JOIN (SELECT regexp_replace(json_path, '^(.*?)(\\.[^./]*)?\\z', '\\1.tl\\2') AS path, bool_and(translate_reason IS NOT NULL) AS broken FROM {REC} WHERE translated_path IS NOT NULL AND json_path IS NOT NULL GROUP BY ALL) x
+  ON x.path = regexp_replace(json_path, '^(.*?)(\\.[^./]*)?\\z', '\\1.tl\\2'))
+SELECT page_doc_id, 'identity' AS backend, 'skipped' AS status FROM p
+UNION ALL SELECT page_doc_id, 'manual', CASE WHEN json_path IS NULL THEN 'failed' WHEN NOT there THEN 'pending' WHEN broken THEN 'failed' ELSE 'translated' END FROM p
+UNION ALL SELECT page_doc_id, 'callable', CASE WHEN n % 4 IN (2, 3) THEN 'translated' ELSE 'failed' END FROM p""",
+    "page_map_fallback": f"""
+WITH l AS (SELECT doc, page, count(*) AS n, row_number() OVER (PARTITION BY doc ORDER BY format('PAGE {{:04d}}', page)) AS k, count(*) OVER (PARTITION BY doc) AS many FROM {SRC} GROUP BY doc, page)
+SELECT doc, string_agg(concat(format('PAGE {{:04d}}', page), '=', CASE WHEN many % 3 = 0 THEN concat('[text ', n, ']') WHEN k = 1 THEN concat('text ', n) ELSE concat('TEXT ', n) END), '|' ORDER BY k) AS pages FROM l GROUP BY doc""",
     "download_status": f"""
 WITH u AS (SELECT module_key, error, asset_url AS url FROM {REC}), v AS (SELECT module_key, error, coalesce(nullif({RESOLVED}, ''), url, '') AS best FROM u)
 SELECT module_key, CASE WHEN best = '' OR {kind('best')} = 'unknown' THEN 'no-asset-url' WHEN error IS NOT NULL THEN 'download-failed' ELSE 'ok' END AS status FROM v""",

@@ -10,7 +10,7 @@ from pyspark.sql.types import StructField, StructType
 
 from deckweave.functions import text as T
 from deckweave.functions import urls as U
-from deckweave.operators import align, audit, catalog, fit, html, layout, translate
+from deckweave.operators import align, audit, catalog, documents, fit, html, layout, translate
 from deckweave.plans import bindings as B
 from deckweave.plans import pipeline
 from deckweave.session import cut
@@ -463,6 +463,49 @@ def translate_status(spark, d):
     return own.select("module_key", status.alias("status"))
 
 
+@query
+def backend_outcomes(spark, d):
+    """The outcome of each document under three backends; the one that is called answers by the number of pages: nothing, one page too few, in fences, or plainly."""
+    own = table(spark, d, "page_docs").select("page_doc_id", "module_key", "meta", "pages")
+    records = B.of(spark, d, "{records}").select("module_key", "json_path", "translated_path", "translate_reason")
+    placed = own.join(records, "module_key", "left")
+    raw = F.when(F.col("translate_reason").isNull(), F.lit('{"pages": []}')).otherwise("{")
+    siblings = records.where("translated_path IS NOT NULL").select(translate.translated_path(F.col("json_path"), "tl").alias("path"), raw.alias("raw"))
+    by = {
+        "identity": documents.identity_documents(own, "page_doc_id"), "manual": documents.manual_documents(placed, siblings, "page_doc_id", "json_path", "tl"),
+        "callable": documents.called_documents(own, "page_doc_id", _answer, "tl", attempts=1),
+    }
+    out = [df.select("page_doc_id", F.lit(name).alias("backend"), "status") for name, df in by.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+def _answer(prompt: str) -> str:
+    import json
+
+    document = json.loads(prompt[prompt.index("{") :])
+    pages = document.get("pages") or []
+    text = json.dumps({"pages": pages[:-1] if len(pages) % 4 == 1 else pages})
+    return ["no answer", text, f"Here:\n```json\n{text}\n```", text][len(pages) % 4]
+
+
+@query
+def page_map_fallback(spark, d):
+    """Pages translated by one call a document, or page by page where that call's reply is no JSON."""
+    lines = B.of(spark, d, B.SOURCE).groupBy("doc", "page").agg(F.count("*").alias("n"))
+    maps = lines.groupBy("doc").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.format_string("PAGE %04d", "page"), F.concat(F.lit("text "), F.col("n").cast("string")))))).alias("pages"))
+    out = documents.page_map_translation(maps, "doc", "pages", _answer_pages, "tl", attempts=1)
+    return out.select("doc", F.array_join(F.transform(F.map_entries("pages"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), "|").alias("pages"))
+
+
+def _answer_pages(prompt: str) -> str:
+    import json
+
+    if "{" not in prompt:
+        return f"[{prompt}]"
+    pages = json.loads(prompt[prompt.index("{") :])
+    return "no answer" if len(pages) % 3 == 0 else json.dumps({k: v.upper() for k, v in list(pages.items())[1:]})
+
+
 @query
 def download_status(spark, d):
     own = B.of(spark, d, "{records}")
