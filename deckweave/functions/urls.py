@@ -69,3 +69,30 @@ def cookie_matches(url: Column, domain: Column, cookie_path: Column, expires: Co
     alive = (expires <= 0) | (expires >= F.lit(now))
     safe = ~secure | F.lower(url).startswith("https:")
     return alive & domain_matches(domain, host(url)) & path_matches(cookie_path, path(url)) & safe
+
+
+def suffixes(host_name: Column) -> Column:
+    """A host and the domains above it: a.b.c, b.c, c."""
+    parts = F.split(host_name, "\\.")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "."))
+
+
+def map_url(base: str, course: Column, curriculum: Column) -> Column:
+    """The address of a course's map; the ampersand stands behind the path as the site has it."""
+    empty = F.lit("")
+    return F.concat(F.lit(f"{base}/map/"), encoded(F.coalesce(course, empty)), F.lit("&curriculum="), encoded(F.coalesce(curriculum, empty)))
+
+
+def overlaid(*maps: Column) -> Column:
+    """Maps of strings as one, the last of a name winning, by name; null maps count for nothing."""
+    none = F.create_map().cast("map<string,string>")
+    entries = F.concat(*(F.map_entries(F.coalesce(m, none)) for m in reversed(maps)))
+    names = F.array_sort(F.array_distinct(F.transform(entries, lambda e: e["key"])))
+    return F.map_from_entries(F.transform(names, lambda n: F.element_at(F.filter(entries, lambda e: e["key"] == n), 1)))
+
+
+def joined_path(base: Column, *parts: Column) -> Column:
+    """A folder and the parts below it as one path, the parts made safe; null parts are left out."""
+    from deckweave.functions.text import safe_name
+
+    return F.concat_ws("/", base, *(F.when(p.isNotNull(), safe_name(p)) for p in parts))

@@ -63,3 +63,12 @@ def endpoint(base: Column) -> Column:
 def retryable(status: Column, message: Column) -> Column:
     """Whether a failure may go away: a status of an overloaded server, or a message of a lost connection; false for null."""
     return F.coalesce(status.isin(429, 500, 502, 503, 504), F.lit(False)) | F.coalesce(message.rlike(TRANSIENT), F.lit(False))
+
+
+def slide_header(title: Column, page: Column) -> Column:
+    return F.format_string("%s - Page %s", F.coalesce(title, F.lit("module")), page.cast("string"))
+
+
+def slide_body(text: Column) -> Column:
+    """A slide's text, or what stands for none."""
+    return F.coalesce(F.nullif(text, F.lit("")), F.lit("(no text)"))

@@ -311,7 +311,9 @@ SELECT host, bool_or(c.cookie_no IS NOT NULL) AS alive FROM hosts LEFT JOIN {d(B
     "netscape_lines": f"""
 SELECT CAST(cookie_no AS BIGINT) AS cookie_no, concat_ws(chr(9), CASE WHEN domain LIKE '.%' THEN domain ELSE '.' || domain END, 'TRUE', path, CASE WHEN secure THEN 'TRUE' ELSE 'FALSE' END,
   CAST(greatest(expires, 0) AS VARCHAR), name, value) AS line FROM {d(B.COOKIES)}""",
-    "header_overlay": f"SELECT url, concat('accept:', CASE WHEN {kind('url')} = 'pdf' THEN 'application/pdf' ELSE '*/*' END, ';lang:tl;mode:cors') AS headers FROM {d(B.REQUESTS)}",
+    "header_overlay": f"""
+WITH k AS (SELECT url, coalesce(string_agg(concat(c.name, '=', c.value), '; ' ORDER BY c.cookie_no), '') AS header FROM {d(B.REQUESTS)} r LEFT JOIN {d(B.COOKIES)} c ON {COOKIE_FITS} GROUP BY url)
+SELECT url, concat('accept:', CASE WHEN {kind('url')} = 'pdf' THEN 'application/pdf' ELSE '*/*' END, CASE WHEN header <> '' THEN concat('|cookie:', header) ELSE '' END, '|lang:tl|mode:cors') AS headers FROM k""",
     "segment_dictionary_join": f"""
 WITH s AS (SELECT {collapse('p')} AS k, min(translated) AS translated FROM segment_dictionary GROUP BY ALL), l AS (SELECT line_id, {collapse("coalesce(h, p, '')")} AS k FROM page_lines)
 SELECT line_id, coalesce(translated, k) AS translated FROM l LEFT JOIN s USING (k)""",
@@ -341,9 +343,8 @@ SELECT doc, CASE WHEN json_path IS NULL THEN 'source unreadable' WHEN translated
 FROM s JOIN t USING (doc) LEFT JOIN f USING (doc) LEFT JOIN {d(B.FACTS)} m ON m.module_key = CAST(split_part(doc, ':', 1) AS BIGINT)"""),
     "json_parse_ladder": f"""
 WITH r AS (SELECT event_id, trim(raw) AS x, regexp_extract(trim(raw), '(?is)```(?:json)?\\s*(.*?)\\s*```', 1) AS f, trim(regexp_replace(regexp_replace(raw, '(?i)\\A```(?:json)?\\s*', ''), '\\s*```\\z', '')) AS c FROM {d(B.REPLIES)}),
-g AS (SELECT *, regexp_extract(c, '(?s)\\{{.*\\}}') AS g FROM r)
-SELECT event_id, coalesce(CASE WHEN json_valid(x) THEN json_type(x) = 'OBJECT' END, FALSE) OR coalesce(CASE WHEN json_valid(f) THEN json_type(f) = 'OBJECT' END, FALSE) AS object,
-  json_valid(c) OR (g <> '' AND json_valid(g)) AS lenient FROM g""",
+g AS (SELECT *, regexp_extract(c, '(?s)\\{{.*\\}}') AS g, CASE WHEN json_valid(x) AND json_type(x) = 'OBJECT' THEN x WHEN json_valid(f) AND json_type(f) = 'OBJECT' THEN f END AS o FROM r)
+SELECT event_id, o IS NOT NULL AS object, json_valid(c) OR (g <> '' AND json_valid(g)) AS lenient, array_to_string(list_sort(json_keys(o)), ',') AS keys FROM g""",
     "translate_status": f"""
 SELECT module_key, CASE WHEN json_path IS NULL THEN 'no-source' WHEN cached AND module_key % 3 <> 0 THEN 'translated' WHEN translate_status = 'translated' THEN 'translated'
   WHEN translate_status = 'pending' THEN 'pending' WHEN translate_status = 'skipped' THEN 'skipped' WHEN cached THEN 'translated' ELSE 'failed' END AS status
@@ -373,8 +374,10 @@ o AS (SELECT *, pdfs >= modules AND jsons >= pdfs AS ok FROM b)
 SELECT * FROM o UNION ALL SELECT NULL, CAST(sum(modules) AS BIGINT), CAST(sum(pdfs) AS BIGINT), CAST(sum(jsons) AS BIGINT), CAST(sum(translated) AS BIGINT), bool_and(ok) FROM o""",
     "relative_paths": f"SELECT module_key, {relative('cached_path')} AS pdf, {relative('json_path')} AS json FROM {REC}",
     "manifest_records": f"""
-SELECT course, count(*) AS files, CAST(sum(CASE WHEN title <> '' THEN 1 ELSE 0 END + CASE WHEN coalesce(status, 'unknown') <> '' THEN 1 ELSE 0 END + CASE WHEN {relative('cached_path')} <> '' THEN 1 ELSE 0 END
-  + CASE WHEN {relative('json_path')} <> '' THEN 1 ELSE 0 END + CASE WHEN page_count IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN error <> '' THEN 1 ELSE 0 END) AS BIGINT) AS fields FROM {REC} GROUP BY course""",
+SELECT course, module_key, concat('{{', concat_ws(',', CASE WHEN title <> '' THEN concat('"title":', to_json(title)) END, CASE WHEN coalesce(status, 'unknown') <> '' THEN concat('"status":', to_json(coalesce(status, 'unknown'))) END,
+  CASE WHEN {relative('cached_path')} <> '' THEN concat('"pdf":', to_json({relative('cached_path')})) END, CASE WHEN {relative('json_path')} <> '' THEN concat('"json":', to_json({relative('json_path')})) END,
+  CASE WHEN page_count IS NOT NULL THEN concat('"pages":', page_count) END, CASE WHEN error <> '' THEN concat('"error":', to_json(error)) END), '}}') AS record FROM {REC}""",
+    "extract_status": f"SELECT module_key, CASE WHEN cached_path IS NULL OR coalesce(ext, '') <> 'pdf' THEN coalesce(status, 'no-pdf') ELSE 'extracted' END AS status FROM {REC}",
     "log_tally": f"SELECT count(CASE WHEN error IS NULL THEN 1 END) AS ok, count(error) AS failed FROM {REC} WHERE file_base IS NOT NULL",
     "prune_unkept": f"SELECT DISTINCT coalesce(ext, 'none') AS name FROM {REC} WHERE coalesce(ext, 'none') NOT IN ('pdf', 'json')",
 }

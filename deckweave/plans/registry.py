@@ -10,7 +10,7 @@ from pyspark.sql.types import StructField, StructType
 
 from deckweave.functions import text as T
 from deckweave.functions import urls as U
-from deckweave.operators import align, audit, catalog, documents, fit, html, layout, translate
+from deckweave.operators import align, audit, catalog, documents, fit, html, layout, reports, translate
 from deckweave.plans import bindings as B
 from deckweave.plans import pipeline
 from deckweave.session import cut
@@ -156,9 +156,8 @@ def asset_url_resolve(spark, d):
 
 @query
 def fetch_urls(spark, d):
-    own = B.of(spark, d, "{records}")
-    make = lambda a, b: F.concat(F.lit("https://campus.example/map/"), U.encoded(a), F.lit("&curriculum="), U.encoded(b))
-    return own.select("module_key", make(F.coalesce("course", F.lit("")), F.coalesce("title", F.lit(""))).alias("url"))
+    return B.of(spark, d, "{records}").select("module_key", U.map_url("https://campus.example", F.col("course"), F.col("title")).alias("url"))
+
 
 
 @query
@@ -168,10 +167,10 @@ def translated_path(spark, d):
 
 @query
 def slide_headers(spark, d):
-    lines = B.of(spark, d, B.SOURCE).groupBy("doc", "page").agg(F.count_if(F.col("text") != "").alias("filled"))
+    lines = B.of(spark, d, B.SOURCE).groupBy("doc", "page").agg(F.max(F.when(F.col("text") != "", "text")).alias("text"))
     own = lines.join(B.of(spark, d, "{records}").select(F.col("module_key").alias("doc"), "title"), "doc")
-    head = F.format_string("%s - Page %s", F.coalesce("title", F.lit("module")), F.col("page").cast("string"))
-    return own.select("doc", "page", head.alias("header"), F.when(F.col("filled") > 0, "text").otherwise("(no text)").alias("body"))
+    return own.select("doc", "page", reports.slide_header(F.col("title"), F.col("page")).alias("header"), reports.slide_body(F.col("text")).alias("body"))
+
 
 
 # Layout
@@ -336,14 +335,15 @@ def dedupe_keep_first(spark, d):
 
 @query
 def latest_run(spark, d):
-    return align.last_wins(table(spark, d, "module_records"), ["module_key"], ["updated_at", F.desc("ordinal")]).select("module_key", "ordinal", "status")
+    return align.last_wins(table(spark, d, "module_records"), ["module_key"], ["updated_at", -F.col("ordinal")]).select("module_key", "ordinal", "status")
+
 
 
 @query
 def module_file_base(spark, d):
-    own = B.of(spark, d, "{records}")
-    ordinal = F.row_number().over(Window.partitionBy("course").orderBy("ordinal", "module_key"))
-    return own.withColumn("at", ordinal).select("module_key", catalog.file_base(F.col("at"), F.col("title")).alias("file_base"))
+    own = catalog.ranked(B.of(spark, d, "{records}").select("module_key", "course", "ordinal", "title"), ["course"], ["ordinal", "module_key"], "at")
+    return own.select("module_key", catalog.file_base(F.col("at"), F.col("title")).alias("file_base"))
+
 
 
 @query
@@ -364,10 +364,9 @@ def cookie_url_theta_join(spark, d):
 
 @query
 def session_alive(spark, d):
-    hosts = B.of(spark, d, B.REQUESTS).select(U.host(F.col("url")).alias("host")).distinct()
-    jar = B.of(spark, d, B.COOKIES)
-    fits = U.domain_matches(F.col("domain"), F.col("host")) & ((F.col("expires") <= 0) | (F.col("expires") >= NOW)) & F.col("name").rlike(U.SESSION)
-    return hosts.join(jar, fits, "left").groupBy("host").agg(F.bool_or(F.col("cookie_no").isNotNull()).alias("alive"))
+    hosts = B.of(spark, d, B.REQUESTS).select(U.host(F.col("url")).alias("host"))
+    return catalog.alive_hosts(hosts, B.of(spark, d, B.COOKIES), "host", NOW)
+
 
 
 @query
@@ -377,15 +376,14 @@ def netscape_lines(spark, d):
 
 @query
 def header_overlay(spark, d):
-    """Headers of each request: the base ones, then extra ones, then the request's own, the last of a name winning."""
+    """Headers of each request: the base ones, then extra ones, then the request's own with its cookies, the last of a name winning."""
     base = F.create_map(F.lit("accept"), F.lit("*/*"), F.lit("lang"), F.lit("en"))
     extra = F.create_map(F.lit("lang"), F.lit("tl"), F.lit("mode"), F.lit("cors"))
     own = F.when(U.asset_type(F.col("url")) == "pdf", F.create_map(F.lit("accept"), F.lit("application/pdf")))
-    maps = [base, extra, F.coalesce(own, F.create_map().cast("map<string,string>"))]
-    entries = F.concat(*(F.map_entries(m) for m in reversed(maps)))
-    names = F.array_sort(F.array_distinct(F.transform(entries, lambda e: e["key"])))
-    first = F.transform(names, lambda n: F.concat(n, F.lit(":"), F.element_at(F.filter(entries, lambda e: e["key"] == n), 1)["value"]))
-    return B.of(spark, d, B.REQUESTS).select("url", F.array_join(first, ";").alias("headers"))
+    cookie = F.when(F.col("header") != "", F.create_map(F.lit("cookie"), F.col("header")))
+    asks = catalog.cookie_headers(B.of(spark, d, B.REQUESTS), B.of(spark, d, B.COOKIES), ["url"], "url", NOW)
+    return asks.select("url", F.array_join(F.transform(F.map_entries(U.overlaid(base, extra, own, cookie)), lambda e: F.concat_ws(":", e["key"], e["value"])), "|").alias("headers"))
+
 
 
 # Source and translation
@@ -451,8 +449,11 @@ def cache_validation(spark, d):
 
 @query
 def json_parse_ladder(spark, d):
-    own = B.of(spark, d, B.REPLIES)
-    return own.select("event_id", translate.reply_object(F.col("raw")).isNotNull().alias("object"), translate.reply_lenient(F.col("raw")).isNotNull().alias("lenient"))
+    """Which replies hold an object and any JSON, and the keys of the object."""
+    own = B.of(spark, d, B.REPLIES).withColumns({"obj": translate.reply_object(F.col("raw")), "any": translate.reply_lenient(F.col("raw"))})
+    keys = lambda v: F.array_join(F.array_sort(F.json_object_keys(F.to_json(v))), ",")
+    return own.select("event_id", F.col("obj").isNotNull().alias("object"), F.col("any").isNotNull().alias("lenient"), keys("obj").alias("keys"))
+
 
 
 @query
@@ -508,10 +509,13 @@ def _answer_pages(prompt: str) -> str:
 
 @query
 def download_status(spark, d):
-    own = B.of(spark, d, "{records}")
-    url = F.coalesce(F.nullif(U.asset_url(F.col("asset_url")), F.lit("")), F.col("asset_url"), F.lit(""))
-    status = F.when((url == "") | (U.asset_type(url) == "unknown"), "no-asset-url").when(F.col("error").isNotNull(), "download-failed").otherwise("ok")
-    return own.select("module_key", status.alias("status"))
+    return B.of(spark, d, "{records}").select("module_key", catalog.download_status(F.col("asset_url"), F.col("error")).alias("status"))
+
+
+@query
+def extract_status(spark, d):
+    return B.of(spark, d, "{records}").select("module_key", catalog.extract_status(F.col("cached_path"), F.col("ext"), F.col("status")).alias("status"))
+
 
 
 # Audits
@@ -550,9 +554,8 @@ def relative_paths(spark, d):
 def manifest_records(spark, d):
     own = B.of(spark, d, "{records}")
     fields = {"title": F.col("title"), "status": F.coalesce("status", F.lit("unknown")), "pdf": audit.relative(F.col("cached_path"), F.col("course")), "json": audit.relative(F.col("json_path"), F.col("course")), "pages": F.col("page_count"), "error": F.col("error")}
-    out = audit.manifest(own, "course", ["ordinal", "module_key"], fields)
-    named = F.size(F.regexp_extract_all("manifest", F.lit('"(?:title|status|pdf|json|pages|error)":'), 0))
-    return out.select("course", "files", named.cast("bigint").alias("fields"))
+    return audit.manifest_records(own, ["course", "module_key"], fields)
+
 
 
 @query

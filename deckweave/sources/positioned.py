@@ -6,12 +6,14 @@ items of [text, x, y, font size, font name, width].  Each file is a partition.
 
 from __future__ import annotations
 
+import io
 import json
 from collections.abc import Iterator
-from pathlib import Path
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from deckweave.sources.files import file_system, files_below
+
 SCHEMA = "doc string, page int, seq int, text string, x double, y double, font_size double, font_name string, width double"
 
 
@@ -38,11 +40,11 @@ class _Reader(DataSourceReader):
         self.path = path
 
     def partitions(self) -> list[_File]:
-        root = Path(self.path)
-        return [_File(str(p)) for p in sorted(root.glob("**/*.jsonl") if root.is_dir() else [root])]
+        return [_File(p) for p in files_below(self.path, ".jsonl")]
 
     def read(self, partition: _File) -> Iterator[tuple]:
-        with open(partition.path, encoding="utf-8") as lines:
+        system, place = file_system(partition.path)
+        with io.TextIOWrapper(io.BufferedReader(system.open_input_stream(place)), encoding="utf-8") as lines:
             for line in lines:
                 if line.strip():
                     page = json.loads(line)

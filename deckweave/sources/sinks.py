@@ -22,6 +22,11 @@ def json_sizes(documents: DataFrame, key: str) -> DataFrame:
     return documents.select(key, F.octet_length(as_json(F.struct(*[c for c in documents.columns if c != key]))).cast("bigint").alias("bytes"))
 
 
+def write_report(report: DataFrame, path: str) -> None:
+    """A check report as one JSON object a document, nulls kept so that every object has every key."""
+    report.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
 def write_lines(lines: DataFrame, path: str, column: str = "line") -> None:
     lines.select(F.col(column).alias("value")).write.mode("overwrite").text(path)
 

@@ -16,12 +16,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def saved_decks(spark: SparkSession, folder: str) -> DataFrame:
-    """(course, path, file_base, ext, bytes, status) of deck files in ``<folder>/<course>/pdf``; contents stay unread."""
+    """(course, path, file_base, ext, bytes, status) of deck files in ``<folder>/<course>/pdf`` by course and path; contents stay unread."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", F.col("length").alias("bytes"))
     found = F.regexp_extract("path", "([^/]+)/pdf/([^/]+)\\.source\\.(?i:(pdf|pptx?))$", 1)
     own = files.withColumn("course", found).where("course <> ''")
     base = F.regexp_extract("path", "/pdf/([^/]+)\\.source\\.[^./]+$", 1)
-    return own.select("course", "path", base.alias("file_base"), F.lower(F.regexp_extract("path", "\\.([^./]+)$", 1)).alias("ext"), "bytes", F.lit("ok-from-disk").alias("status"))
+    return own.select("course", "path", base.alias("file_base"), F.lower(F.regexp_extract("path", "\\.([^./]+)$", 1)).alias("ext"), "bytes", F.lit("ok-from-disk").alias("status")).orderBy("course", "path")
 
 
 def page_documents(spark: SparkSession, path: str) -> DataFrame:
