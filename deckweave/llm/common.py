@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from deckweave.session import cut as cut
 from deckweave.session import shared_folder
+from deckweave.sources.files import file_system as file_system
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,15 +75,6 @@ def salted_join(many: DataFrame, few: DataFrame, on: Sequence[str], spread_by: C
     return left.join(right, [*on, "_salt"], "left").drop("_salt")
 
 
-def file_system(path: str) -> tuple[Any, str]:
-    """The file system of an address or a plain path, and the place in it, for a task to open files with."""
-    from pyarrow import fs
-
-    if path.startswith("file:") and not path.startswith("file://"):
-        path = path.replace("file:", "file://", 1)
-    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
-
-
 def read_rows(path: str, columns: Sequence[str]) -> Iterator[tuple]:
     """Rows of a written folder, read by a task; none where the folder isn't there."""
     import pyarrow.parquet as pq
