@@ -20,14 +20,14 @@ import unicodedata
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from deckweave.session import cut
+from .common import cut, salted_join
 
 # Letters of other scripts drawn like a Latin letter.
 LETTERS_FROM = (
-    "АВЕЅІЈКМНОРСТХУҮӀԌԚԜ" "аеорсухѕіјһԁԛԝѵӏ" "ЁЇёї" "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ" "ονϲϳ" "օɑɡ"
+    "АВЕЅІЈКМНОРСТХУҮӀԌԚԜ" "аеорсухѕіјһԁԛԝѵӏ" "ЁЇёї" "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ" "ονϲϳ" "օɑɡ" "αγιρυ" "ոսհցզ"
 )
 LETTERS_TO = (
-    "ABESIJKMHOPCTXYYIGQW" "aeopcyxsijhdqwvl" "ËÏëï" "ABEZHIKMNOPTYX" "ovcj" "oag"
+    "ABESIJKMHOPCTXYYIGQW" "aeopcyxsijhdqwvl" "ËÏëï" "ABEZHIKMNOPTYX" "ovcj" "oag" "ayipu" "nuhgq"
 )
 # Spaces other than U+0020, and hyphens drawn like "-".
 SPACES = "\t               　"
@@ -41,9 +41,13 @@ INVISIBLE_RANGES = (
     (0xFFA0, 0xFFA0), (0xFFF9, 0xFFFB), (0xE0000, 0xE0FFF),
 )
 
+# Letters and digits in a mathematical font, by their decomposition.
+FONT_FROM = "".join(c for c in map(chr, (*range(0x2100, 0x2150), *range(0x1D400, 0x1D800))) if unicodedata.decomposition(c).startswith("<font>") and unicodedata.normalize("NFKC", c).isascii())
+FONT_TO = "".join(unicodedata.normalize("NFKC", c) for c in FONT_FROM)
+
 FULL_WIDTH = "".join(map(chr, range(0xFF01, 0xFF5F)))
-ONE_FROM = FULL_WIDTH + SPACES + HYPHENS + LETTERS_FROM
-ONE_TO = "".join(chr(ord(c) - 0xFEE0) for c in FULL_WIDTH) + " " * len(SPACES) + "-" * len(HYPHENS) + LETTERS_TO
+ONE_FROM = FULL_WIDTH + SPACES + HYPHENS + LETTERS_FROM + FONT_FROM
+ONE_TO = "".join(chr(ord(c) - 0xFEE0) for c in FULL_WIDTH) + " " * len(SPACES) + "-" * len(HYPHENS) + LETTERS_TO + FONT_TO
 
 INVISIBLE = "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in INVISIBLE_RANGES) + "]"
 # Texts of only these characters are their own form: printable ASCII and composed Latin letters.
@@ -137,6 +141,18 @@ def look_pairs(rows: DataFrame, key: str, value: str) -> DataFrame:
     return strings.join(left, "a").join(right, "b").where("key_a < key_b").select("key_a", "key_b")
 
 
+def look_classes(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, canonical, links): the class of every row that isn't blank, and how many rows of it hold another string.
+
+    Copies are counted, not paired: what ``look_pairs`` lists, in one row a row.
+    """
+    own = with_look(rows.select(F.col(key).alias("k"), F.col(value).alias("value")), "value")
+    many = canonical_members(own).join(own.groupBy("value").agg(F.count("*").alias("copies")), "value")
+    whole = many.groupBy("canonical").agg(F.sum("copies").alias("all"))
+    links = many.join(whole, "canonical").select("value", "canonical", (F.col("all") - F.col("copies")).alias("links"))
+    return salted_join(own.select("k", "value"), links, ["value"], F.xxhash64("k"), F.lit(8)).select(F.col("k").alias(key), "canonical", "links")
+
+
 def look_matches(reference: DataFrame, ref_key: str, ref_value: str, rows: DataFrame, key: str, value: str) -> DataFrame:
     """(key_a, key_b): a reference value and a row's value that look the same but aren't the same string.
 

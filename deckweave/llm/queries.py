@@ -38,6 +38,12 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.unionByName(ref.select(F.lit("p").alias("field"), "key_a", "key_b"))
 
 
+def p3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of each description and its number of links to other strings of one look."""
+    own = lookalike.look_classes(table(spark, sf_dir, "course_nodes"), "node_id", "description")
+    return own.select("node_id", "canonical", "links")
+
+
 def p3_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The canonical form of each description; a null or blank one keeps its own value."""
     nodes = table(spark, sf_dir, "course_nodes").select("node_id", F.col("description").alias("value"))
@@ -106,7 +112,7 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p2_found, p2_clean, p3_found, p3_canonical, p3_canonical_lines, p4_found, p4_pieces, p4_joined, p5_found, p5_languages, p6_ids, p7_found, p7_report, p8_found, p8_report)
+    for f in (p1_found, p2_found, p2_clean, p3_found, p3_classes, p3_canonical, p3_canonical_lines, p4_found, p4_pieces, p4_joined, p5_found, p5_languages, p6_ids, p7_found, p7_report, p8_found, p8_report)
 }
 
 

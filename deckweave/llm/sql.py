@@ -53,6 +53,14 @@ SELECT page_doc_id, page.n AS n FROM pages WHERE page IS NOT NULL AND length({PA
     "p4_joined": f"""
 WITH pages AS (SELECT page_doc_id, unnest(pages) AS page FROM page_docs)
 SELECT page_doc_id, page.n AS n, md5({PAGE}) AS digest, TRUE AS fits FROM pages WHERE page IS NOT NULL AND length({PAGE}) > 1200""",
+    "p3_canonical_lines": f"""
+WITH l AS (SELECT line_id, p, {look('p')} AS k FROM page_lines), v AS (SELECT p, k FROM l WHERE trim(k) <> '' UNION SELECT p, {look('p')} FROM segment_dictionary WHERE trim({look('p')}) <> ''),
+c AS (SELECT k, arg_min(p, struct_pack(odd := p <> k, v := encode(p))) AS canonical FROM v GROUP BY k)
+SELECT line_id, coalesce(canonical, p) AS canonical FROM l LEFT JOIN c ON l.k = c.k AND trim(l.k) <> ''""",
+    "p3_classes": f"""
+WITH d AS (SELECT node_id, description, {look('description')} AS k FROM course_nodes WHERE description IS NOT NULL), v AS (SELECT description, k, count(*) AS copies FROM d WHERE trim(k) <> '' GROUP BY ALL),
+c AS (SELECT k, sum(copies) AS rows, arg_min(description, struct_pack(odd := description <> k, v := encode(description))) AS canonical FROM v GROUP BY k)
+SELECT node_id, canonical, CAST(rows - copies AS BIGINT) AS links FROM d JOIN v ON d.description = v.description JOIN c ON v.k = c.k""",
     "p3_canonical": f"""
 WITH d AS (SELECT node_id, description, {look('description')} AS k FROM course_nodes),
 c AS (SELECT k, arg_min(description, struct_pack(odd := description <> k, v := encode(description))) AS canonical FROM (SELECT DISTINCT description, k FROM d WHERE trim(k) <> '') GROUP BY k)

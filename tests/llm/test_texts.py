@@ -144,6 +144,13 @@ def test_split_files_by_byte_ranges(spark, tmp_path):
     assert at == len(raw)
 
 
+def test_letters_of_fonts_and_other_scripts(spark):
+    texts = ["𝐀𝒷𝟗 ℎello", "ραγι", "հոս", "plain", "x²"]
+    df = spark.createDataFrame([(t,) for t in texts], "value string")
+    got = [r[0] for r in df.select(lookalike.look_form("value")).collect()]
+    assert got == [lookalike.fold_look(t) for t in texts] == ["Ab9 hello", "payi", "hnu", "plain", "x²"]
+
+
 def test_bytes_of_a_file_that_are_no_text_keep_their_place(spark, tmp_path):
     rng = random.Random(9)
     raw = b"".join(rng.choice([b"word ", b"\xff\xfe", "नी".encode(), b"\x80\x80 ", b"Done.\n"]) for _ in range(9000))
