@@ -144,20 +144,31 @@ class LanguageFilters:
         return np.maximum(out - size[:, None] * self.false, 0) / (1 - self.false), size
 
     def _scores(self, own: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-        h, of = ngram_hashes(own)
-        size = np.bincount(of, minlength=len(own)).astype(float)
-        if not len(h):
-            return np.zeros((len(own), len(LANGS))), size
-        first, *rest = _slots(h)
-        mask = self.table[first]
-        for s in rest:
-            mask &= self.table[s]
-        if len(LANGS) <= 8:
-            wide = len(self.share)
-            return np.bincount(of * wide + mask, minlength=len(own) * wide).reshape(-1, wide) @ self.share, size
-        bits = (mask[:, None] >> np.arange(len(LANGS), dtype=mask.dtype)) & mask.dtype.type(1)
-        weight = 1.0 / np.maximum(bits.sum(axis=1), 1)
-        return np.stack([np.bincount(of, weights=weight * bits[:, i], minlength=len(own)) for i in range(len(LANGS))], 1), size
+        chars = np.frombuffer("".join(own).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+        of = np.repeat(np.arange(len(own), dtype=np.int32), [len(t) for t in own])
+        size = np.zeros(len(own) + 1)
+        wide = len(self.share)
+        counts = np.zeros((len(own) + 1, wide if len(LANGS) <= 8 else len(LANGS)))
+        rolling = np.zeros(len(chars), np.uint64)
+        for n in range(1, max(ORDERS) + 1):
+            if len(chars) < n:
+                break
+            rolling = rolling[: len(chars) - n + 1] * _MULT + chars[n - 1 :] + np.uint64(n)
+            if n not in ORDERS:
+                continue
+            owner = np.where(of[: len(rolling)] == of[n - 1 :], of[n - 1 :], np.int32(len(own)))  # the last row takes what lies across two texts
+            first, *rest = _slots(rolling * _MULT)
+            mask = self.table[first]
+            for s in rest:
+                mask &= self.table[s]
+            size += np.bincount(owner, minlength=len(own) + 1)
+            if len(LANGS) <= 8:
+                counts += np.bincount(owner * wide + mask, minlength=counts.size).reshape(counts.shape)
+            else:
+                bits = (mask[:, None] >> np.arange(len(LANGS), dtype=mask.dtype)) & mask.dtype.type(1)
+                weight = 1.0 / np.maximum(bits.sum(axis=1), 1)
+                counts += np.stack([np.bincount(owner, weights=weight * bits[:, i], minlength=len(own) + 1) for i in range(len(LANGS))], 1)
+        return (counts[:-1] @ self.share if len(LANGS) <= 8 else counts[:-1]), size[:-1]
 
     def decide(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         """The language of each text as an index, -1 without evidence, and a confidence from 0 to 1."""
