@@ -186,14 +186,14 @@ def pair_features(hs: Sequence[str | None], ps: Sequence[str | None], filters: L
         core = b[1:] if n > 1 and b[0] in _LABELS and (not a or b[0] != a[0]) else b
         have, own = set(a), set(core)
         nothing = n > 0 and n <= 4 and " ".join(b) in PLACEHOLDERS
-        extra = sum(w not in have for w in core)
+        extra = len(core) - sum(map(have.__contains__, core))
         cover = len(have & own) / len(have) if have else 0.0
         asked = asked_languages(a)
         ended = bool(_CLOSE.search(text))
         listed = bool(_LIST.match(text))
         upper = text[:1].isupper() and not text.isupper()
         cue = not CUES.isdisjoint(own) or (n > 1 and not CUE_PAIRS.isdisjoint(map(" ".join, zip(b, b[1:]))))
-        lettered = sum(not w.isdigit() for w in b)
+        lettered = n - sum(map(str.isdigit, b))
         facts.append((lettered, n, nothing, extra, cover, len(core) / len(a) if a else 0.0, bool(asked), bool(differ[i]) and LANGS[pl[i]] in asked, ended, listed, upper, text.isupper(), cue))
         ends.append((text[-1:], text[-3:], f"{b[-1] if b else ''}|{ended}"))
     lettered, n, nothing, extra, cover, ratio, asked, wanted, ended, listed, upper, capitals, cue = (np.array(x, dtype=float) for x in zip(*facts)) if facts else [np.zeros(0)] * 13
