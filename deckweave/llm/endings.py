@@ -71,7 +71,8 @@ ORDERS = len(BARE) + len(KINDS)
 
 def clean(text: str) -> str:
     """Look-alikes in one form, runs of digits as 0, no blanks before the ends of lines."""
-    return _BLANKS.sub("", _DIGITS.sub("0", fold_look(text)))
+    text = _DIGITS.sub("0", fold_look(text))
+    return _BLANKS.sub("", text) if " \n" in text or "\r" in text or text.endswith((" ", "\t")) or "\t\n" in text else text
 
 
 def last_lines(text: str, whole: bool = False) -> str:
