@@ -281,7 +281,7 @@ class ItemIndex:
         self.tables = [(n, Postings(np.array([h for h, _ in own], dtype=np.uint64), np.array([k for _, k in own], dtype=np.int64))) for n, own in sorted(cuts.items())]
         pairs = [hashed(seq, 2) for seq in arrays]
         flat = np.concatenate(pairs) if pairs else np.zeros(0, np.uint64)
-        self.grams = Postings(flat, np.zeros(len(flat), np.int64))
+        self.grams = Postings(flat, np.repeat(np.arange(len(pairs)), [len(h) for h in pairs]))
         self.gram_of = np.searchsorted(self.grams.keys, flat)  # of each neighbouring pair of each item
         self.gram_many = np.array([len(h) for h in pairs], dtype=np.int64)
         self.gram_first = np.cumsum(self.gram_many) - self.gram_many
@@ -295,6 +295,7 @@ class ItemIndex:
         self.band = np.array([budget(n) + 1 for n in self.size], dtype=np.int64)
         self.limbs = (self.size + 63) // 64
         self._masks: tuple[int, int, np.ndarray] | None = None
+        self._places: dict[int, dict] = {}
 
     def candidates(self, docs: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Arrays (document, item) of the pairs that share a piece and pass the bounds, some documents at a time."""
@@ -335,17 +336,20 @@ class ItemIndex:
         inside = of[at] == of[at + 1]
         present = np.zeros((len(docs), len(self.grams.keys)), bool)
         present[of[at[inside]], key[inside]] = True
-        keep = self.pairs_needed[item] <= 0
-        test = np.flatnonzero(~keep)
-        upto = np.cumsum(self.gram_many[item[test]])
+        stand = np.zeros(len(docs) * len(self.ids), np.int32)  # places of each item whose two words stand side by side in each document
+        there = np.flatnonzero(present)
+        doc_of, gram = there // len(self.grams.keys), there % len(self.grams.keys)
+        upto = np.cumsum(self.grams.many[gram])
         a = 0
-        while a < len(test):
+        while a < len(there):
             b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + HITS, "right")))
-            own = test[a:b]
-            many = self.gram_many[item[own]]
-            hit = present[np.repeat(doc[own], many), self.gram_of[_runs(self.gram_first[item[own]], many)]]
-            keep[own] = np.add.reduceat(hit, np.cumsum(many) - many, dtype=np.int64) >= self.pairs_needed[item[own]]
+            many = self.grams.many[gram[a:b]]
+            cell = np.repeat(doc_of[a:b] * len(self.ids), many) + self.grams.values[_runs(self.grams.first[gram[a:b]], many)]
+            low = int(cell.min()) if len(cell) else 0
+            some = np.bincount(cell - low)
+            stand[low : low + len(some)] += some.astype(np.int32)
             a = b
+        keep = stand[pair] >= self.pairs_needed[item]
         return doc[keep], item[keep]
 
     def _ordered(self, docs: list[np.ndarray], doc: np.ndarray, item: np.ndarray) -> np.ndarray:
@@ -515,24 +519,24 @@ class ItemIndex:
         known = self.vocabulary.get
         docs = [np.array([known(w, 0) for w in t], dtype=np.int64) for t in texts]
         for found, items in self.candidates(docs):
+            last = -1
             for d, k in zip(found.tolist(), items.tolist()):
-                share = self.held(self.items[k], docs[d].tolist(), self._hits(k, docs[d]), self.piece[k]) / len(self.items[k])
+                if d != last:
+                    last, doc = d, docs[d].tolist()
+                    pairs = list(zip(doc, doc[1:]))
+                share = self.held(self.items[k], doc, self._hits(k, doc, pairs), self.piece[k]) / len(self.items[k])
                 if share >= HALF:
                     yield d, self.ids[k], share
 
-    def _hits(self, k: int, doc: np.ndarray) -> list[tuple[int, int]]:
+    def _hits(self, k: int, doc: list[int], pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
         """(item word, document word) of every piece of the item that stands in the document, by document word."""
-        size = self.piece[k]
-        seq = np.array(self.items[k], dtype=np.int64)
-        starts = np.arange(0, len(seq) - size + 1, size)
-        wide = len(self.vocabulary) + 1
-        code = lambda x: x if size == 1 else x[:-1] * wide + x[1:]
-        pieces, own = code(seq)[starts], code(doc)
-        order = np.argsort(pieces, kind="stable")
-        lo, hi = (np.searchsorted(pieces[order], own, side) for side in ("left", "right"))
-        at = np.flatnonzero(hi > lo)
-        many = (hi - lo)[at]
-        return list(zip(starts[order][_runs(lo[at], many)].tolist(), np.repeat(at, many).tolist()))
+        where = self._places.get(k)
+        if where is None:
+            where = self._places[k] = defaultdict(list)
+            seq, size = self.items[k], self.piece[k]
+            for at in range(0, len(seq) - size + 1, size):
+                where[seq[at] if size == 1 else (seq[at], seq[at + 1])].append(at)
+        return [(i, j) for j, w in enumerate(doc if self.piece[k] == 1 else pairs) if w in where for i in where[w]]
 
 
 def own_table(items: DataFrame, item_id: str = "item_id", item_text: str = "text") -> DataFrame:
