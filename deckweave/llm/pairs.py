@@ -38,6 +38,7 @@ MAX_TRAIN = 3000
 DIMS = 1 << 15
 SEED = 7
 EPOCHS, BATCH, RATE = 6, 256, 0.05
+ROWS = 1000  # pairs looked at together, so that what they need stays in the cache
 #: How far from the held-out sound pairs towards the defective ones a threshold lies; near for refusals, which vary more than made ones do.
 SIDE = (0.5, 0.5, 0.25, 0.5, 0.5)
 #: The sample holds defective pairs too: either half is judged by a fit on the other, and a pair over this probability of a defect is no negative for it in the next fits (a round each, by defect).
@@ -225,8 +226,9 @@ class PairClassifier:
     def _odds(self, x: np.ndarray, own: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
         places, of, value = own
         z = x @ self.dense
-        for k in range(len(DEFECTS)):
-            z[:, k] += np.bincount(of, weights=self.sparse[places, k] * value, minlength=len(x))
+        if len(places):  # every row has n-grams, its ends at least
+            first = np.flatnonzero(np.diff(of, prepend=-1))
+            z += np.add.reduceat(self.sparse[places], first, axis=0) * value[first, None]
         return z
 
     def probabilities(self, x: np.ndarray, own: Grams) -> np.ndarray:
@@ -269,8 +271,9 @@ class PairClassifier:
 
     def label(self, hs: Sequence[str | None], ps: Sequence[str | None], statuses: Sequence[str | None]) -> list[str | None]:
         """The first defect of each pair, or None."""
-        if not len(ps):
-            return []
+        return [x for a in range(0, len(ps), ROWS) for x in self._label(hs[a : a + ROWS], ps[a : a + ROWS], statuses[a : a + ROWS])]
+
+    def _label(self, hs: Sequence[str | None], ps: Sequence[str | None], statuses: Sequence[str | None]) -> list[str | None]:
         over = self.probabilities(*pair_features(hs, ps, self.filters)) >= self.thresholds
         # an answer that is still to come isn't missing
         waiting = np.array([(s or "").strip().lower() in ("pending", "skipped") for s in statuses], dtype=bool)
