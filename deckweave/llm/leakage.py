@@ -402,28 +402,27 @@ class ItemIndex:
         return keep
 
     def _bands(self, pair: np.ndarray, diagonal: np.ndarray, place: np.ndarray, item: np.ndarray) -> np.ndarray:
-        """The most item places that the two best bands of each pair can hold."""
-        out = np.zeros(len(item), np.int64)
+        """The most item places that two bands of each pair can hold.
+
+        A band lies in two stripes side by side; two bands lie in three stripes
+        side by side or in two and two that don't overlap.
+        """
         if not len(pair):
-            return out
+            return np.zeros(len(item), np.int64)
         stripe = diagonal // (self.band[item[pair]] + 1)
-        stripe = stripe - stripe.min() + 1
-        wide, deep = int(stripe.max()) + 2, int(place.max()) + 1
+        stripe = stripe - stripe.min() + 2
+        wide, deep = int(stripe.max()) + 3, int(place.max()) + 1
         cells = np.sort((pair * wide + stripe) * deep + place)
         cells = cells[np.concatenate([[True], cells[1:] != cells[:-1]])] // deep
-        at = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]]))
-        cell, count = cells[at], np.diff(np.append(at, len(cells)))
-        of, at = cell // wide, cell % wide
-        follows = np.zeros(len(count), np.int64)
-        follows[:-1] = np.where((of[1:] == of[:-1]) & (at[1:] == at[:-1] + 1), count[1:], 0)
-        both = count + follows
-        order = np.lexsort((-both, of))
-        of, both = of[order], both[order]
-        best = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
-        second = np.zeros(len(of), np.int64)
-        second[:-1] = np.where(of[1:] == of[:-1], both[1:], 0)
-        out[of[best]] = both[best] + second[best]
-        return out
+        count = np.bincount(cells, minlength=len(item) * wide).reshape(len(item), wide).astype(np.int32)
+        two = count[:, :-1] + count[:, 1:]
+        three = (two[:, :-1] + count[:, 2:]).max(axis=1)
+        rows, best = np.arange(len(item)), two.argmax(axis=1)
+        first = two[rows, best]
+        beside = two[rows, np.maximum(best - 1, 0)] + two[rows, np.minimum(best + 1, two.shape[1] - 1)]
+        for step in (-1, 0, 1):
+            two[rows, np.clip(best + step, 0, two.shape[1] - 1)] = 0
+        return np.maximum(np.maximum(three, beside), first + two.max(axis=1)).astype(np.int64)
 
     def _mask_tables(self) -> Iterator[tuple[int, int, np.ndarray]]:
         """(first item, one after the last, places of each word in each of the items as bits) for groups of items."""
