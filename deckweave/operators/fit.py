@@ -118,20 +118,23 @@ def plan_fit(df: DataFrame, keys: list[str], of: Callable[[str, float], float] |
     at = lambda size: packed(text, lambda line: F.length(line) * size * UNIT <= width + SLACK)
     one = one_line_size(text, F.col("font_size"), width, height)
     steps = F.floor((F.col("font_size") - LEAST_SIZE) / STEP).cast("int")
-    sizes = F.when(steps >= 0, F.transform(F.sequence(F.lit(0), F.greatest(steps, F.lit(0))), lambda k: F.col("font_size") - k * STEP)).otherwise(F.array().cast("array<double>"))
-    tried = F.when(one.isNull() & (F.trim(text) != ""), F.transform(sizes, lambda s: F.struct(s.alias("size"), at(s).alias("lines"))))
-    own = own.withColumns({"one": one, "tried": F.filter(tried, lambda t: F.size(t["lines"]) * t["size"] * LINE_RATIO <= height + SLACK)})
-    own = own.withColumns({"best": F.try_element_at("tried", F.lit(1)), "least": F.when(F.col("one").isNull() & (F.size(F.coalesce("tried", F.array())) == 0), at(F.lit(LEAST_SIZE)))})
+    sizes = F.when(steps >= 1, F.transform(F.sequence(F.lit(1), steps), lambda k: F.col("font_size") - k * STEP)).otherwise(F.array().cast("array<double>"))
+    fits = lambda t: F.size(t["lines"]) * t["size"] * LINE_RATIO <= height + SLACK
+    whole = F.when(one.isNull() & (F.trim(text) != "") & (F.col("font_size") >= LEAST_SIZE), F.struct(F.col("font_size").alias("size"), at(F.col("font_size")).alias("lines")))
+    own = own.withColumns({"one": one, "whole": whole}).withColumn("whole", F.when(fits(F.col("whole")), F.col("whole")))
+    tried = F.when(F.col("one").isNull() & F.col("whole").isNull() & (F.trim(text) != ""), F.transform(sizes, lambda s: F.struct(s.alias("size"), at(s).alias("lines"))))
+    own = own.withColumn("tried", F.filter(tried, fits))
+    own = own.withColumns({"best": F.coalesce("whole", F.try_element_at("tried", F.lit(1))), "least": F.when(F.col("one").isNull() & F.col("whole").isNull() & (F.size(F.coalesce("tried", F.array())) == 0), at(F.lit(LEAST_SIZE)))})
     most = F.floor(height / (LEAST_SIZE * LINE_RATIO)).cast("int")
     room_left = F.greatest(F.lit(0), F.floor((width + SLACK) / (LEAST_SIZE * UNIT)).cast("int") - 3)
     kept = F.slice("least", 1, F.greatest(most, F.lit(1)))
     cut = F.concat(F.slice(kept, 1, F.size(kept) - 1), F.array(F.concat(F.left(F.element_at(kept, -1), room_left), F.lit("..."))))
     none = (most < 1) | (F.size("least") == 0)
-    whole = F.when(F.size("best.lines") == 1, "fit-original").otherwise("wrap-fit")
+    kind = F.when(F.size("best.lines") == 1, "fit-original").otherwise("wrap-fit")
     return own.select(
         *keys,
         F.when(F.col("one").isNotNull(), F.when(F.col("one") >= F.col("font_size") - 1e-6, "fit-original").otherwise("fit-shrunk"))
-        .when(F.col("best").isNotNull(), F.when(F.col("best.size") == F.col("font_size"), whole).otherwise("fit-shrunk")).when(none, "no-room").otherwise("truncated").alias("decision"),
+        .when(F.col("best").isNotNull(), F.when(F.col("best.size") == F.col("font_size"), kind).otherwise("fit-shrunk")).when(none, "no-room").otherwise("truncated").alias("decision"),
         F.coalesce("one", "best.size", F.lit(LEAST_SIZE)).alias("size"),
         F.when(F.col("one").isNotNull(), F.array(text)).when(F.col("best").isNotNull(), F.col("best.lines")).when(none, F.array().cast("array<string>")).otherwise(cut).alias("lines"),
     )
