@@ -71,10 +71,14 @@ def line_languages(lines: DataFrame, filters: LanguageFilters, keys: list[str],
     return spread(named).mapInPandas(read, shape)
 
 
+def once(read: DataFrame) -> DataFrame:
+    """A row for each line and language, however often the line was delivered; written once, as it is read twice."""
+    return cut(read.groupBy("tdoc_id", "line_no", "lang").agg(F.max("size").alias("size"), F.max("confidence").alias("confidence"), F.bool_or("sentence").alias("sentence")))
+
+
 def document_languages(read: DataFrame, doc: str = "tdoc_id") -> DataFrame:
-    """(doc, main, confidence) from line languages: confidence is the main language's share of the text times its lines' mean confidence."""
-    once = read.groupBy(doc, "line_no", "lang").agg(F.max("size").alias("size"), F.max("confidence").alias("confidence"))
-    by = once.groupBy(doc, "lang").agg(F.sum("size").alias("size"), F.avg("confidence").alias("sure"))
+    """(doc, main, confidence) from line languages, one row a line (``once``): confidence is the main language's share of the text times its lines' mean confidence."""
+    by = read.groupBy(doc, "lang").agg(F.sum("size").alias("size"), F.avg("confidence").alias("sure"))
     rank = F.struct(F.col("size"), -F.array_position(F.lit(list(LANGS)), F.col("lang")), F.col("sure"))
     best = by.groupBy(doc).agg(F.max_by("lang", rank).alias("main"), F.max(rank)["size"].alias("most"), F.max(rank)["sure"].alias("sure"), F.sum("size").alias("all"))
     return best.select(doc, "main", (F.col("most") / F.col("all") * F.col("sure")).alias("confidence"))
@@ -82,20 +86,19 @@ def document_languages(read: DataFrame, doc: str = "tdoc_id") -> DataFrame:
 
 def _deviating(read: DataFrame, main: DataFrame) -> DataFrame:
     """(tdoc_id, line_no, lang, confidence) of the sentences in another language than their document's."""
-    own = read.join(main.select("tdoc_id", "main"), "tdoc_id").where("sentence AND lang <> main")
-    return own.groupBy("tdoc_id", "line_no", "lang").agg(F.max("confidence").alias("confidence"))
+    return read.where("sentence").join(main.select("tdoc_id", "main"), "tdoc_id").where("lang <> main").select("tdoc_id", "line_no", "lang", "confidence")
 
 
 def all_languages(lines: DataFrame, segments: DataFrame) -> DataFrame:
     """(tdoc_id, line_no, lang, confidence): every document (line_no 0) and every deviating line."""
-    read = cut(line_languages(lines, fit_filters(segments, lines, "p"), ["tdoc_id", "line_no"], "p"))
+    read = once(line_languages(lines, fit_filters(segments, lines, "p"), ["tdoc_id", "line_no"], "p"))
     main = document_languages(read)
     return main.select("tdoc_id", F.lit(0).alias("line_no"), F.col("main").alias("lang"), "confidence").unionByName(_deviating(read, main))
 
 
 def wrong_languages(lines: DataFrame, segments: DataFrame) -> DataFrame:
     """(tdoc_id, line_no, lang, confidence): documents (line_no 0) whose label is missing or wrong, and deviating lines."""
-    read = cut(line_languages(lines, fit_filters(segments, lines, "p"), ["tdoc_id", "line_no"], "p"))
+    read = once(line_languages(lines, fit_filters(segments, lines, "p"), ["tdoc_id", "line_no"], "p"))
     main = document_languages(read)
     labels = lines.groupBy("tdoc_id").agg(F.max(label_language("target_lang")).alias("label"))
     documents = main.join(labels, "tdoc_id").where("label IS NULL OR label <> main").select("tdoc_id", F.lit(0).alias("line_no"), F.col("main").alias("lang"), "confidence")
