@@ -35,9 +35,9 @@ from .lookalike import fold_look
 
 DEFECTS = ("empty", "copy", "refusal", "language", "truncated")
 MAX_TRAIN = 3000
-DIMS = 1 << 15
+DIMS = 1 << 14
 SEED = 7
-EPOCHS, BATCH, RATE = 6, 256, 0.05
+EPOCHS, BATCH, RATE = 6, 384, 0.05
 ROWS = 1000  # pairs looked at together, so that what they need stays in the cache
 #: How far from the held-out sound pairs towards the defective ones a threshold lies; near for refusals, which vary more than made ones do.
 SIDE = (0.5, 0.5, 0.25, 0.5, 0.5)
